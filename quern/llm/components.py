@@ -1,0 +1,37 @@
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+Each step is one aggregation and one join over the edges; edges never leave the executors. The number of steps
+grows with the logarithm of the longest path. Each step's edges are written to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm.common import staged
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Edges (u, v), u > v. Large: neighbours above u move to u's least neighbour; small: those below and u itself."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    near = both.filter(F.col("v") > F.col("u")) if large else both
+    moved = near.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    if not large:
+        moved = moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return moved.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, root: every node that has an edge, with the least node it can reach. Self-loops are ignored."""
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    before = None
+    while True:
+        now = staged(_star(_star(now, True), False), "edges")
+        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if (mark.n, mark.h) == before:
+            break
+        before = (mark.n, mark.h)
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
