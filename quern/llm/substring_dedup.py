@@ -22,11 +22,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, hash_words, keyed, mix64, ngram_hashes, partitions, sliding_min, small_batches, text_buffer
+from quern.llm.common import Words, hash_words, keyed, mix64, ngram_hashes, partitions, sliding_min, small_batches, text_buffer, trim
 
-WINDOW, GRAM = 35, 6
+WINDOW, GRAM = 35, 4
 #: Bytes of distinct strings that a map task folds before it sends them; words looked at together.
-FOLD_BYTES, SEGMENT = 48 << 20, 1 << 20
+FOLD_BYTES, SEGMENT = 32 << 20, 1 << 18
 #: Buckets for each shuffle partition; a reducer holds one bucket at a time.
 BUCKETS = 4
 
@@ -39,7 +39,7 @@ def _pack(**arrays: np.ndarray | bytes) -> bytes:
     for v in arrays.values():
         raw = v if isinstance(v, bytes) else v.tobytes()
         out += [len(raw).to_bytes(8, "little"), raw]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def _unpack(body: bytes) -> list[bytes]:
@@ -196,7 +196,9 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
         for b in batches:
             w = Words(*text_buffer(b.column("text")))
             yield from f.add(w, b.column("k1").to_numpy(), b.column("k2").to_numpy())
+            trim()
         yield from f.flush()
+        trim()
 
     def count(batches):
         held: list[list[bytes]] = []
@@ -210,6 +212,7 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                 if b != bucket and held:
                     yield out(_count(held, window))
                     held = []
+                    trim()
                 bucket = b
                 parts = _unpack(body.as_buffer())
                 if b < 0:
@@ -218,6 +221,8 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                     held.append(parts)
         if held:
             yield out(_count(held, window))
+        held = []
+        trim()
 
     rows = keyed(docs, id_col, text_col).select("k1", "k2", "text").mapInArrow(fold, "part int, bucket int, body binary")
     rows = rows.repartitionById(p, F.col("part")).sortWithinPartitions("bucket")
