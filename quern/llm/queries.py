@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, exact_dedup, lm_score, minhash_dedup, substring_dedup
+from quern.llm import decontaminate, exact_dedup, line_dedup, lm_score, minhash_dedup, packing, substring_dedup, token_count, toxicity
 from quern.llm.common import table
 
 
@@ -10,14 +10,31 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op2_token_count(spark, sf_dir):
+    return token_count.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_score(spark, sf_dir):
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_packing(spark, sf_dir):
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -26,5 +43,11 @@ def op10_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_lm_score, op6_decontaminate, op8_exact_dedup, op10_minhash_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_token_count, op3_lm_score, op4_toxicity, op5_packing,
+        op6_decontaminate, op7_line_dedup, op8_exact_dedup, op10_minhash_dedup,
+    )
+}
 ORACLE = {"op6_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
