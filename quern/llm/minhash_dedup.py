@@ -20,7 +20,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import Words, keyed, mix64, ngram_hashes, partitions, seeds64, small_batches, staged, text_buffer
@@ -260,3 +260,20 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     out = table.select("doc_id", "k1", "k2", "n", "digest").join(found, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "k1", "k2")
+
+
+def drop_near_copies(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component (that of the smallest id) and every row without words; docs' columns unchanged.
+
+    Of rows that repeat an id inside their component, one stays.
+    """
+    groups = near_groups(docs, bands, rows, id_col, text_col).filter("kept").select("k1", "k2", "component_id", "n_shingles")
+    # A component's row has the least id; equal ids there are told apart by their text hash.
+    one = groups.filter("n_shingles > 0").groupBy("component_id", "k1").agg(F.min("k2").alias("k2")).select("k1", "k2", F.lit(True).alias("_one"))
+    none = groups.filter("n_shingles = 0").select("k1", "k2", F.lit(False).alias("_one")).distinct()
+    key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    rows_ = docs.select(row, F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("k1"), key.alias("k2"))
+    rows_ = rows_.join(one.union(none), ["k1", "k2"])  # leaves the rows dealt out and sorted as the window needs them
+    rows_ = rows_.withColumn("_rn", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0))))
+    return rows_.filter("_rn = 1 or not _one").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, exact_dedup, line_dedup, lm_score, minhash_dedup, packing, substring_dedup, token_count, toxicity
+from quern.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, minhash_dedup, packing, substring_dedup, token_count, toxicity
 from quern.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark, sf_dir):
+    return license_scan.licenses(license_scan.document_files(table(spark, sf_dir, "documents")))
+
+
 def op10_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
@@ -47,7 +51,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_token_count, op3_lm_score, op4_toxicity, op5_packing,
-        op6_decontaminate, op7_line_dedup, op8_exact_dedup, op10_minhash_dedup,
+        op6_decontaminate, op7_line_dedup, op8_exact_dedup, op9_license_scan, op10_minhash_dedup,
     )
 }
 ORACLE = {"op6_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
