@@ -1,15 +1,16 @@
 """MinHash near-dedup with sequential Bayesian verification (operator 10).
 
 Texts with equal shingle sets are one class, so copies are never paired. Classes that share a band of their
-signature are candidates. A bucket's members are paired with one pivot only; candidate pairs are compared
-signature batch by signature batch and pruned once the posterior probability of reaching the threshold falls
-under MISS; survivors are verified on their whole shingle sets. Members that those links join need no further
-comparison. Only buckets that still hold several components compare members across components: small ones by a
-join, large ones block against block inside tasks, which hand on survivors alone.
+signature are candidates. First each bucket's members are paired with one pivot only, chosen among PIVOTS orders;
+pairs are compared signature batch by signature batch and pruned once the posterior probability of reaching the
+threshold falls under MISS; survivors are verified on their whole shingle sets. Members that those links join need
+no further comparison. Buckets that still hold several components then compare members across components, block
+against block inside tasks, with the same pruning and verification; a block hands on at most one link for each
+component it joins, never its pairs.
 
 Nothing gathers a group in one task: pivots are dealt out with at most one partner share in SHARES, blocks hold
 about BLOCK members, and hot band keys are met by partial aggregation and skew-split joins. Links, components and
-fingerprints stay in tables.
+fingerprints stay in tables. Texts are read once for signatures and shuffled once, for candidates only.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ SHINGLE, PERCENT = 5, 75
 #: 40 bands of 5: a pair at similarity 0.75 shares no band with probability 2e-5.
 BANDS, ROWS = 40, 5
 #: Posterior probability of similarity >= 0.75 under which a pair is pruned; hashes compared at a time.
-MISS, BATCH = 1e-6, 40
-SHARES, BLOCK, SMALL = 1024, 256, 32
+MISS, BATCH = 1e-4, 40
+#: Shares of a pivot's partners; members of a block; pivots that a group's buckets choose among.
+SHARES, BLOCK, PIVOTS = 1024, 256, 4
 
 
 def shingle_sets(w: Words, size: int = SHINGLE) -> list[np.ndarray]:
@@ -77,8 +79,12 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 @lru_cache
 def least_matches(k: int, percent: int = PERCENT, miss: float = MISS, batch: int = BATCH) -> tuple[tuple[int, int], ...]:
-    """(hashes compared, fewest matches to go on): under a uniform prior, P(s >= t | m of n) = P(Bin(n + 1, t) <= m)."""
+    """(hashes compared, fewest matches to go on): under a uniform prior, P(s >= t | m of n) = P(Bin(n + 1, t) <= m).
+
+    Minima are compared by 8 bits, which agree by chance once in 256: t is raised accordingly.
+    """
     t, out = percent / 100, []
+    t += (1 - t) / 256
     for n in range(batch, k + 1, batch):
         tail, m = 0.0, -1
         while tail < miss:
@@ -89,7 +95,7 @@ def least_matches(k: int, percent: int = PERCENT, miss: float = MISS, batch: int
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, k1, k2, n (set size), digest (of the set), bands, sig (low 16 bits of each minimum)."""
+    """Per row: doc_id, k1, k2, n (set size), digest (of the set), bands, sig (low 8 bits of each minimum)."""
 
     def work(batches):
         for b in batches:
@@ -98,7 +104,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str =
             keys, sigs = [None] * len(sets), [None] * len(sets)
             if full:
                 m = signatures([sets[i] for i in full], bands * rows)
-                low = m.astype(np.uint16)
+                low = m.astype(np.uint8)
                 for i, key, s in zip(full, band_keys(m, bands, rows), low):
                     keys[i], sigs[i] = key, s.tobytes()
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -140,56 +146,84 @@ def _meet(pairs: DataFrame, store: DataFrame, payload: str, read, test) -> DataF
 
 
 def _blocks(members: DataFrame, steps: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Pairs (a, b) across components inside large buckets whose signatures survive; members: key, cid, root, sig, size."""
+    """Links (a, b) between components that share a bucket; members: key, cid, root, size, sig, text.
+
+    A bucket is cut into blocks of about BLOCK members and every two blocks meet in one group, so a task holds two
+    blocks. Pairs of different components are compared by signature, pruned as above, and the rest verified whole
+    in order of likelihood, unless links found before already join them: a group returns fewer links than it has
+    components, and no link that could join two is left out.
+    """
     p = partitions(members.sparkSession)
     n = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     rows = members.withColumns({"n": n, "i": F.pmod(F.xxhash64("cid"), n).cast("int")})
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "cid", "root", "sig")
+    rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "root", "sig", "text")
     rows = rows.repartition(p, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-    def compare(lo, hi, same):
-        (a, ra, sa), (b, rb, sb) = lo, hi
-        x, y = np.nonzero(ra[:, None] < rb[None, :] if same else ra[:, None] != rb[None, :])
+    def links(group, held):
+        block, root = np.array([r[0] for r in held]), np.array([r[1] for r in held])
+        sig = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
+        if group[1] == group[2]:
+            x, y = np.nonzero(np.triu(root[:, None] != root[None, :]))
+        else:
+            a, b = np.flatnonzero(block == group[1]), np.flatnonzero(block == group[2])
+            x, y = np.nonzero(root[a][:, None] != root[b][None, :])
+            x, y = a[x], b[y]
         score, done = np.zeros(x.size, np.int64), 0
         for n, least in steps:
-            for k in range(0, x.size, 1 << 16):
-                s = slice(k, k + (1 << 16))
-                score[s] += (sa[x[s], done:n] == sb[y[s], done:n]).sum(axis=1)
+            for k in range(0, x.size, 1 << 15):
+                s = slice(k, k + (1 << 15))
+                score[s] += np.count_nonzero(sig[x[s], done:n] == sig[y[s], done:n], axis=1)
             keep = score >= least
             x, y, score, done = x[keep], y[keep], score[keep], n
-        return np.minimum(a[x], b[y]), np.maximum(a[x], b[y])
+        out: tuple[list[int], list[int]] = ([], [])
+        if not x.size:
+            return out
+        need = np.unique(np.concatenate([x, y]))
+        sets = dict(zip(need.tolist(), shingle_sets(Words(*text_buffer(pa.array([held[i][3] for i in need])), lower=True))))
+        up = {r: r for r in root.tolist()}
+
+        def top(r):
+            while up[r] != r:
+                up[r] = up[up[r]]
+                r = up[r]
+            return r
+
+        for k in np.argsort(-score, kind="stable").tolist():
+            a, b = int(x[k]), int(y[k])
+            ra, rb = top(int(root[a])), top(int(root[b]))
+            if ra != rb and _near(sets[a], sets[b]):
+                up[max(ra, rb)] = min(ra, rb)
+                out[0].append(int(root[a]))
+                out[1].append(int(root[b]))
+        return out
 
     def work(batches):
-        group, rows_ = None, []
-
-        def flush():
-            same = group[1] == group[2]
-            side = []
-            for block in (group[1], group[2]):
-                own = [r for r in rows_ if r[0] == block]
-                side.append((np.array([r[1] for r in own]), np.array([r[2] for r in own]), np.array([np.frombuffer(r[3], np.uint16) for r in own])))
-            if not side[0][0].size or not side[1][0].size:
-                return [], []
-            return compare(*side, same)
-
+        group, held = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "lo", "hi", "i", "cid", "root", "sig")]
-            out = ([], [])
+            cols = [batch.column(c).to_pylist() for c in ("key", "lo", "hi", "i", "root", "sig", "text")]
+            out: tuple[list[int], list[int]] = ([], [])
             for key, lo, hi, *row in zip(*cols):
                 if (key, lo, hi) != group:
-                    if rows_:
-                        for o, v in zip(out, flush()):
+                    if len(held) > 1:
+                        for o, v in zip(out, links(group, held)):
                             o.extend(v)
-                    group, rows_ = (key, lo, hi), []
-                rows_.append(row)
+                    group, held = (key, lo, hi), []
+                held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
-        if rows_:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flush()], names=["a", "b"])
+        if len(held) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(group, held)], names=["a", "b"])
 
     return rows.mapInArrow(work, "a long, b long")
 
 
+def _near(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(x.size, y.size) < PERCENT * max(x.size, y.size):
+        return False
+    common = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * common >= PERCENT * (x.size + y.size - common)
+
+
 def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept; also k1, k2.
 
@@ -207,12 +241,17 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     classes = classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "least", "_f.*")
     classes = staged(classes, "classes")
 
-    keys = classes.select(F.explode("bands").alias("key"), "cid")
-    pivots = keys.groupBy("key").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = staged(keys.join(pivots, "key"), "members")
+    keys = classes.select(F.posexplode("bands").alias("band", "key"), "cid")
+    pivot = F.min_by("cid", F.xxhash64("cid", F.col("band") % PIVOTS)).alias("pivot")
+    pivots = keys.groupBy("key").agg(pivot, F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = staged(keys.select("key", "cid").join(pivots, "key"), "members")
+    # Texts of candidates only; one plan at every size. Rows that repeat id and text share a key: any stands for its class.
+    candidates = members.select("cid").distinct().join(classes.select("cid", "k1", "k2", "sig"), "cid")
+    texts = keyed(docs, id_col, text_col).select("k1", "k2", "text").join(candidates.hint("merge"), ["k1", "k2"])
+    texts = staged(texts.select("cid", "sig", "text"), "candidates")
 
     def read_sig(col):
-        return [np.frombuffer(x, np.uint16) for x in col.to_pylist()]
+        return [np.frombuffer(x, np.uint8) for x in col.to_pylist()]
 
     def likely(x, y):
         done = score = 0
@@ -226,35 +265,17 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     def read_text(col):
         return shingle_sets(Words(*text_buffer(col), lower=True))
 
-    def near(x, y):
-        common = x.size + y.size - np.union1d(x, y).size
-        return 100 * common >= PERCENT * (x.size + y.size - common)
-
-    # Rows that repeat id and text share a key: any one of them stands for its class.
-    texts = keyed(docs, id_col, text_col).join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select("cid", "text")
-
-    def verified(pairs: DataFrame, pruned: bool) -> DataFrame:
-        if not pruned:
-            pairs = staged(_meet(pairs, classes, "sig", read_sig, likely), "likely")
-        return staged(_meet(pairs, texts, "text", read_text, near), "links")
-
     star = members.filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    links = verified(star, False)
-    roots = components(links)
-    # Buckets that hold members of several components.
-    left = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    star = staged(_meet(star, texts, "sig", read_sig, likely), "likely")
+    roots = components(staged(_meet(star, texts, "text", read_text, _near), "links"))
+    # Buckets that still hold members of several components.
+    left = members.drop("pivot").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = left.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
-    left = staged(left.join(mixed, "key").select("key", "cid", "root", "size"), "mixed")
-    small = left.filter(F.col("size") <= SMALL)
-    other = small.select("key", F.col("cid").alias("cid2"), F.col("root").alias("root2"))
-    across = small.join(other, "key").filter("root < root2").select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
-    across = across.distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = verified(across, False)
-    large = left.filter(F.col("size") > SMALL).join(classes.select("cid", "sig"), "cid")
-    more = more.union(verified(staged(_blocks(large, steps).distinct(), "blocks"), True))
-    roots = components(links.union(more))
+    left = left.join(mixed, "key").select("key", "cid", "root", "size").join(texts, "cid")
+    tops = components(staged(_blocks(left, steps), "bridges")).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
     found = classes.select("cid", "digest", "least").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    found = found.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root"))
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
     found = found.join(least, "root").select("digest", "component_id")
     out = table.select("doc_id", "k1", "k2", "n", "digest").join(found, "digest", "left")
