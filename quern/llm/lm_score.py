@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, local_path, mix64, new_path, ngram_hashes, partitions, small_batches, staged, text_buffer
+from quern.llm.common import Words, local_path, mix64, new_path, ngram_hashes, partitions, small_batches, staged, text_buffer, trim
 from quern.llm.substring_dedup import _pack, _unpack
 
 #: Tokens that a map task folds at once; shards for each shuffle partition.
@@ -108,8 +108,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class KneserNey:
     """A trained model: where its shards are, and the few numbers that all lookups need."""
 
-    def __init__(self, path: str, n_buckets: int, d2, d1, types: int, uni: tuple[int, int, int], vocabulary: int, tokens: int) -> None:
-        self.path, self.n_buckets, self.d2, self.d1, self.types = path, n_buckets, d2, d1, types
+    def __init__(self, path: str, n_buckets: int, n_words: int, d2, d1, types: int, uni: tuple[int, int, int], vocabulary: int, tokens: int) -> None:
+        self.path, self.n_buckets, self.n_words, self.d2, self.d1, self.types = path, n_buckets, n_words, d2, d1, types
         self.vocabulary, self.tokens = vocabulary, tokens
         self.gamma1 = float(d1[1] * uni[0] + d1[2] * uni[1] + d1[3] * uni[2]) / types if types else 1.0
 
@@ -127,7 +127,7 @@ class KneserNey:
     def unigrams(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token count and continuation probability of distinct token hashes."""
         raw, cont = np.zeros(tokens.size, np.int64), np.zeros(tokens.size, np.int64)
-        for g, s in self._by_bucket((tokens % np.uint64(self.n_buckets)).astype(np.int64), "u"):
+        for g, s in self._by_bucket((tokens % np.uint64(self.n_words)).astype(np.int64), "u"):
             at, there = find(s.key, tokens[g])
             raw[g], cont[g] = np.where(there, s.raw[at], 0), np.where(there, s.cont[at], 0)
         p = self.gamma1 / (self.vocabulary + 1)
@@ -178,7 +178,7 @@ def train(rows: DataFrame, text_col: str = "text") -> KneserNey:
     path = local_path(where)
     os.makedirs(path, exist_ok=True)
 
-    def rows_of(bucket: np.ndarray, **arrays: np.ndarray) -> pa.RecordBatch:
+    def rows_of(bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
         parts, buckets, bodies = [], [], []
         for g in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
@@ -197,7 +197,7 @@ def train(rows: DataFrame, text_col: str = "text") -> KneserNey:
             _, a, b, c = _fold_pairs(a, b, np.ones(a.size, np.int64))
             order = np.argsort(a)  # equal contexts side by side compress away
             a, b, c = a[order], b[order], c[order].astype(np.uint32)
-            return rows_of((mix64(a) % np.uint64(nb)).astype(np.int64), a=a, b=b, c=c)
+            return rows_of((mix64(a) % np.uint64(nb)).astype(np.int64), {"a": a, "b": b, "c": c})
 
         for batch in batches:
             w = Words(*text_buffer(batch.column(0)), lower=True)
@@ -236,7 +236,13 @@ def train(rows: DataFrame, text_col: str = "text") -> KneserNey:
     def of_counts(c: np.ndarray) -> list[int]:
         return np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()
 
+    def fold_words(held):
+        word, cont, raw = (np.concatenate(x) for x in zip(*held))
+        key, inv = np.unique(word, return_inverse=True)
+        return key, np.bincount(inv, weights=cont).astype(np.uint32), np.bincount(inv, weights=raw).astype(np.uint64)
+
     def bigrams(batches):
+        words = []  # of all buckets of this task, so that a task sends one row to each partition
         for b, held in groups(batches):
             a, nxt, c = gather(held, (np.uint64, np.uint64, np.uint32))
             key, a, nxt, c = _fold_pairs(a, nxt, c.astype(np.int64))
@@ -247,30 +253,32 @@ def train(rows: DataFrame, text_col: str = "text") -> KneserNey:
             total = np.bincount(inv, weights=c, minlength=context.size).astype(np.uint64)
             _write(f"{path}/b{b}", key=key, context=context, total=total, big_at=big, big_count=c[big], c1=k[0], c2=k[1], c3=k[2], count=small)
             word, w_inv = np.unique(nxt, return_inverse=True)
-            cont = np.bincount(w_inv).astype(np.uint32)
-            raw = np.bincount(w_inv, weights=c).astype(np.uint64)
-            sent = rows_of((word % np.uint64(nb)).astype(np.int64), word=word, cont=cont, raw=raw)
+            words.append((word, np.bincount(w_inv), np.bincount(w_inv, weights=c)))
+            if len(words) > 4:
+                words = [fold_words(words)]
             yield out([(0, -1, None, *of_counts(c), c.size, int(c.sum()))])
+        if words:
+            word, cont, raw = fold_words(words)
+            sent = rows_of((word % np.uint64(p)).astype(np.int64), {"word": word, "cont": cont, "raw": raw})
             yield out([(1, bk, body, 0, 0, 0, 0, 0, 0) for bk, body in zip(sent.column(1).to_pylist(), sent.column(2).to_pylist())])
+        trim()
 
     def unigrams(batches):
         for b, held in groups(batches):
-            word, cont, raw = gather(held, (np.uint64, np.uint32, np.uint64))
-            key, inv = np.unique(word, return_inverse=True)
-            cont = np.bincount(inv, weights=cont).astype(np.int64)
-            raw = np.bincount(inv, weights=raw).astype(np.int64)
-            _write(f"{path}/u{b}", key=key, cont=cont.astype(np.uint32), raw=raw)
+            key, cont, raw = fold_words([gather(held, (np.uint64, np.uint32, np.uint64))])
+            cont = cont.astype(np.int64)
+            _write(f"{path}/u{b}", key=key, cont=cont.astype(np.uint32), raw=raw.astype(np.int64))
             yield out([(2, -1, None, *of_counts(cont), key.size, int((cont > 2).sum()))])
 
     counted = rows.select(F.col(text_col).cast("string").alias("t")).mapInArrow(fold, "part int, bucket int, body binary")
     counted = counted.repartitionById(p, F.col("part")).sortWithinPartitions("bucket").select("bucket", "body").mapInArrow(bigrams, _OUT)
     counted = staged(counted, "kn-unigrams")
     words = counted.filter("kind = 1").select(F.col("part").alias("bucket"), "body")
-    words = words.repartitionById(p, F.col("bucket") % p).sortWithinPartitions("bucket").mapInArrow(unigrams, _OUT)
+    words = words.repartitionById(p, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(unigrams, _OUT)
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "types", "total")]
     one = words.agg(*sums).first()  # writes the shards
     two = counted.filter("kind = 0").agg(*sums).first()
-    return KneserNey(path, nb, discounts(two.n1, two.n2, two.n3, two.n4), discounts(one.n1, one.n2, one.n3, one.n4), two.types, (one.n1, one.n2, one.total), one.types, two.total)
+    return KneserNey(path, nb, p, discounts(two.n1, two.n2, two.n3, two.n4), discounts(one.n1, one.n2, one.n3, one.n4), two.types, (one.n1, one.n2, one.total), one.types, two.total)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7) -> DataFrame:
