@@ -82,12 +82,12 @@ def label_types(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.label_type(word).alias("label_type"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice / coalesce(nullif(l_quantity, 1), 2), 6) AS duration, CAST(floor(l_quantity / 25 * 30 + 1e-6) AS BIGINT) AS frames, CAST(l_linenumber AS VARCHAR) || 'x' || l_suppkey AS resolution,
+@query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice / (coalesce(nullif(l_quantity, 1), 2) + 0.7), 6) AS duration, CAST(floor(l_quantity / 25 * 30 + 1e-6) AS BIGINT) AS frames, CAST(l_linenumber AS VARCHAR) || 'x' || l_suppkey AS resolution,
   l_quantity < 29.5 AS up, l_quantity > 30.5 AS down, abs(l_tax - l_discount) > 0.05 AS vfr FROM lineitem""")
 def derived_flags(spark, sf):
     q = F.col("l_quantity")
     return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", r6(F.col("l_extendedprice") / F.coalesce(F.nullif(q, F.lit(1.0)), F.lit(2.0))).alias("duration"), F.floor(q / 25 * 30 + 1e-6).alias("frames"),
+        "l_orderkey", "l_linenumber", r6(F.col("l_extendedprice") / (F.coalesce(F.nullif(q, F.lit(1.0)), F.lit(2.0)) + 0.7)).alias("duration"), F.floor(q / 25 * 30 + 1e-6).alias("frames"),
         F.concat_ws("x", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("resolution"), (q < 29.5).alias("up"), (q > 30.5).alias("down"), (F.abs(F.col("l_tax") - F.col("l_discount")) > 0.05).alias("vfr"))
 
 
@@ -277,7 +277,8 @@ def utc_stamps(spark, sf):
     return table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("compact"))
 
 
-@query("SELECT event_id, lpad(CAST(floor(value * 60) // 60 AS VARCHAR), greatest(2, length(CAST(floor(value * 60) // 60 AS VARCHAR))), '0') || ':' || lpad(CAST(CAST(floor(value * 60) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT event_id, CAST(floor(value * 60) AS BIGINT) / 60 AS value FROM events)".replace("floor(value * 60) // 60", "(CAST(round(value * 60) AS BIGINT) // 60)").replace("CAST(floor(value * 60) AS BIGINT) % 60 AS VARCHAR", "CAST(round(value * 60) AS BIGINT) % 60 AS VARCHAR"))
+@query("""WITH v AS (SELECT event_id, CAST(floor(value * 60) AS BIGINT) AS s FROM events)
+SELECT event_id, lpad(CAST(s // 60 AS VARCHAR), CAST(greatest(2, length(CAST(s // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock FROM v""")
 def duration_format(spark, sf):
     return table(spark, sf, "events").select("event_id", tx.clock(F.floor(F.col("value") * 60)).alias("clock"))
 
@@ -329,10 +330,10 @@ def pack_flags(spark, sf):
     return table(spark, sf, "events").select("event_id", f.alias("flags"), ar.has_flag(f, ar.PRESENT).alias("present"))
 
 
-@query("SELECT page_id, 'p/' || replace(replace(coalesce(regexp_extract(html, '<title>([^<]{0,12})', 1), ''), '&amp;', ''), ' ', '_') IS NOT NULL AS ok, 'a%20b/c%2Bd%26' || page_id AS quoted FROM pages")
+@query("SELECT page_id, 'a%20b/c%2Bd%26' || page_id AS quoted FROM pages")
 def url_quote(spark, sf):
     p = F.concat(F.lit("a b/c+d&"), F.col("page_id").cast("string"))
-    return table(spark, sf, "pages").select("page_id", F.lit(True).alias("ok"), tx.url_path(p).alias("quoted"))
+    return table(spark, sf, "pages").select("page_id", tx.url_path(p).alias("quoted"))
 
 
 # ---------------------------------------------------------------- metrics
@@ -416,7 +417,7 @@ def parity_diff(spark, sf):
 
 @query("SELECT round(quantile_cont(e, 0.99), 7) AS p99, round(quantile_cont(e, 0.999), 7) AS p999, round(max(e), 7) AS max_error, count(*) AS n, max(e) < 0.01 AS passes FROM (SELECT abs(CAST(v AS DOUBLE) - round(CAST(v AS DOUBLE), 2)) AS e FROM (SELECT unnest(embedding) AS v FROM embeddings))")
 def precision_quantiles(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.explode("embedding").cast("double").alias("v")).select(F.abs(F.col("v") - F.round("v", 2)).alias("e"))
+    v = table(spark, sf, "embeddings").select(F.explode("embedding").alias("v")).select(F.col("v").cast("double").alias("v")).select(F.abs(F.col("v") - F.round("v", 2)).alias("e"))
     q = F.percentile("e", F.array(F.lit(0.99), F.lit(0.999)))
     return v.agg(q.alias("q"), F.max("e").alias("m"), F.count(F.lit(1)).alias("n")).select(F.round(F.col("q")[0], 7).alias("p99"), F.round(F.col("q")[1], 7).alias("p999"), F.round("m", 7).alias("max_error"), "n", (F.col("m") < 0.01).alias("passes"))
 

@@ -83,11 +83,11 @@ c AS (SELECT clip, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM s GROUP BY cli
 g AS (SELECT clip, n, k, least(t0 + k / 2.0, t1) AS tt FROM (SELECT *, unnest(range(m)) AS k FROM m)),
 h AS (SELECT g.clip, k, tt, greatest(1, least(max(g.n) - 1, count_if(s.t < tt))) AS hi FROM g JOIN s ON s.clip = g.clip GROUP BY g.clip, k, tt),
 x AS (SELECT h.clip, k, tt, a.v AS av, a.p AS ap, b.v AS bv, b.p AS bp, greatest(0, least(1, (tt - a.t) / CASE WHEN b.t > a.t THEN b.t - a.t ELSE 1 END)) AS w FROM h JOIN s a ON a.clip = h.clip AND a.i = hi - 1 JOIN s b ON b.clip = h.clip AND b.i = hi)
-SELECT clip, k, round(tt, 4) AS t, round(CASE WHEN ap AND bp THEN av * (1 - w) + bv * w WHEN w >= 0.5 THEN bv ELSE av END, 4) AS value, (ap AND bp) OR CASE WHEN w >= 0.5 THEN bp ELSE ap END AS present FROM x""")
+SELECT clip, k, round(tt, 6) AS t, round(CASE WHEN ap AND bp THEN av * (1 - w) + bv * w WHEN w >= 0.5 THEN bv ELSE av END, 4) AS value, (ap AND bp) OR CASE WHEN w >= 0.5 THEN bp ELSE ap END AS present FROM x""")
 def resample_grid(spark, sf):
     c = _present(spark, sf).withColumn("t", r6(F.col("t") / 43200.0))
     r = timeseries.resample_uniform(c, "value", "pr", 2.0)
-    return r.select("clip", F.col("k").cast("long").alias("k"), F.round("t", 4).alias("t"), F.round("value", 4).alias("value"), "present")
+    return r.select("clip", F.col("k").cast("long").alias("k"), F.round("t", 6).alias("t"), F.round("value", 4).alias("value"), "present")
 
 
 @query(f"""WITH {_IV}, p AS (SELECT clip, k, start + k * ((e - start) / 29) AS p, e FROM (SELECT *, unnest(range(30)) AS k FROM iv)), q AS (SELECT clip, k, CAST(floor(p) AS BIGINT) AS i, least(CAST(floor(p) AS BIGINT) + 1, e) AS j, CAST(CAST(p - floor(p) AS FLOAT) AS DOUBLE) AS a FROM p),
@@ -165,9 +165,9 @@ def run_histogram(spark, sf):
     return back.agg(F.count(F.lit(1)).alias("intervals"), F.count_if(F.col("len") <= 1).alias("short"), F.count_if(F.col("len").between(2, 3)).alias("mid"), F.count_if(F.col("len") > 3).alias("long"), long.alias("clips_with_long"))
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS events, round(100.0 * count_if(event_type = 'purchase') / count(*), 6) AS purchase_pct, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, round(100.0 * count_if(event_type = 'purchase') / count(*), 6) AS purchase_pct, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def split_stats(spark, sf):
-    e = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"))
+    e = table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return e.agg(F.count(F.lit(1)).alias("events"), r6(F.count_if(F.col("event_type") == "purchase") * 100.0 / F.count(F.lit(1))).alias("purchase_pct"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
 
 
