@@ -130,7 +130,7 @@ class KneserNey:
         for g, s in self._by_bucket((tokens % np.uint64(self.n_words)).astype(np.int64), "u"):
             at, there = find(s.key, tokens[g])
             raw[g], cont[g] = np.where(there, s.raw[at], 0), np.where(there, s.cont[at], 0)
-        p = self.gamma1 / (self.vocabulary + 1)
+        p = np.full(tokens.size, self.gamma1 / (self.vocabulary + 1))
         return raw, p + (np.maximum(cont - self.d1[np.minimum(cont, 3)], 0) / self.types if self.types else 0)
 
     def bigrams(self, a: np.ndarray, b: np.ndarray, lower: np.ndarray) -> np.ndarray:
