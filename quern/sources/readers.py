@@ -26,7 +26,10 @@ FRAMES = T.StructType([
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*", hashes: bool = True) -> DataFrame:
-    """repo_path, folder, filename, size_bytes, sha256 of every file under path; without hashes contents are not read."""
+    """repo_path, folder, filename, size_bytes, sha256 of every file under path; without hashes contents are not read.
+
+    Empty files hold nothing to read and are not listed.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     root = F.lit(path.rstrip("/").removeprefix("file://") + "/")
     rel = F.regexp_replace(F.col("path"), "^[a-z]+:/*(?=/)", "")
