@@ -2,12 +2,12 @@
 
 Each line is parsed to a fixed depth: its token count and its leading tokens, after tokens with a digit became
 ``<*>``, name a leaf. Inside leaves that several documents reach, a token stays constant at its place if it recurs
-there in several documents, and else becomes ``<*>`` too: that is the line's template. A template that enough
-documents share, and that is constant enough, is boilerplate: every line of it but the first goes.
+there in several lines, and else becomes ``<*>`` too: that is the line's template. A template that enough documents
+share, and that is constant enough, is boilerplate: every line of it but the first goes.
 
-Leaves are counted on 8-byte hashes with map-side partial aggregation, so only lines of recurring leaves, a small
-part of any corpus, carry text through a shuffle; equal masked lines travel as one row with a count, so a line
-that a third of the corpus repeats costs one row per task.
+Leaves are counted on 8-byte hashes with map-side partial aggregation; only lines of recurring leaves are masked
+whole and staged, and everything after reads those. Equal masked lines travel as one row with a count, so a line
+that a third of the corpus repeats costs one row per task. Whole texts are shuffled once, to meet their line numbers.
 """
 
 from __future__ import annotations
@@ -15,45 +15,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import keyed
+from quern.llm.common import keyed, staged
 
 #: Leaves that recur are broadcast up to this many rows (16 bytes each), else joined by a shuffle.
 MAX_LEAVES = 500_000
 WILD = "<*>"
+#: Leading tokens of a leaf; documents that make a template recurring; least share of constant tokens.
+DEPTH, MIN_DOCS, CONSTANT = 5, 5, 0.5
+
+
+def plain(line: Column) -> Column:
+    """White-space runs as one space, ends trimmed; byte scans find the few lines that need it."""
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in "\t\v\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
 
 
 def masked(line: Column) -> Column:
-    """White-space runs as one space, ends trimmed, tokens with an ASCII digit as <*>."""
-    odd = line.rlike(r"[\t\v\f\r]|  |^ | $")
-    line = F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+    """Tokens with an ASCII digit as <*>."""
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ ]*[0-9][^ ]*", WILD)).otherwise(line)
 
 
-def _leaf(m: Column, depth: int) -> Column:
-    n = F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "), F.lit("")))
-    return F.xxhash64(n, F.substring_index(m, " ", depth))
+def _leaf(line: Column, depth: int) -> Column:
+    n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.xxhash64(n, masked(F.substring_index(line, " ", depth)))
 
 
-def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, constant: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2, drop: per document key with such lines, the sorted places (from 0) of the lines that go."""
     rows = keyed(docs, id_col, text_col).filter(F.col("text").isNotNull())
-    lines = rows.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("at", "_l")).select("k1", "k2", "at", masked(F.col("_l")).alias("m"))
-    lines = lines.filter("m <> ''").withColumn("leaf", _leaf(F.col("m"), depth))
-    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_docs).select("leaf")
-    few = leaves.limit(MAX_LEAVES + 1).count() <= MAX_LEAVES
+    lines = rows.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("at", "_l")).select("k1", "k2", "at", plain(F.col("_l")).alias("l"))
+    lines = lines.filter("l <> ''").withColumn("leaf", _leaf(F.col("l"), depth))
+    leaves = staged(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_docs).select("leaf"), "leaves")
+    few = leaves.count() <= MAX_LEAVES
     lines = lines.join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi")
-    distinct = lines.groupBy("leaf", "m").agg(F.count(F.lit(1)).alias("n"))
-    tokens = distinct.select("leaf", "m", "n", F.posexplode(F.split("m", " ")).alias("p", "t"))
-    common = tokens.groupBy("leaf", "p", "t").agg(F.sum("n").alias("_c")).filter(F.col("_c") >= min_docs).select("leaf", "p", "t", F.lit(True).alias("_k"))
-    tokens = tokens.join(common, ["leaf", "p", "t"], "left")
-    fixed = F.col("_k").isNotNull() & (F.col("t") != WILD)
-    parsed = tokens.groupBy("leaf", "m").agg(
-        F.array_sort(F.collect_list(F.struct("p", F.when(fixed, F.col("t")).otherwise(F.lit(WILD)).alias("t")))).alias("_ts"),
-        F.avg(fixed.cast("int")).alias("_share"),
-    )
-    parsed = parsed.filter(F.col("_share") >= constant).select("leaf", "m", F.xxhash64("leaf", F.array_join("_ts.t", " ")).alias("tpl"))
-    lines = lines.join(parsed, ["leaf", "m"]).select("tpl", "k1", "k2", "at")
+    m = masked(F.col("l"))
+    lines = staged(lines.select("k1", "k2", "at", "leaf", F.xxhash64(m).alias("mh"), m.alias("m")), "lines")
+    # From here a masked line is known by (leaf, mh), 128 bits; its text moves once.
+    distinct = staged(lines.groupBy("leaf", "mh").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")), "masked")
+    tokens = distinct.select("leaf", "mh", "n", F.posexplode(F.split("m", " ")).alias("p", "t"))
+    common = tokens.groupBy("leaf", "p", "t").agg(F.sum("n").alias("_c")).filter((F.col("_c") >= min_docs) & (F.col("t") != WILD))
+    common = common.select("leaf", "p", "t", F.lit(1).alias("_k"))
+    tokens = tokens.select("leaf", "mh", "p", "t").join(common.hint("merge"), ["leaf", "p", "t"], "left")
+    # Places and constant tokens name the template; sums of fixed size, so equal lines fold before the shuffle.
+    seen = F.bit_xor(F.when(F.col("_k").isNotNull(), F.xxhash64("p", "t")).otherwise(F.xxhash64("p")))
+    parsed = tokens.groupBy("leaf", "mh").agg(seen.alias("_t"), (F.count("_k") / F.count(F.lit(1))).alias("_share"))
+    parsed = parsed.filter(F.col("_share") >= constant).select("leaf", "mh", F.xxhash64("leaf", "_t").alias("tpl"))
+    lines = lines.select("k1", "k2", "at", "leaf", "mh").join(parsed.hint("merge"), ["leaf", "mh"]).select("tpl", "k1", "k2", "at")
     per_doc = lines.groupBy("tpl", "k1", "k2").agg(F.collect_list("at").alias("ats"))
+    per_doc = staged(per_doc, "templates")
     count = per_doc.groupBy("tpl").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("k1", "k2")).alias("_first")).filter(F.col("_n") >= min_docs)
     out = per_doc.join(count, "tpl")
     first = (F.col("k1") == F.col("_first.k1")) & (F.col("k2") == F.col("_first.k2"))
@@ -61,7 +72,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, constant
     return out.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list(ats))).alias("drop")).filter(F.size("drop") > 0)
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, constant: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_dropped, kept_sha256, text (the lines that stay).
 
     Lines are cut at ``\\n``; blank lines always stay; of a recurring template the first line (smallest doc_id,
@@ -71,8 +82,8 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 5, con
     """
     rows = keyed(docs, id_col, text_col)
     drop = recurring_lines(docs, depth, min_docs, constant, id_col, text_col)
-    rows = rows.join(drop, ["k1", "k2"], "left")
+    rows = rows.join(drop.hint("merge"), ["k1", "k2"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drop", i)), "\n")
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
-    rows = rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"), text.alias("text"))
+    rows = rows.select("doc_id", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"), text.alias("text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")
