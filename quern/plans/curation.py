@@ -28,13 +28,13 @@ def annotate_duplicates(spark, sf):
 def _rows_and_files(spark, sf):
     """Metadata rows and a file index whose names partly miss, repeat or conflict."""
     s = samples(spark, sf)
-    rows = s.filter("doc_id % 13 <> 0").select(F.col("doc_id").alias("csv_row"), F.when(F.col("doc_id") % 97 == 5, " ").otherwise(F.col("word")).alias("word"), "filename")
-    files = s.filter("doc_id % 11 <> 0").select(F.concat("repo_path", F.lit("#"), "sample_id").alias("repo_path"), F.col("lang").alias("folder"), "filename", F.col("n_chars").alias("size_bytes"), F.when(F.col("doc_id") % 17 != 0, F.col("sha256")).alias("sha256"))
+    rows = s.filter("lang <> 'es'").select(F.col("doc_id").alias("csv_row"), F.when(F.col("n_chars") > 9000, " ").otherwise(F.col("word")).alias("word"), "filename")
+    files = s.filter("n_chars > 400").select(F.concat("repo_path", F.lit("#"), "sample_id").alias("repo_path"), F.col("lang").alias("folder"), "filename", F.col("n_chars").alias("size_bytes"), F.when(F.col("word") != "src3", F.col("sha256")).alias("sha256"))
     return rows, files
 
 
-_MANIFEST = f"""{SAMPLES}, rws AS (SELECT doc_id AS csv_row, CASE WHEN doc_id % 97 = 5 THEN ' ' ELSE word END AS word, filename FROM samples WHERE doc_id % 13 <> 0),
-files AS (SELECT repo_path || '#' || sample_id AS repo_path, lang AS folder, filename, n_chars AS size_bytes, CASE WHEN doc_id % 17 <> 0 THEN sha256 END AS sha256 FROM samples WHERE doc_id % 11 <> 0),
+_MANIFEST = f"""{SAMPLES}, rws AS (SELECT doc_id AS csv_row, CASE WHEN n_chars > 9000 THEN ' ' ELSE word END AS word, filename FROM samples WHERE lang <> 'es'),
+files AS (SELECT repo_path || '#' || sample_id AS repo_path, lang AS folder, filename, n_chars AS size_bytes, CASE WHEN word <> 'src3' THEN sha256 END AS sha256 FROM samples WHERE n_chars > 400),
 idx AS (SELECT filename, count(*) AS k, min(repo_path) AS repo_path, arg_min(folder, repo_path) AS folder, arg_min(size_bytes, repo_path) AS size_bytes,
   (SELECT f2.sha256 FROM files f2 WHERE f2.filename = f.filename ORDER BY f2.repo_path LIMIT 1) AS sha256 FROM files f GROUP BY filename),
 lab AS (SELECT filename, count(DISTINCT word) AS labels FROM rws GROUP BY filename),
@@ -263,13 +263,13 @@ def _checked(spark, sf):
 SELECT 'unique sample_id' AS check, true AS passed, '0 duplicated ids' AS detail UNION ALL SELECT 'each file in exactly one split', true, '0 paths repeated' UNION ALL SELECT 'split values valid', true, '0 invalid values'
 UNION ALL SELECT 'no identical content across splits', k = 0, k || ' hashes span >1 split' FROM (SELECT count(*) AS k FROM (SELECT sha256 FROM samples GROUP BY sha256 HAVING count(DISTINCT split) > 1))
 UNION ALL SELECT 'no split group across splits', k = 0, k || ' groups span >1 split' FROM (SELECT count(*) AS k FROM (SELECT sha256 FROM samples GROUP BY sha256 HAVING count(DISTINCT split) > 1))
-UNION ALL SELECT 'only eligible samples in split', k = 0, k || ' ineligible samples present' FROM (SELECT count(*) AS k FROM samples WHERE doc_id % 50 = 0)
+UNION ALL SELECT 'only eligible samples in split', k = 0, k || ' ineligible samples present' FROM (SELECT count(*) AS k FROM samples WHERE n_chars < 100)
 UNION ALL SELECT 'all eligible samples assigned', true, '0 eligible samples missing'
 UNION ALL SELECT 'every expected class present in ' || s, k = 0, k || ' expected classes missing' FROM (SELECT s, (SELECT count(*) FROM w WHERE word NOT IN (SELECT word FROM samples WHERE split = s)) AS k FROM (VALUES ('train'), ('val'), ('test')) v(s))
 UNION ALL SELECT s || ' ratio ~ ' || t, abs(f - CAST(t AS DOUBLE)) <= 0.02, printf('%.4f', f) FROM (SELECT s, t, (SELECT avg(CASE WHEN split = s THEN 1.0 ELSE 0.0 END) FROM samples) AS f FROM (VALUES ('train', '0.75'), ('val', '0.12'), ('test', '0.12')) v(s, t))""")
 def split_checks(spark, sf):
     s = _checked(spark, sf)
-    return quality.split_checks(s, s.filter("doc_id % 50 <> 0").select("sample_id"), {"train": 0.75, "val": 0.12, "test": 0.12}, 0.02)
+    return quality.split_checks(s, s.filter("n_chars >= 100").select("sample_id"), {"train": 0.75, "val": 0.12, "test": 0.12}, 0.02)
 
 
 @query(f"WITH {SAMPLES} SELECT word, count_if(split = 'train') AS train, count_if(split = 'val') AS val, count_if(split = 'test') AS test FROM samples GROUP BY word")
@@ -403,11 +403,11 @@ def content_digest(spark, sf):
     return quality.digest(table(spark, sf, "customer"))
 
 
-@query("""SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('7:' || c_custkey)) AS rn, sha256('7:' || c_custkey) AS h FROM customer) ORDER BY rn > 1, h LIMIT 40""")
+@query("""WITH c AS (SELECT c_custkey, sha256('7:' || c_custkey) AS h, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('7:' || c_custkey)) > 1 AS again FROM customer) SELECT c_custkey, again, row_number() OVER (ORDER BY again, h) AS place FROM c""")
 def distinct_class_first(spark, sf):
     c = table(spark, sf, "customer").withColumn("h", tx.tie_break(F.col("c_custkey"), 7))
-    c = c.withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("h")))
-    return c.orderBy(F.col("rn") > 1, "h").limit(40).select("c_custkey", "c_name")
+    c = c.withColumn("again", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("h")) > 1)
+    return sampling.global_rank(c, [F.col("again"), F.col("h")], "place").select("c_custkey", "again", "place")
 
 
 @query("""WITH e AS (SELECT user_id, event_type, ts, event_id, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, ts DESC, event_id DESC) AS rn FROM events) SELECT user_id, event_id, ok FROM e WHERE rn = 1""")

@@ -166,10 +166,10 @@ def left_chain(spark, sf):
     return out.select("o_orderkey", "c_name", "n_name", "r_name")
 
 
-@query(f"WITH {SAMPLES} SELECT a.sample_id, CASE WHEN b.sample_id IS NULL THEN 'missing' ELSE 'split_changed' END AS problem FROM samples a LEFT JOIN (SELECT sample_id, CASE WHEN doc_id % 31 = 3 THEN 'moved' ELSE split END AS split FROM samples WHERE doc_id % 29 <> 1) b ON a.sample_id = b.sample_id WHERE b.split IS DISTINCT FROM a.split")
+@query(f"WITH {SAMPLES} SELECT a.sample_id, CASE WHEN b.sample_id IS NULL THEN 'missing' ELSE 'split_changed' END AS problem FROM samples a LEFT JOIN (SELECT sample_id, CASE WHEN n_chars > 9000 THEN 'moved' ELSE split END AS split FROM samples WHERE lang <> 'es') b ON a.sample_id = b.sample_id WHERE b.split IS DISTINCT FROM a.split")
 def split_preserved(spark, sf):
     s = samples(spark, sf)
-    b = s.filter("doc_id % 29 <> 1").select("sample_id", F.when(F.col("doc_id") % 31 == 3, "moved").otherwise(F.col("split")).alias("b"))
+    b = s.filter("lang <> 'es'").select("sample_id", F.when(F.col("n_chars") > 9000, "moved").otherwise(F.col("split")).alias("b"))
     j = s.join(b, "sample_id", "left").filter(~F.col("b").eqNullSafe(F.col("split")))
     return j.select("sample_id", F.when(F.col("b").isNull(), "missing").otherwise("split_changed").alias("problem"))
 
@@ -188,9 +188,12 @@ def size_lookup(spark, sf):
 
 
 # ---------------------------------------------------------------- sorts, sets
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_quantity DESC, l_discount, l_orderkey, l_linenumber LIMIT 200")
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_quantity DESC, l_discount, l_orderkey, l_linenumber) AS place FROM lineitem")
 def mixed_sort(spark, sf):
-    return table(spark, sf, "lineitem").orderBy(F.desc("l_quantity"), "l_discount", "l_orderkey", "l_linenumber").limit(200).select("l_orderkey", "l_linenumber", "l_extendedprice")
+    from quern.operators.sampling import global_rank
+
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return global_rank(li, [F.desc("l_quantity"), F.col("l_discount"), F.col("l_orderkey"), F.col("l_linenumber")], "place").select("l_orderkey", "l_linenumber", "place")
 
 
 @query("SELECT c_nationkey AS value, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, value LIMIT 15")
@@ -405,14 +408,14 @@ def latency_stats(spark, sf):
     return x.select(*[F.round(c, 4).alias(c) for c in ("mean_ms", "median_ms", "p95_ms")], r6("samples_per_s").alias("samples_per_s"))
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_tax AS t FROM lineitem WHERE l_orderkey % 19 <> 0), b AS (SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_orderkey % 23 = 0 THEN 1 ELSE 0 END AS q, l_tax AS t FROM lineitem WHERE l_orderkey % 17 <> 0),
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_tax AS t FROM lineitem WHERE l_discount > 0.005), b AS (SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_suppkey = 7 THEN 1 ELSE 0 END AS q, l_tax AS t FROM lineitem WHERE l_quantity > 1),
 j AS (SELECT a.l_orderkey AS x, b.l_orderkey AS y, a.q AS aq, b.q AS bq, a.t AS at_, b.t AS bt FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber)
 SELECT 'q' AS value, count_if(x IS NOT NULL AND y IS NOT NULL) AS rows, count_if(y IS NULL) AS only_a, count_if(x IS NULL) AS only_b, max(abs(aq - bq)) AS max_diff, count_if(x IS NOT NULL AND y IS NOT NULL AND aq <> bq) AS unequal, false AS equal FROM j
 UNION ALL SELECT 't', count_if(x IS NOT NULL AND y IS NOT NULL), count_if(y IS NULL), count_if(x IS NULL), max(abs(at_ - bt)), count_if(x IS NOT NULL AND y IS NOT NULL AND at_ <> bt), false FROM j""")
 def parity_diff(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_tax").alias("t"))
-    b = li.filter("l_orderkey % 17 <> 0").withColumn("q", F.col("q") + F.when(F.col("l_orderkey") % 23 == 0, 1).otherwise(0))
-    return quality.parity(li.filter("l_orderkey % 19 <> 0"), b, ["l_orderkey", "l_linenumber"], ["q", "t"])
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_tax").alias("t"), "l_discount", "l_suppkey")
+    b = li.filter("q > 1").withColumn("q", F.col("q") + F.when(F.col("l_suppkey") == 7, 1).otherwise(0))
+    return quality.parity(li.filter("l_discount > 0.005"), b, ["l_orderkey", "l_linenumber"], ["q", "t"])
 
 
 @query("SELECT round(quantile_cont(e, 0.99), 7) AS p99, round(quantile_cont(e, 0.999), 7) AS p999, round(max(e), 7) AS max_error, count(*) AS n, max(e) < 0.01 AS passes FROM (SELECT abs(CAST(v AS DOUBLE) - round(CAST(v AS DOUBLE), 2)) AS e FROM (SELECT unnest(embedding) AS v FROM embeddings))")
