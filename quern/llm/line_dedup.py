@@ -87,3 +87,22 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MI
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
     rows = rows.select("doc_id", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"), text.alias("text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS ln FROM d),
+m AS (SELECT doc_id, ln, list_transform(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ts FROM l),
+k AS (SELECT doc_id, ln, ts, len(ts) || ':' || array_to_string(ts[1:5], ' ') AS leaf FROM m WHERE len(ts) > 0),
+f AS (SELECT leaf FROM k GROUP BY leaf HAVING count(*) >= 5), c AS (SELECT * FROM k SEMI JOIN f USING (leaf)),
+t AS (SELECT doc_id, ln, leaf, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM c),
+o AS (SELECT leaf, p, t FROM t WHERE t <> '<*>' GROUP BY ALL HAVING count(*) >= 5),
+x AS (SELECT doc_id, ln, t.leaf, string_agg(CASE WHEN o.t IS NULL THEN '<*>' ELSE t.t END, ' ' ORDER BY t.p) AS tpl, avg(CASE WHEN o.t IS NULL THEN 0.0 ELSE 1.0 END) AS share
+  FROM t LEFT JOIN o ON o.leaf = t.leaf AND o.p = t.p AND o.t = t.t GROUP BY doc_id, ln, t.leaf),
+y AS (SELECT leaf, tpl, doc_id, list(ln ORDER BY ln) AS lns FROM x WHERE share >= 0.5 GROUP BY leaf, tpl, doc_id),
+z AS (SELECT leaf, tpl, min(doc_id) AS first FROM y GROUP BY leaf, tpl HAVING count(*) >= 5),
+g AS (SELECT doc_id, flatten(list(CASE WHEN doc_id = first THEN lns[2:] ELSE lns END)) AS cut FROM y JOIN z USING (leaf, tpl) GROUP BY doc_id),
+h AS (SELECT d.doc_id, text, ls, coalesce(cut, []) AS cut FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, coalesce(len(ls), 0) AS n_lines, len(cut) AS n_dropped, sha256(coalesce(CASE WHEN len(cut) = 0 THEN text
+  ELSE array_to_string(list_transform(list_filter(range(len(ls)), lambda q: NOT list_contains(cut, q)), lambda q: ls[q + 1]), chr(10)) END, '')) AS kept_sha256 FROM h
+"""

@@ -298,3 +298,16 @@ def drop_near_copies(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_c
     rows_ = rows_.join(one.union(none), ["k1", "k2"])  # leaves the rows dealt out and sorted as the window needs them
     rows_ = rows_.withColumn("_rn", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0))))
     return rows_.filter("_rn = 1 or not _one").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(len(w) - 4), lambda k: array_to_string(w[k + 1 : k + 5], ' '))) END AS g FROM d),
+s AS (SELECT doc_id, unnest(g) AS x FROM g), n AS (SELECT doc_id, len(g) AS n FROM g),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT doc_id, n AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id, n
+"""

@@ -54,4 +54,10 @@ QUERIES = {
         op6_decontaminate, op7_line_dedup, op8_exact_dedup, op9_license_scan, op10_minhash_dedup,
     )
 }
-ORACLE = {"op6_decontaminate": decontaminate.SQL, "op8_exact_dedup": exact_dedup.SQL}
+ORACLE = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op6_decontaminate": decontaminate.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+    "op8_exact_dedup": exact_dedup.SQL,
+    "op10_minhash_dedup": minhash_dedup.SQL,
+}

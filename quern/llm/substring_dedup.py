@@ -263,3 +263,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
             )
 
     return rows.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, w, unnest(range(len(w) - 34)) AS p FROM d WHERE len(w) >= 35),
+win AS (SELECT rid, p, array_to_string(w[p + 1 : p + 35], ' ') AS x FROM p),
+again AS (SELECT x FROM win GROUP BY x HAVING count(*) > 1),
+hit AS (SELECT rid, list(p) AS ps FROM win JOIN again USING (x) GROUP BY rid),
+cov AS (SELECT rid, list_sort(list(DISTINCT q)) AS cut FROM (SELECT rid, unnest(flatten(list_transform(ps, lambda a: range(a, a + 35)))) AS q FROM hit) GROUP BY rid),
+keep AS (SELECT rid, list(word ORDER BY i) AS kept FROM (SELECT d.rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d) x
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT rid, unnest(cut) AS q FROM cov) c WHERE c.rid = x.rid AND c.q = x.i) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(len(cut), 0) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN keep USING (rid)
+"""
