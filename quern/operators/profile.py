@@ -44,15 +44,16 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("o"))
     rows, cols = d.groupBy("a").agg(F.sum("o").alias("ra")), d.groupBy("b").agg(F.sum("o").alias("cb"))
-    n = d.agg(F.sum("o").alias("n"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"))
-    # A full table of the values, whose number does not follow the rows.
-    full = rows.crossJoin(cols).join(d, ["a", "b"], "left").crossJoin(F.broadcast(n)).withColumn("e", F.col("ra") * F.col("cb") / F.col("n"))
-    dof = (F.col("r") - 1) * (F.col("c") - 1)
-    diff = F.abs(F.coalesce("o", F.lit(0)) - F.col("e"))
-    diff = F.when(dof == 1, diff - F.least(F.lit(0.5), diff)).otherwise(diff)
-    out = full.agg(F.sum(diff * diff / F.col("e")).alias("chi2"), F.max(dof).alias("dof"), F.min("e").alias("min_expected"))
-    ok = F.col("dof") > 0
-    return out.select(F.when(ok, F.col("chi2")).alias("chi2"), "dof", F.when(ok, F.col("min_expected")).alias("min_expected"))
+    # Cells that are empty need no rows: sum (o - e)^2 / e = sum o^2 / e - n, and in a 2 x 2 table |o - e| is one number.
+    r = rows.agg(F.sum("ra").alias("n"), F.count(F.lit(1)).alias("nr"), F.min("ra").alias("least_r"), F.sum(1 / F.col("ra")).alias("inv_r"))
+    c = cols.agg(F.count(F.lit(1)).alias("nc"), F.min("cb").alias("least_c"), F.sum(1 / F.col("cb")).alias("inv_c"))
+    cells = d.join(rows, "a").join(cols, "b").crossJoin(F.broadcast(r))  # one row
+    e = F.col("ra") * F.col("cb") / F.col("n")
+    got = cells.agg(F.sum(F.col("o") * F.col("o") / e).alias("s"), F.max(F.abs(F.col("o") - e)).alias("gap")).crossJoin(r).crossJoin(c)
+    dof = (F.col("nr") - 1) * (F.col("nc") - 1)
+    gap = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))
+    chi2 = F.when(dof == 1, gap * gap * F.col("n") * F.col("inv_r") * F.col("inv_c")).when(dof > 1, F.col("s") - F.col("n"))
+    return got.select(chi2.alias("chi2"), dof.alias("dof"), F.when(dof > 0, F.col("least_r") * F.col("least_c") / F.col("n")).alias("min_expected"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

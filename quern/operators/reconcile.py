@@ -23,7 +23,7 @@ def manifest(rows: DataFrame, files: DataFrame) -> DataFrame:
     """
     by_file = Window.partitionBy("filename")
     m = rows.withColumns({
-        "_labels": F.size(F.collect_set("word").over(by_file)),
+        "_conflict": F.min("word").over(by_file) != F.max("word").over(by_file),
         "_nth": F.row_number().over(Window.partitionBy("filename", "word").orderBy("csv_row")),
     })
     found = F.struct("repo_path", "folder", "size_bytes", "sha256")
@@ -32,7 +32,7 @@ def manifest(rows: DataFrame, files: DataFrame) -> DataFrame:
     one = {c: F.when(F.col("_files") == 1, F.col(f"_file.{c}")) for c in ("repo_path", "folder", "size_bytes", "sha256")}
     issue = (
         F.when((trim_space(F.col("word")) == "") | (trim_space(F.col("filename")) == ""), EMPTY_FIELD)
-        .when(F.col("_labels") > 1, CONFLICTING_LABEL)
+        .when(F.col("_conflict"), CONFLICTING_LABEL)
         .when(F.col("_nth") > 1, DUPLICATE_ROW)
         .when(F.col("_files") == 0, FILE_MISSING)
         .when(F.col("_files") > 1, AMBIGUOUS)
@@ -86,11 +86,16 @@ def content_groups(df: DataFrame, sha: str = "sha256", label: str = "word", path
 
 
 def annotate_duplicates(df: DataFrame, eligible: Column, sha: str = "sha256", label: str = "word") -> DataFrame:
-    """df with dup_group_size and dup_cross_label; 0 and false for rows that are not eligible."""
-    w = Window.partitionBy(eligible, F.col(sha))
-    size, labels = F.count(F.lit(1)).over(w), F.size(F.collect_set(label).over(w))
-    ok = eligible & F.col(sha).isNotNull()
-    return df.withColumns({"dup_group_size": F.when(ok, size).otherwise(0), "dup_cross_label": F.when(ok, (size > 1) & (labels > 1)).otherwise(F.lit(False))})
+    """df with dup_group_size and dup_cross_label; 0 and false for rows that are not eligible.
+
+    Groups are counted with map-side aggregation and joined back, so a content that many rows share is split by the
+    join instead of gathered by a window.
+    """
+    ok = F.coalesce(eligible, F.lit(False)) & F.col(sha).isNotNull()
+    d = df.withColumn("_k", F.when(ok, F.col(sha)))
+    g = d.filter("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), (F.min(label) != F.max(label)).alias("_x"))
+    d = d.join(g, "_k", "left")
+    return d.withColumns({"dup_group_size": F.coalesce("_n", F.lit(0)), "dup_cross_label": F.coalesce("_x", F.lit(False))}).drop("_k", "_n", "_x")
 
 
 def audit_labels(df: DataFrame, label: str = "word") -> DataFrame:

@@ -28,7 +28,7 @@ def file_evidence(split: DataFrame) -> DataFrame:
     s = split.withColumn("batch", batch_id(after_first_slash(F.col("repo_path")), F.col("source_proxy")))
     by_sha = Window.partitionBy("sha256")
     return s.withColumns({
-        "cross_label": (F.size(F.collect_set("word").over(by_sha)) > 1) & F.col("sha256").isNotNull(),
+        "cross_label": F.coalesce((F.min("word").over(by_sha) != F.max("word").over(by_sha)) & F.col("sha256").isNotNull(), F.lit(False)),
         "within_dup": (F.count(F.lit(1)).over(Window.partitionBy("sha256", "word")) > 1) & F.col("sha256").isNotNull(),
         "augmented": F.coalesce("aug_source", F.lit("")) != "",
     })

@@ -306,7 +306,8 @@ def expected_classes(spark, sf):
 @query(f"""WITH {SAMPLES}, x AS (SELECT sha256 FROM samples GROUP BY sha256 HAVING count(DISTINCT word) > 1)
 SELECT word, count(*) AS n_samples, count_if(sha256 IN (SELECT sha256 FROM x)) AS n_shared, round(count_if(sha256 IN (SELECT sha256 FROM x)) / count(*), 6) AS shared_fraction FROM samples GROUP BY word""")
 def class_overlap(spark, sf):
-    s = samples(spark, sf).withColumn("x", F.size(F.collect_set("word").over(Window.partitionBy("sha256"))) > 1)
+    w = Window.partitionBy("sha256")
+    s = samples(spark, sf).withColumn("x", F.min("word").over(w) != F.max("word").over(w))
     return s.groupBy("word").agg(F.count(F.lit(1)).alias("n_samples"), F.count_if("x").alias("n_shared"), r6(F.count_if("x") / F.count(F.lit(1))).alias("shared_fraction"))
 
 
