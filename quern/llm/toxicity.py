@@ -1,7 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse text features (operator 4).
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector is shared by all ordered thresholds. x is the set of
-hashed words of the whole text (letters and digits, A-Z lower-cased). Weights carry an L1 penalty, so words that do
+hashed words of the whole text (letters and digits, A-Z lower-cased) and of the first 4 and 6 bytes of longer words,
+so that inflected and compound forms of a stem share weights. Weights carry an L1 penalty, so words that do
 not tell grades apart weigh nothing however long a text is. The model is fitted on the driver by accelerated
 proximal gradients over a sample of labelled rows that is bounded by SAMPLE; its labels are broadcast (at most
 SAMPLE rows) and only feature numbers are gathered. Scoring is one pass over all texts.
@@ -14,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, small_batches, text_buffer, trim
+from quern.llm.common import Words, mix64, small_batches, text_buffer, trim
 
 #: Labelled rows that the model may be fitted on; features.
-SAMPLE, FEATURES = 12_000, 1 << 18
-L1, STEPS = 2e-4, 300
+SAMPLE, FEATURES = 6_000, 1 << 18
+L1, STEPS, PREFIXES = 2e-4, 300, (4, 6)
 
 #: Letters, digits and non-ASCII bytes stay (A-Z lower-cased), all else separates words.
 _TABLE = np.full(256, 32, np.uint8)
@@ -30,8 +31,17 @@ _TABLE[65:91] = np.arange(97, 123)
 def features(data: np.ndarray, offsets: np.ndarray, n_features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of each text: their numbers, text by text, and how many each has."""
     w = Words(_TABLE[data], offsets)
-    f = (w.hashes() % np.uint64(n_features)).astype(np.int64)
-    pair = np.unique(w.doc * n_features + f)
+    size = np.uint64(n_features)
+    found, docs = [w.hashes() % size], [w.doc]
+    for p in PREFIXES:
+        long = np.flatnonzero(w.ends - w.starts > p)
+        h = np.full(long.size, p, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(p):
+                h = mix64(h + w.a[w.starts[long] + k])
+        found.append(h % size)
+        docs.append(w.doc[long])
+    pair = np.unique(np.concatenate(docs) * n_features + np.concatenate(found).astype(np.int64))
     return pair % n_features, np.bincount(pair // n_features, minlength=w.n_docs)
 
 
@@ -53,8 +63,9 @@ class OrdinalModel:
         start = np.log((share + 1e-3) / (1 - share + 1e-3)) if k > 1 else np.zeros(0)
         if k < 2 or not n:
             return OrdinalModel(labels, np.zeros(n_features), start)
-        row = np.repeat(np.arange(n), counts)
+        row = np.repeat(np.arange(n, dtype=np.int32), counts)
         used, col = np.unique(feature, return_inverse=True)
+        col = col.astype(np.int32)
         w, theta = np.zeros(used.size), start.copy()
         vw, vt, t = w.copy(), theta.copy(), 1.0
         hot = np.bincount(col, minlength=used.size)

@@ -42,10 +42,10 @@ def test_thresholds_share_weights():
 
 
 def test_sample_is_bounded_and_labels_may_be_odd(spark, docs_of):
-    rows = corpus() + [(100 + i, prose(i) + (" vile" if i % 2 else "")) for i in range(60)]
+    rows = corpus() + [(100 + i, prose(i) + (" vile and vilest" if i % 2 else "")) for i in range(60)]
     docs = docs_of(rows)
     labels = spark.createDataFrame([(100 + i, i % 2) for i in range(60)] + [(None, 1), (101, None), (102, 0), (102, 0), (9999, 1)], "doc_id long, toxic int")
-    model = tx.fit(docs, labels, sample=40)
+    model = tx.fit(docs, labels, sample=50)
     assert len(tx.severity(docs, model).collect()) == len(rows)
     clean = tx.drop_toxic(docs, model)
     assert clean.columns == docs.columns
