@@ -28,10 +28,10 @@ from quern.llm.common import Words, keyed, mix64, ngram_hashes, partitions, seed
 from quern.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
-#: 40 bands of 5: a pair at similarity 0.75 shares no band with probability 2e-5.
+#: 40 bands of 5: a pair at similarity 0.75 shares no band with probability 2.0e-5; with pruning it is missed with 2.4e-5.
 BANDS, ROWS = 40, 5
 #: Posterior probability of similarity >= 0.75 under which a pair is pruned; hashes compared at a time.
-MISS, BATCH = 1e-4, 40
+MISS, BATCH = 1e-6, 40
 #: Shares of a pivot's partners; members of a block; pivots that a group's buckets choose among.
 SHARES, BLOCK, PIVOTS = 1024, 256, 4
 
@@ -81,10 +81,10 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def least_matches(k: int, percent: int = PERCENT, miss: float = MISS, batch: int = BATCH) -> tuple[tuple[int, int], ...]:
     """(hashes compared, fewest matches to go on): under a uniform prior, P(s >= t | m of n) = P(Bin(n + 1, t) <= m).
 
-    Minima are compared by 8 bits, which agree by chance once in 256: t is raised accordingly.
+    Minima are compared by 16 bits, which agree by chance once in 65,536: t is raised accordingly.
     """
     t, out = percent / 100, []
-    t += (1 - t) / 256
+    t += (1 - t) / 65536
     for n in range(batch, k + 1, batch):
         tail, m = 0.0, -1
         while tail < miss:
@@ -95,7 +95,7 @@ def least_matches(k: int, percent: int = PERCENT, miss: float = MISS, batch: int
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, k1, k2, n (set size), digest (of the set), bands, sig (low 8 bits of each minimum)."""
+    """Per row: doc_id, k1, k2, n (set size), digest (of the set), bands, sig (low 16 bits of each minimum)."""
 
     def work(batches):
         for b in batches:
@@ -104,7 +104,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str =
             keys, sigs = [None] * len(sets), [None] * len(sets)
             if full:
                 m = signatures([sets[i] for i in full], bands * rows)
-                low = m.astype(np.uint8)
+                low = m.astype(np.uint16)
                 for i, key, s in zip(full, band_keys(m, bands, rows), low):
                     keys[i], sigs[i] = key, s.tobytes()
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -162,7 +162,7 @@ def _blocks(members: DataFrame, steps: tuple[tuple[int, int], ...]) -> DataFrame
 
     def links(group, held):
         block, root = np.array([r[0] for r in held]), np.array([r[1] for r in held])
-        sig = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
+        sig = np.frombuffer(b"".join(r[2] for r in held), np.uint16).reshape(len(held), -1)
         if group[1] == group[2]:
             x, y = np.nonzero(np.triu(root[:, None] != root[None, :]))
         else:
@@ -251,7 +251,7 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     texts = staged(texts.select("cid", "sig", "text"), "candidates")
 
     def read_sig(col):
-        return [np.frombuffer(x, np.uint8) for x in col.to_pylist()]
+        return [np.frombuffer(x, np.uint16) for x in col.to_pylist()]
 
     def likely(x, y):
         done = score = 0

@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -84,3 +85,27 @@ def test_signatures_estimate_similarity_and_bounds_hold():
     assert abs((s[0] == s[1]).mean() - 0.75) < 0.08
     steps = mh.least_matches(200)
     assert all(m1 < m2 for (_, m1), (_, m2) in zip(steps, steps[1:])) and all(m < 0.75 * n for n, m in steps)
+
+
+def test_pairs_at_the_threshold_are_not_pruned(docs_of):
+    # 60 of 80 shingles are common and a band agrees, but few of the first minima do: bounds at posterior 1e-4 prune all four.
+    rows = []
+    for seed in (6252, 8321, 8678, 9767):
+        w = [f"w{seed}x{i}" for i in range(84)]
+        rows += [(2 * seed, " ".join(w[:74])), (2 * seed + 1, " ".join(w[:64] + w[74:]))]
+    assert run(docs_of(rows)) == brute(rows)
+
+
+def test_a_pair_at_the_threshold_is_missed_as_rarely_as_stated():
+    t = mh.PERCENT / 100
+    now, done = {(0, False): 1.0}, 0  # (matches, whether a band agrees): probability, over independent hashes
+    for n, least in mh.least_matches(mh.BANDS * mh.ROWS):
+        for _ in range((n - done) // mh.ROWS):
+            then = {}
+            for (m, band), q in now.items():
+                for k in range(mh.ROWS + 1):
+                    key = (m + k, band or k == mh.ROWS)
+                    then[key] = then.get(key, 0) + q * math.comb(mh.ROWS, k) * t**k * (1 - t) ** (mh.ROWS - k)
+            now = then
+        now, done = {k: q for k, q in now.items() if k[0] >= least}, n
+    assert 1 - sum(q for (_, band), q in now.items() if band) < 2.5e-5
