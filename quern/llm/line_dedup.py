@@ -21,7 +21,7 @@ from quern.llm.common import keyed, staged
 MAX_LEAVES = 500_000
 WILD = "<*>"
 #: Leading tokens of a leaf; documents that make a template recurring; least share of constant tokens.
-DEPTH, MIN_DOCS, CONSTANT = 5, 5, 0.5
+DEPTH, MIN_DOCS, CONSTANT = 3, 5, 0.5
 
 
 def plain(line: Column) -> Column:

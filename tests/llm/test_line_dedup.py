@@ -91,3 +91,10 @@ def test_all_cases_and_copies(docs_of):
 
 def test_empty_table(docs_of):
     assert drop_recurring_lines(docs_of([])).collect() == []
+
+
+def test_a_field_at_the_fourth_token_is_variable(docs_of):
+    names = "sports politics science travel culture weather".split()
+    rows = [(i, f"Posted in section {name} of this evening paper\n{prose(i, 12)}") for i, name in enumerate(names)]
+    got = {r.doc_id: r for r in drop_recurring_lines(docs_of(rows)).collect()}
+    assert [got[i].n_dropped for i in range(6)] == [0, 1, 1, 1, 1, 1] and got[0].text == rows[0][1]
