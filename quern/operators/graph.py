@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.skew import hot_join
+from quern.sources.shared import staged
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder (spark.checkpoint.dir; one of our own where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
-    return df.checkpoint()
+    """df as a table in the shared folder."""
+    return staged(df, "cut")
+
+
+def _to_least(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (u, v) with m, the least of u and its neighbours in edges: hubs of any degree are split by hot_join."""
+    least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("_deg"))
+    return hot_join(rows, least, ["u"], "_deg")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root: the least node that each node with an edge can reach.
+    """node, root: the least node that each node with an edge can reach. Self-loops are ignored.
 
     Alternating star contraction: every round hooks each node's larger neighbours, then its smaller ones, to the
     least, and writes the edges out. The number of rounds grows with the logarithm of the longest path.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        now = both.filter("v > u").join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").distinct()
-        least = now.groupBy("u").agg(F.min("v").alias("m"))
-        down = now.join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y"))
-        down = down.union(least.select(F.col("u").alias("x"), F.col("m").alias("y"))).filter("x <> y")
+        large = _to_least(both, both.filter("v > u")).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").distinct()
+        large = cut(large)
+        down = _to_least(large, large).select(F.col("v").alias("x"), F.col("m").alias("y"))
+        down = down.union(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.col("m").alias("y"))).filter("x <> y")
         now = cut(down.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
