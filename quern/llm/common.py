@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import os
-import tempfile
-import uuid
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.shared import local_path, new_path, partitions, staged  # noqa: F401
+
 #: White space of the word rule [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -176,12 +174,11 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return out.withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))})
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of whole texts are cut by rows only; keep them small enough for long texts."""
+    """Lower the session's rows per Arrow batch to rows (it stays lowered: plans run after this returns).
+
+    Spark also ends a batch at spark.sql.execution.arrow.maxBytesPerBatch, so long texts make smaller ones.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -195,61 +192,6 @@ def trim() -> None:
         return
 
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    if not _made:
-        atexit.register(_clean)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def local_path(path: str) -> str:
-    """The path of a shared folder as the file system sees it."""
-    url = urlparse(path)
-    if url.scheme not in ("", "file"):
-        raise ValueError(f"memory mapping needs a mounted shared folder, not {path}")
-    return url.path if url.scheme else path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def _clean() -> None:
-    import shutil
-
-    for spark, path in _made:
-        try:
-            if urlparse(path).scheme in ("", "file"):
-                shutil.rmtree(local_path(path), ignore_errors=True)
-            elif spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # the session may be gone; the shared folder's owner sweeps it
-            continue
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,6 +8,7 @@ share, and that is constant enough, is boilerplate: every line of it but the fir
 Leaves are counted on 8-byte hashes with map-side partial aggregation; only lines of recurring leaves are masked
 whole and staged, and everything after reads those. Equal masked lines travel as one row with a count, so a line
 that a third of the corpus repeats costs one row per task. Whole texts are shuffled once, to meet their line numbers.
+Keys that many rows have (a token at its place, a line, a template, a repeated document) are joined by hot_join.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import keyed, staged
+from quern.operators.skew import hot_join
 
 #: Leaves that recur are broadcast up to this many rows (16 bytes each), else joined by a shuffle.
 MAX_LEAVES = 500_000
@@ -43,33 +45,39 @@ def _leaf(line: Column, depth: int) -> Column:
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k1, k2, drop: per document key with such lines, the sorted places (from 0) of the lines that go."""
+    """k1, k2, drop, n_rows: per document key with such lines, the sorted places (from 0) of the lines that go.
+
+    n_rows is how many rows the document has. Rows that repeat id and text are one document: their lines count once.
+    """
     rows = keyed(docs, id_col, text_col).filter(F.col("text").isNotNull())
     lines = rows.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("at", "_l")).select("k1", "k2", "at", plain(F.col("_l")).alias("l"))
     lines = lines.filter("l <> ''").withColumn("leaf", _leaf(F.col("l"), depth))
+    # Rows here, not documents: leaves that fewer documents reach hold no recurring template, so none is lost or gained.
     leaves = staged(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_docs).select("leaf"), "leaves")
     few = leaves.count() <= MAX_LEAVES
     lines = lines.join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi")
     m = masked(F.col("l"))
     lines = staged(lines.select("k1", "k2", "at", "leaf", F.xxhash64(m).alias("mh"), m.alias("m")), "lines")
     # From here a masked line is known by (leaf, mh), 128 bits; its text moves once.
-    distinct = staged(lines.groupBy("leaf", "mh").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")), "masked")
+    once = staged(lines.groupBy("leaf", "mh", "k1", "k2", "at").agg(F.count(F.lit(1)).alias("n_rows")), "places")
+    distinct = lines.groupBy("leaf", "mh").agg(F.min("m").alias("m"))
+    distinct = staged(distinct.join(once.groupBy("leaf", "mh").agg(F.count(F.lit(1)).alias("n")), ["leaf", "mh"]), "masked")
     tokens = distinct.select("leaf", "mh", "n", F.posexplode(F.split("m", " ")).alias("p", "t"))
-    common = tokens.groupBy("leaf", "p", "t").agg(F.sum("n").alias("_c")).filter((F.col("_c") >= min_docs) & (F.col("t") != WILD))
-    common = common.select("leaf", "p", "t", F.lit(1).alias("_k"))
-    tokens = tokens.select("leaf", "mh", "p", "t").join(common.hint("merge"), ["leaf", "p", "t"], "left")
+    common = tokens.filter(F.col("t") != WILD).groupBy("leaf", "p", "t").agg(F.sum("n").alias("_c"), F.count(F.lit(1)).alias("_rows")).filter(F.col("_c") >= min_docs)
+    common = staged(common.select("leaf", "p", "t", F.lit(1).alias("_k"), "_rows"), "constants")
+    tokens = hot_join(tokens.select("leaf", "mh", "n", "p", "t"), common, ["leaf", "p", "t"], "_rows", "left")
     # Places and constant tokens name the template; sums of fixed size, so equal lines fold before the shuffle.
     seen = F.bit_xor(F.when(F.col("_k").isNotNull(), F.xxhash64("p", "t")).otherwise(F.xxhash64("p")))
-    parsed = tokens.groupBy("leaf", "mh").agg(seen.alias("_t"), (F.count("_k") / F.count(F.lit(1))).alias("_share"))
-    parsed = parsed.filter(F.col("_share") >= constant).select("leaf", "mh", F.xxhash64("leaf", "_t").alias("tpl"))
-    lines = lines.select("k1", "k2", "at", "leaf", "mh").join(parsed.hint("merge"), ["leaf", "mh"]).select("tpl", "k1", "k2", "at")
-    per_doc = lines.groupBy("tpl", "k1", "k2").agg(F.collect_list("at").alias("ats"))
+    parsed = tokens.groupBy("leaf", "mh").agg(seen.alias("_t"), (F.count("_k") / F.count(F.lit(1))).alias("_share"), F.max("n").alias("n"))
+    parsed = staged(parsed.filter(F.col("_share") >= constant).select("leaf", "mh", F.xxhash64("leaf", "_t").alias("tpl"), "n"), "parsed")
+    per_doc = hot_join(once, parsed, ["leaf", "mh"], "n").groupBy("tpl", "k1", "k2").agg(F.array_sort(F.collect_list("at")).alias("ats"), F.max("n_rows").alias("n_rows"))
     per_doc = staged(per_doc, "templates")
     count = per_doc.groupBy("tpl").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("k1", "k2")).alias("_first")).filter(F.col("_n") >= min_docs)
-    out = per_doc.join(count, "tpl")
+    out = hot_join(per_doc, staged(count, "recurring"), ["tpl"], "_n")
     first = (F.col("k1") == F.col("_first.k1")) & (F.col("k2") == F.col("_first.k2"))
-    ats = F.when(first, F.slice(F.array_sort("ats"), 2, F.greatest(F.size("ats") - 1, F.lit(0)))).otherwise(F.col("ats"))
-    return out.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list(ats))).alias("drop")).filter(F.size("drop") > 0)
+    ats = F.when(first, F.slice("ats", 2, F.greatest(F.size("ats") - 1, F.lit(0)))).otherwise(F.col("ats"))
+    out = out.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list(ats))).alias("drop"), F.max("n_rows").alias("n_rows"))
+    return out.filter(F.size("drop") > 0)
 
 
 def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,12 +85,13 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MI
 
     Lines are cut at ``\\n``; blank lines always stay; of a recurring template the first line (smallest doc_id,
     then place) stays. A null text has no lines and stays null (its hash is that of the empty text). Rows that
-    repeat id and text are one document and get the same answer. Null ids count as 0 for the order. Other columns
-    are ignored.
+    repeat id and text are one document, however many they are, and get the same answer. Null ids count as 0 for
+    the order; of rows with one id and different texts the lesser text hash is first. An empty table gives an empty
+    result. Other columns are ignored.
     """
     rows = keyed(docs, id_col, text_col)
-    drop = recurring_lines(docs, depth, min_docs, constant, id_col, text_col)
-    rows = rows.join(drop.hint("merge"), ["k1", "k2"], "left")
+    drop = staged(recurring_lines(docs, depth, min_docs, constant, id_col, text_col), "drop")
+    rows = hot_join(rows, drop, ["k1", "k2"], "n_rows", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drop", i)), "\n")
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
     rows = rows.select("doc_id", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"), text.alias("text"))
@@ -90,19 +99,20 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MI
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS ln FROM d),
-m AS (SELECT doc_id, ln, list_transform(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ts FROM l),
-k AS (SELECT doc_id, ln, ts, len(ts) || ':' || array_to_string(ts[1:5], ' ') AS leaf FROM m WHERE len(ts) > 0),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, text FROM documents)),
+l AS (SELECT rid, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS ln FROM d),
+m AS (SELECT rid, ln, list_transform(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS ts FROM l),
+k AS (SELECT rid, ln, ts, len(ts) || ':' || array_to_string(ts[1:3], ' ') AS leaf FROM m WHERE len(ts) > 0),
 f AS (SELECT leaf FROM k GROUP BY leaf HAVING count(*) >= 5), c AS (SELECT * FROM k SEMI JOIN f USING (leaf)),
-t AS (SELECT doc_id, ln, leaf, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM c),
+t AS (SELECT rid, ln, leaf, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM c),
 o AS (SELECT leaf, p, t FROM t WHERE t <> '<*>' GROUP BY ALL HAVING count(*) >= 5),
-x AS (SELECT doc_id, ln, t.leaf, string_agg(CASE WHEN o.t IS NULL THEN '<*>' ELSE t.t END, ' ' ORDER BY t.p) AS tpl, avg(CASE WHEN o.t IS NULL THEN 0.0 ELSE 1.0 END) AS share
-  FROM t LEFT JOIN o ON o.leaf = t.leaf AND o.p = t.p AND o.t = t.t GROUP BY doc_id, ln, t.leaf),
-y AS (SELECT leaf, tpl, doc_id, list(ln ORDER BY ln) AS lns FROM x WHERE share >= 0.5 GROUP BY leaf, tpl, doc_id),
-z AS (SELECT leaf, tpl, min(doc_id) AS first FROM y GROUP BY leaf, tpl HAVING count(*) >= 5),
-g AS (SELECT doc_id, flatten(list(CASE WHEN doc_id = first THEN lns[2:] ELSE lns END)) AS cut FROM y JOIN z USING (leaf, tpl) GROUP BY doc_id),
-h AS (SELECT d.doc_id, text, ls, coalesce(cut, []) AS cut FROM d LEFT JOIN g USING (doc_id))
-SELECT doc_id, coalesce(len(ls), 0) AS n_lines, len(cut) AS n_dropped, sha256(coalesce(CASE WHEN len(cut) = 0 THEN text
-  ELSE array_to_string(list_transform(list_filter(range(len(ls)), lambda q: NOT list_contains(cut, q)), lambda q: ls[q + 1]), chr(10)) END, '')) AS kept_sha256 FROM h
+x AS (SELECT rid, ln, t.leaf, string_agg(CASE WHEN o.t IS NULL THEN '<*>' ELSE t.t END, ' ' ORDER BY t.p) AS tpl, avg(CASE WHEN o.t IS NULL THEN 0.0 ELSE 1.0 END) AS share
+  FROM t LEFT JOIN o ON o.leaf = t.leaf AND o.p = t.p AND o.t = t.t GROUP BY rid, ln, t.leaf),
+y AS (SELECT leaf, tpl, rid, list(ln ORDER BY ln) AS lns FROM x WHERE share >= 0.5 GROUP BY leaf, tpl, rid),
+z AS (SELECT leaf, tpl, arg_min(rid, (coalesce(doc_id, 0), rid)) AS first FROM y JOIN d USING (rid) GROUP BY leaf, tpl HAVING count(*) >= 5),
+g AS (SELECT rid, flatten(list(CASE WHEN rid = first THEN lns[2:] ELSE lns END)) AS cut FROM y JOIN z USING (leaf, tpl) GROUP BY rid),
+h AS (SELECT doc_id, text, ls, coalesce(cut, []) AS cut FROM d LEFT JOIN g USING (rid))
+SELECT a.doc_id, coalesce(len(ls), 0) AS n_lines, len(cut) AS n_dropped, sha256(coalesce(CASE WHEN len(cut) = 0 THEN a.text
+  ELSE array_to_string(list_transform(list_filter(range(len(ls)), lambda q: NOT list_contains(cut, q)), lambda q: ls[q + 1]), chr(10)) END, '')) AS kept_sha256
+FROM documents a JOIN h ON a.doc_id IS NOT DISTINCT FROM h.doc_id AND a.text IS NOT DISTINCT FROM h.text
 """
