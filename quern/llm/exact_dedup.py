@@ -7,8 +7,8 @@ carries whole texts, and texts cross the network once.
 
 Skew: a first pass counts digests with map-side partial aggregation. At most ``4 * P`` digests can hold more than
 rows / (4 * P) rows each, for P shuffle partitions; only those are salted by row, so a group of any size is sorted
-in bounded pieces, and the smallest id of such a group, known from the first pass, joins its pieces. What is
-broadcast has fewer than ``4 * P`` rows whatever the input.
+in bounded pieces, whatever its ids: null, equal or distinct. The smallest id of such a group, known from the first
+pass, joins its pieces. What is broadcast has fewer than ``4 * P`` rows whatever the input.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import partitions, word_rule
+from quern.llm.common import partitions, staged, word_rule
+from quern.operators.skew import hot_limit
 
 #: Characters of the content that take part in the range key.
 PREFIX = 48
@@ -38,20 +39,28 @@ def _sorted_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row = F.struct(*[df[c] for c in df.columns]).alias("_row")
     rows = df.select(row, df[id_col].alias("_id"), normalised(df[text_col]).alias("_t"))
     rows = rows.withColumns({"_sha": F.sha2("_t", 256), "_h": F.xxhash64("_t")})
-    limit = max(1000, df.count() // (4 * p))
-    hot = df.select(df[id_col].alias("_id"), F.sha2(normalised(df[text_col]), 256).alias("_hot"))
+    digests = df.select(df[id_col].alias("_id"), F.unhex(F.sha2(normalised(df[text_col]), 256)).alias("_hot"))
+    digests = staged(digests.groupBy("_hot").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")), "digests")
+    limit = hot_limit(digests.agg(F.sum("_n")).first()[0] or 0, p)
     # Fewer than 4 * p rows by the choice of the limit: its size is bounded whatever the input.
-    hot = hot.groupBy("_hot").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")).filter(F.col("_n") > limit)
-    rows = rows.join(F.broadcast(hot), rows["_sha"] == hot["_hot"], "left")
+    hot = digests.filter(F.col("_n") > limit)
+    if not hot.isEmpty():
+        # How many rows of each hot group have its smallest id: few groups, so one partial aggregate.
+        least = df.select(df[id_col].alias("_id"), F.unhex(F.sha2(normalised(df[text_col]), 256)).alias("_hot")).join(F.broadcast(hot), "_hot")
+        hot = staged(least.groupBy("_hot", "_n", "_first").agg(F.count_if(F.col("_id").eqNullSafe(F.col("_first"))).alias("_k")), "hot")
+    else:
+        hot = hot.withColumn("_k", F.lit(0).cast("long"))
+    rows = rows.join(F.broadcast(hot), F.unhex("_sha") == hot["_hot"], "left")
     salts = F.ceil(F.col("_n") / F.lit(limit)).cast("long")
-    rows = rows.withColumns({
-        "_p": F.substring("_t", 1, PREFIX),
-        "_s": F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("_id", F.lit(8)), salts)).otherwise(F.lit(0)),
-    }).drop("_t")
+    any_salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts)
+    # Rows with the smallest id go to salt 0. Where they alone are too many they are spread like the others: with
+    # more than limit >= 1000 of them, salt 0 gets some but for a chance below exp(-1000).
+    salt = F.when((F.col("_k") <= limit) & F.col("_id").eqNullSafe(F.col("_first")), F.lit(0)).otherwise(any_salt)
+    rows = rows.withColumns({"_p": F.substring("_t", 1, PREFIX), "_s": F.when(F.col("_n").isNotNull(), salt).otherwise(F.lit(0)).cast("long")}).drop("_t")
     rows = rows.repartitionByRange(p, "_p", "_h", "_s").withColumn("_t", normalised(F.col(f"_row.`{text_col}`")))
     same = Window.partitionBy("_p", "_h", "_s", "_t")
     rows = rows.select(
-        "_row", "_id", "_sha", "_n", "_first",
+        "_row", "_id", "_sha", "_n", "_first", "_s",
         F.row_number().over(same.orderBy(F.col("_id").asc_nulls_last())).alias("_rn"),
         F.min("_id").over(same).alias("_least"),
         F.count(F.lit(1)).over(same).alias("_size"),
@@ -62,7 +71,7 @@ def _sorted_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col("_id").alias("doc_id"),
         F.when(hot_row, F.col("_first")).otherwise(F.col("_least")).alias("keep_id"),
         F.coalesce("_n", "_size").alias("group_size"),
-        ((F.col("_rn") == 1) & (~hot_row | F.col("_id").eqNullSafe(F.col("_first")))).alias("kept"),
+        ((F.col("_rn") == 1) & (F.col("_s") == 0) & (~hot_row | F.col("_id").eqNullSafe(F.col("_first")))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
 

@@ -53,3 +53,10 @@ def test_drop_keeps_columns_and_one_row(docs_of):
     assert out.columns == d.columns and out.schema == d.schema
     left = [r.text for r in out.collect()]
     assert sorted(map(norm, left)) == sorted(brute(rows))
+
+
+def test_hot_groups_of_null_or_equal_ids_are_spread(docs_of):
+    rows = [(None, "no ids at all")] * 3000 + [(7, "one  id")] * 3000 + [(None, "one id")] * 20 + [(i, f"text {i}") for i in range(500)]
+    d = docs_of(rows, 5)
+    check(rows, exact_groups(d).collect())
+    assert drop_copies(d).count() == 502
