@@ -9,12 +9,14 @@ only the last sequence of all can need padding.
 
 Plan and histogram have at most one entry for each length: they are bounded by the window, not by the data. Rows
 find their place from counts alone: a row's rank in its length's bin is the number of such rows in earlier tasks,
-a sum over (task, length), plus its running count. A length that a third of all rows have needs no gathering.
+a sum over (task, length), plus its running count. Rows meet these sums by a shuffle on (task, length), so a length
+that a third of all rows have is split by task and nothing that grows with the data is broadcast.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import load_tokenizer_path, small_batches, staged, trim
+from quern.operators.skew import sums_before
 
 WINDOW, END_ID = 2048, 1
 #: Characters that both libraries split alike whatever their Unicode tables; other texts go to tokenizers itself.
@@ -34,32 +37,36 @@ _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, se
 
 
 @lru_cache
-def _encoders(path: str, ranks_path: str | None):
+def _encoders(path: str, ranks_path: str | None, plain_specials: bool):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    slow.encode_special_tokens = plain_specials
+    with open(path, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens", [])]
     if not ranks_path:
-        return slow, None
+        return slow, None, added
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return slow, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return slow, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
-def encode(texts: list[str | None], path: str, ranks_path: str | None = None, end_id: int = END_ID) -> list[np.ndarray]:
+def encode(texts: list[str | None], path: str, ranks_path: str | None = None, end_id: int = END_ID, plain_specials: bool = False) -> list[np.ndarray]:
     """Ids of each text (null: empty) by the tokenizer file at path, then end_id.
 
-    With ranks_path, the same vocabulary as ranks, texts of common characters are encoded by the faster library;
-    the ids are the same. The strings of special tokens are ordinary text.
+    With ranks_path, the same vocabulary as ranks, texts of common characters without the string of an added token
+    are encoded by the faster library; the ids are the same. An added token's string in a text becomes its id, as
+    the tokenizer file says; with plain_specials it is ordinary text, so that no text can forge such an id.
     """
-    slow, fast = _encoders(path, ranks_path)
+    slow, fast, added = _encoders(path, ranks_path, plain_specials)
     out = []
     for t in texts:
         t = t or ""
-        ids = fast.encode_ordinary(t) if fast is not None and _COMMON.fullmatch(t) else slow.encode(t, add_special_tokens=False).ids
+        quick = fast is not None and _COMMON.fullmatch(t) and not any(a in t for a in added)
+        ids = fast.encode_ordinary(t) if quick else slow.encode(t, add_special_tokens=False).ids
         out.append(np.array(ids + [end_id], np.uint32))
     return out
 
@@ -77,53 +84,70 @@ def combinations(window: int, lengths: np.ndarray) -> np.ndarray:
     return np.stack([a[ok], b[ok], c[ok]], axis=1)
 
 
-def nnls(columns: np.ndarray, hist: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Least squares of sum_j x_j * column_j against hist with x >= 0, by accelerated projected gradients.
+def nnls(columns: np.ndarray, hist: np.ndarray, steps: int = 300, grow: int = 2000, tolerance: float = 1e-3) -> np.ndarray:
+    """Least squares of sum_j x_j * column_j against hist with x >= 0, over all columns.
 
-    A column is the multiset of its lengths; length 0 is nothing.
+    A column is the multiset of its lengths; length 0 is nothing. A working set of columns is solved by accelerated
+    projected gradients; then the grow columns outside it that would lower the residual most join, until none would
+    by more than tolerance of the largest count: the optimality condition over every column. What has weight zero
+    in the solution stays out of the plan, so counts gather on few columns and survive rounding.
     """
     m = hist.size
     target = hist.astype(float)
     target[0] = 0
 
-    def forward(x):
+    def forward(cols, x):
         y = np.zeros(m)
-        for k in range(columns.shape[1]):
-            y += np.bincount(columns[:, k], weights=x, minlength=m)
+        for k in range(cols.shape[1]):
+            y += np.bincount(cols[:, k], weights=x, minlength=m)
         y[0] = 0
         return y
 
-    def back(y):
-        return y[columns].sum(axis=1)
-
-    v = np.ones(len(columns))
-    norm = 1.0
-    for _ in range(20):
-        v = back(forward(v))
-        norm = float(np.linalg.norm(v)) or 1.0
-        v /= norm
-    x = z = np.zeros(len(columns))
-    t = 1.0
-    for _ in range(steps):
-        new = np.maximum(0, z - back(forward(z) - target) / (1.05 * norm))
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        z = new + (t - 1) / t2 * (new - x)
-        x, t = new, t2
-    return x
+    def solve(cols, x):
+        v, norm = np.ones(len(cols)), 1.0
+        for _ in range(20):
+            v = forward(cols, v)[cols].sum(axis=1)
+            norm = float(np.linalg.norm(v)) or 1.0
+            v /= norm
+        z, t, floor = x, 1.0, tolerance * max(float(target.max()), 1.0)
+        for _ in range(steps):
+            gradient = (forward(cols, z) - target)[cols].sum(axis=1)
+            new = np.maximum(0, z - gradient / (1.05 * norm))
+            t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
+            z, moved = new + (t - 1) / t2 * (new - x), float(np.abs(new - x).max())
+            x, t = new, t2
+            if moved < floor / 1000:
+                break
+        return x
+
+    out = np.zeros(len(columns))
+    # First the columns whose scarcest length is most common.
+    worth = np.where(columns > 0, hist[columns], np.iinfo(np.int64).max).min(axis=1)
+    active = np.argsort(-worth, kind="stable")[:grow]
+    inside = np.zeros(len(columns), bool)
+    floor = tolerance * max(float(target.max()), 1.0)
+    while True:
+        inside[active] = True
+        out[active] = solve(columns[active], out[active])
+        residual = target - forward(columns[active], out[active])
+        gain = residual[columns].sum(axis=1)
+        gain[inside] = 0
+        fresh = np.flatnonzero(gain > floor)
+        if not fresh.size:
+            return out
+        fresh = fresh[np.argsort(-gain[fresh], kind="stable")[:grow]]
+        active = np.concatenate([active, fresh])
 
 
 class Plan:
     """Where each (length, rank) goes: repeated combinations first, then the greedy rest."""
 
-    def __init__(self, hist: np.ndarray, window: int, most: int = 6000) -> None:
+    def __init__(self, hist: np.ndarray, window: int) -> None:
         self.window = window
         left = hist.astype(np.int64).copy()
         left[0] = 0
         cols = combinations(window, np.flatnonzero(left))
         if len(cols):
-            # The columns with the scarcest length most common: a bounded, shallow candidate set.
-            worth = np.where(cols > 0, left[cols], np.iinfo(np.int64).max).min(axis=1)
-            cols = cols[np.argsort(-worth, kind="stable")[:most]]
             x = nnls(cols, left)
             order = np.argsort(-x, kind="stable")
             cols, want = cols[order], np.rint(x[order]).astype(np.int64)
@@ -165,7 +189,7 @@ class Plan:
         return out + [(self.n_combined + seq + 1, 0, r - head)] if head < r else out
 
 
-def tokens(docs: DataFrame, window: int, path: str, ranks_path: str | None, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def tokens(docs: DataFrame, window: int, path: str, ranks_path: str | None, end_id: int, plain_specials: bool, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n, r (rest), part (task), k (earlier rows of the task with this r), f (whole windows before), ids."""
 
     def work(batches):
@@ -174,7 +198,7 @@ def tokens(docs: DataFrame, window: int, path: str, ranks_path: str | None, end_
         zip_ = zstandard.ZstdCompressor(level=1)
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for ids in encode(b.column("text").to_pylist(), path, ranks_path, end_id):
+            for ids in encode(b.column("text").to_pylist(), path, ranks_path, end_id, plain_specials):
                 n = ids.size
                 r = n % window
                 small = ids.astype(np.uint16) if ids.max() < 1 << 16 else ids
@@ -193,7 +217,7 @@ def tokens(docs: DataFrame, window: int, path: str, ranks_path: str | None, end_
     return rows.mapInArrow(work, "doc_id long, n long, r int, part int, k long, f long, ids binary")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None, ranks_path: str | None = None, plain_specials: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     Sequences hold at most window ids and are gapless from offset 0; each id of each row of docs lies in exactly
@@ -203,20 +227,20 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
     small_batches(docs.sparkSession)
     if path is None:
         path, ranks_path = load_tokenizer_path("byte_bpe_50k.json"), load_tokenizer_path("byte_bpe_50k.tiktoken")
-    table = staged(tokens(docs, window, path, ranks_path, end_id, id_col, text_col), "tokens")
+    table = staged(tokens(docs, window, path, ranks_path, end_id, plain_specials, id_col, text_col), "tokens")
     counts = table.groupBy("part", "r").agg(F.count(F.lit(1)).alias("c"), F.sum(F.expr(f"n div {window}")).alias("w"))
     counts = staged(counts, "rests")
     hist = np.zeros(window + 1, np.int64)
     for row in counts.groupBy("r").agg(F.sum("c").alias("c")).collect():  # at most window rows
         hist[row.r] = row.c
     plan = Plan(hist, window)
-    # One row per task; tasks are few next to rows.
     whole = counts.groupBy("part").agg(F.sum("w").alias("w"))
     n_whole = whole.agg(F.sum("w")).first()[0] or 0
-    whole = whole.select("part", F.coalesce(F.sum("w").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("w0"))
+    whole = sums_before(whole, "part", "w", "w0").select("part", "w0")
     ranks = counts.select("part", "r", F.coalesce(F.sum("c").over(Window.partitionBy("r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("k0"))
+    # One row for each task and length: it grows with the input, so it is never broadcast.
     at = ranks.join(whole, "part")
-    rows = table.join(at, ["part", "r"]).select("doc_id", "n", "r", (F.col("k") + F.col("k0")).alias("rank"), (F.col("f") + F.col("w0")).alias("first"), "ids")
+    rows = table.join(at.hint("merge"), ["part", "r"]).select("doc_id", "n", "r", (F.col("k") + F.col("k0")).alias("rank"), (F.col("f") + F.col("w0")).alias("first"), "ids")
 
     def place(batches):
         unzip = zstandard.ZstdDecompressor()

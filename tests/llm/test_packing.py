@@ -14,7 +14,6 @@ def check(rows, df, window=2048):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     ids = [t.encode(x or "", add_special_tokens=False).ids + [1] for _, x in rows]
     raw = packing.pack(df, window)
     got = raw.collect()
@@ -47,10 +46,16 @@ def check(rows, df, window=2048):
 
 
 def test_all_cases(docs_of):
-    rows = corpus()
+    rows = corpus() + [(80, "a <|endoftext|> b"), (81, "<|endoftext|>" * 3), (82, "<|endoftext|"), (83, "漢 <|endoftext|>")]
     check(rows, docs_of(rows))
 
 
+def test_added_tokens_are_those_of_the_file_or_plain_text():
+    texts = ["a <|endoftext|> b"]
+    assert packing.encode(texts, PATH, RANKS)[0].tolist() == [64, 220, 50256, 275, 1]
+    assert 50256 not in packing.encode(texts, PATH, RANKS, plain_specials=True)[0].tolist()
+
+
 def test_small_window_uses_combinations(docs_of):
     rows = [(i, prose(i, 2 + i % 9)) for i in range(300)]
     check(rows, docs_of(rows, 4), 64)
@@ -65,8 +70,9 @@ def test_both_encoders_agree():
 
     r = random.Random(3)
     texts = ["".join(chr(r.choice([32, 10, 9, 0xA0, 0x85, *range(33, 0x250)])) for _ in range(60)) for _ in range(400)] + ["<|endoftext|> it's we'll", "漢字 ١٢   🙂 á", None, ""]
-    a, b = packing.encode(texts, PATH), packing.encode(texts, PATH, RANKS)
-    assert all(np.array_equal(x, y) for x, y in zip(a, b))
+    for plain in (False, True):
+        a, b = packing.encode(texts, PATH, plain_specials=plain), packing.encode(texts, PATH, RANKS, plain_specials=plain)
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
 
 
 def test_nnls_solves_and_plan_places_every_rest_once():
@@ -78,9 +84,10 @@ def test_nnls_solves_and_plan_places_every_rest_once():
     truth = np.zeros(len(cols))
     truth[::97] = 10
     made = sum(np.bincount(cols[:, k], weights=truth, minlength=65) for k in range(3))
-    x = packing.nnls(cols, made, 3000)
-    back = sum(np.bincount(cols[:, k], weights=x, minlength=65) for k in range(3))
-    assert (x >= 0).all() and np.abs(back - made)[1:].max() < 0.5
+    for grow in (20, 5000):  # from a small working set too, every column is reached
+        x = packing.nnls(cols, made, 3000, grow, 1e-4)
+        back = sum(np.bincount(cols[:, k], weights=x, minlength=65) for k in range(3))
+        assert (x >= 0).all() and np.abs(back - made)[1:].max() < 0.5
     plan = packing.Plan(hist, 64)
     assert plan.used.sum() > 0.7 * hist.sum()
     used = np.zeros((plan.n_combined + plan.n_rest, 64), int)
