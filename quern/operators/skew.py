@@ -18,21 +18,22 @@ def hot_limit(total: int, p: int, least: int = 1000) -> int:
     return max(least, total // (4 * p))
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner", total: int | None = None, least: int = 1000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner", total: int | None = None, least: int = 1000, merge: bool = False) -> DataFrame:
     """left joined (inner or left) with right, which has one row per key and, in weight, left's rows of that key.
 
     Rows of right whose weight makes them hot are broadcast: there are fewer than 4 * P of them for P shuffle
     partitions, whatever the data. All other keys are shuffled; left's rows of hot and of null keys are spread, so
     no task gets more than its share. Where nothing is hot this is a plain join. total is the sum of the weights,
-    if known. weight is not in the result.
+    if known. weight is not in the result. With merge the shuffle is asked for, so the plan is one at every size.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how is inner or left, not {how}")
     cols = [c for c in right.columns if c not in on and c != weight]
     facts = right.agg(F.sum(weight).alias("n"), F.max(weight).alias("most")).first()
     limit = hot_limit(total if total is not None else facts.n or 0, partitions(left.sparkSession), least)
+    ask = (lambda d: d.hint("merge")) if merge else (lambda d: d)
     if (facts.most or 0) <= limit and how == "inner":
-        return left.join(right.drop(weight), on)
+        return left.join(ask(right.drop(weight)), on)
     row = F.struct(F.lit(True).alias("_x"), *cols)
     spread = F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
     null = reduce(Column.__or__, [F.col(k).isNull() for k in on])
@@ -42,7 +43,7 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how:
         null = null | F.col("_hot").isNotNull()
     left = left.withColumn("_s", F.when(null, spread).otherwise(F.lit(0)).cast("long"))
     cold = right.filter(F.col(weight) <= limit).select(*on, F.lit(0).cast("long").alias("_s"), row.alias("_cold"))
-    out = left.join(cold, [*on, "_s"], "left")
+    out = left.join(ask(cold), [*on, "_s"], "left")
     got = F.coalesce("_hot", "_cold") if "_hot" in left.columns else F.col("_cold")
     if how == "inner":
         out = out.filter(got.isNotNull())
