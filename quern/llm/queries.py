@@ -20,7 +20,7 @@ def op3_lm_score(spark, sf_dir):
 
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.severity(docs, toxicity.fit(docs, toxicity.severity_grades(table(spark, sf_dir, "labels")), "severity"))
 
 
 def op5_packing(spark, sf_dir):

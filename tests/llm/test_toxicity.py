@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -69,3 +70,76 @@ def test_driver_labels_held_out(spark):
     assert len(got) > 60
     assert np.mean([r.said == bool(r.toxic) for r in got]) > 0.93
     assert not any(r.said for r in got if not r.toxic)
+
+
+def plain(w, theta, sets, grades):
+    """Mean negative log-likelihood by the definition, text by text."""
+    total = 0.0
+    for fs, g in zip(sets, grades):
+        s = sum(w[f] for f in fs)
+        below = [1 / (1 + math.exp(-(t - s))) for t in theta]
+        total -= math.log((below[g] if g < len(theta) else 1.0) - (below[g - 1] if g else 0.0))
+    return total / len(sets)
+
+
+def test_likelihood_gradients_and_expected_severity_by_brute_force():
+    r = random.Random(7)
+    sets = [sorted(r.sample(range(12), r.randrange(0, 6))) for _ in range(40)]
+    grades = np.array([r.randrange(4) for _ in sets])
+    w, theta = np.array([r.uniform(-1, 1) for _ in range(12)]), np.array([-0.7, 0.2, 1.4])
+    col, row = np.array([f for s in sets for f in s]), np.array([i for i, s in enumerate(sets) for _ in s])
+    loss, g_w, g_t = tx.loss_and_gradients(w, theta, col, row, grades)
+    assert abs(loss - plain(w, theta, sets, grades)) < 1e-12
+    for x, g in ((w, g_w), (theta, g_t)):
+        for j in range(x.size):
+            keep, step = x[j], 1e-6
+            x[j] = keep + step
+            up = plain(w, theta, sets, grades)
+            x[j] = keep - step
+            down = plain(w, theta, sets, grades)
+            x[j] = keep
+            assert abs((up - down) / (2 * step) - g[j]) < 1e-6
+    model = tx.OrdinalModel([0, 1, 3, 7], w, theta)
+    s, mean, grade = model.score(col, np.array([len(x) for x in sets]))
+    for i, fs in enumerate(sets):
+        z = sum(w[f] for f in fs)
+        reach = [1.0] + [1 - 1 / (1 + math.exp(-(t - z))) for t in theta]
+        p = [a - b for a, b in zip(reach, reach[1:] + [0.0])]
+        assert abs(s[i] - z) < 1e-12 and abs(mean[i] - sum(x * y for x, y in zip(p, model.labels))) < 1e-12
+        assert grade[i] == max(label for label, q in zip(model.labels, reach) if q >= 0.5)
+
+
+def test_fit_reaches_a_minimum_that_no_small_step_lowers():
+    rows = graded(300, 3)
+    f, n = tx.features(*text_buffer(pa.array([t for _, t, _ in rows])))
+    g = np.array([x for *_, x in rows])
+    model = tx.OrdinalModel.fit(f, n, g, [0, 1, 2, 3], steps=3000)
+    row, used = np.repeat(np.arange(n.size), n), np.unique(f)
+    value = lambda w, t: tx.loss_and_gradients(w, t, f, row, g)[0] + tx.L1 * np.abs(w).sum()
+    best, rng = value(model.weights, model.thresholds), np.random.default_rng(1)
+    for _ in range(60):
+        w = model.weights.copy()
+        w[rng.choice(used, 5)] += rng.normal(0, 0.2, 5)
+        assert value(w, np.sort(model.thresholds + rng.normal(0, 0.05, 3))) > best - 1e-3
+
+
+def test_query_with_ties_repeats_and_long_texts_is_the_model_row_by_row(spark, docs_of):
+    rows = corpus() + [(200, "vile " * 40_000), (201, "x" * 300_000), (202, "漢" * 50_000)]
+    rows += [(300 + i, prose(i) + (" vile" if i % 2 else "")) for i in range(40)] + [(301, prose(1) + " vile")] * 3
+    docs = docs_of(rows)
+    labels = spark.createDataFrame([(300 + i, i % 2, i % 4 // 2) for i in range(40)] + [(301, 1, None), (None, 1, 1), (5, None, 0)], "doc_id long, toxic int, quality int")
+    graded_ = tx.severity_grades(labels)
+    assert sorted({r.severity for r in graded_.collect()}, key=str) == [0, 1, 2, None]
+    model = tx.fit(docs, graded_, "severity", gather=4000)
+    s, mean, grade = model.score(*tx.features(*text_buffer(pa.array([t for _, t in rows]))))
+    want = sorted((str(i), round(float(a), 9), round(float(m), 9), int(g)) for (i, _), a, m, g in zip(rows, s, mean, grade))
+    assert sorted((str(r.doc_id), round(r.score, 9), round(r.expected_severity, 9), r.grade) for r in tx.severity(docs, model).collect()) == want
+    assert all(r.toxic == (r.grade >= 1) for r in tx.severity(docs, model).collect())
+
+
+def test_driver_grades_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = tx.fit(docs, tx.severity_grades(labels.filter("doc_id % 4 <> 1")), "severity")
+    got = tx.severity(docs, model).withColumnRenamed("toxic", "said").join(labels.filter("doc_id % 4 = 1"), "doc_id").collect()
+    assert np.mean([r.said == bool(r.toxic) for r in got]) > 0.93 and not any(r.said for r in got if not r.toxic)
