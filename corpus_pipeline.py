@@ -14,23 +14,29 @@ from quern.llm.common import staged, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity is below 0.5, by a model of the labelled ones."""
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    """Documents that are more likely not toxic than toxic, by an ordinal model of the labelled ones' severity."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, toxicity.severity_grades(table(spark, sf_dir, "labels")), "severity"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space the row of the smallest id; null and empty texts are one group.
+
+    Rows without an id lose against any id; of rows that repeat id and text one stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the row of the smallest id; texts without words stay. Null ids lose."""
     return minhash_dedup.drop_near_copies(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of ten words (or a whole shorter item) of the benchmark. Empty texts stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; a null text is the end token alone, and null ids stay null."""
     return packing.digest(packing.pack(docs))
 
 
