@@ -1,9 +1,11 @@
 """Benchmark decontamination (operator 6): DataFrame functions only.
 
-The normalised n-grams of the test items form a hash set, broadcast behind a check of its rows and bytes (beyond
-it the same join shuffles). Training texts are split into words once; every window is looked up as its whole
-string, so a hit is verified by the join itself and no hash can mislead. Hits are few, so what is shuffled is one
-narrow row per document plus its hits; texts never move.
+The normalised n-grams of the test items form a hash set. Training texts are first sifted: every window of m words
+holds a whole block of b = ceil(m / 2) words that starts at a multiple of b, so each text's aligned blocks (one for
+each b words) are looked up, as 64-bit hashes, in the broadcast set of all blocks of the items' windows. Only texts
+with such a block are split into windows, which are looked up as whole strings: a hit is verified by the join
+itself and no hash can mislead. Both sets are broadcast behind checks of their rows and bytes; beyond them the same
+joins shuffle. What is shuffled of texts without hits is one narrow row.
 """
 
 from __future__ import annotations
@@ -13,12 +15,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import keyed
+from quern.llm.common import keyed, staged
 
 #: Everything but digits, letters and non-ASCII characters separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: A larger set of windows is joined by a shuffle instead of a broadcast.
-MAX_WINDOWS, MAX_BYTES = 1_000_000, 100 << 20
+#: A larger set of windows, blocks or keys is joined by a shuffle instead of a broadcast.
+MAX_WINDOWS, MAX_BYTES, MAX_KEYS = 1_000_000, 100 << 20, 2_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -37,52 +39,76 @@ def _windows(words: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def _block(m: int) -> int:
+    """Words of a block of which every window of m words holds an aligned one."""
+    return (m + 1) // 2
+
+
+def _hashes(words: Column, size: int, step: int) -> Column:
+    """64-bit hashes of the size words that start at every step-th place."""
+    n = F.floor((F.size(words) - size) / step).cast("int")
+    at = F.when(F.size(words) >= size, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.lit(size), F.slice(words, i * step + 1, size)))
+
+
+def _placed(windows: Column, n: int) -> Column:
+    return F.transform(windows, lambda x, i: F.struct(i.alias("pos"), F.lit(n).alias("len"), x.alias("window")))
+
+
 def item_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """window, len, items: each distinct window of the items with the ids (as strings) of the items that have it.
+    """window, len, item: each item's windows, items as strings.
 
     Items of fewer than n words, but not none, are one window. A null id counts as the empty string.
     """
     items = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("")).alias("item"), words_of(benchmark[text_col]).alias("w"))
     short = F.when(F.size("w") > 0, F.array(F.array_join("w", " "))).otherwise(F.array().cast("array<string>"))
     cut = F.when(F.size("w") >= n, _windows(F.col("w"), n)).otherwise(short)
-    cut = items.select("item", F.least(F.size("w"), F.lit(n)).alias("len"), F.explode(cut).alias("window"))
-    return cut.groupBy("window", "len").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return items.select("item", F.least(F.size("w"), F.lit(n)).alias("len"), F.explode(cut).alias("window")).distinct()
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per row of docs: doc_id, k1, k2, n_words and hits, an array of (pos from 0, len, items)."""
-    found = item_windows(benchmark, n)
-    # Whole-table facts of the benchmark, at most n rows.
-    sizes = {r["len"]: r for r in found.groupBy("len").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("window") + 16 * F.size("items")).alias("bytes")).collect()}
-    if sum(r["rows"] for r in sizes.values()) <= MAX_WINDOWS and sum(r["bytes"] for r in sizes.values()) <= MAX_BYTES:
-        found = F.broadcast(found)
+def _small(df: DataFrame, rows: int, size: Column | None = None) -> DataFrame:
+    """df, broadcast if it has at most rows rows (and MAX_BYTES bytes)."""
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if got.n <= rows and got.b <= MAX_BYTES else df
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of docs (doc_id, k1, k2, n_words), hits (k1, k2, pos from 0, len, window) and the items' windows."""
+    items = staged(item_windows(benchmark, n), "windows")
+    found = items.select("window", "len").distinct()
+    lens = sorted(r["len"] for r in found.select("len").distinct().collect())  # at most n
+    blocks = sorted({_block(m) for m in lens})
+    set_of = F.concat(*[F.when(F.col("len") == m, _hashes(F.split("window", " "), _block(m), 1)).otherwise(F.array().cast("array<long>")) for m in lens] or [F.array().cast("array<long>")])
+    known = found.select(F.explode(set_of).alias("_h")).distinct().withColumn("_hit", F.lit(True))
     rows = keyed(docs, id_col, text_col).select("doc_id", "k1", "k2", words_of(F.col("text")).alias("_w"))
-    lens = sorted(sizes) or [n]
     rows = rows.withColumns({"_rid": F.monotonically_increasing_id(), "n_words": F.size("_w")})
-    parts = [_windows(F.col("_w"), m) for m in lens]
-    rows = rows.select("_rid", "doc_id", "k1", "k2", "n_words", F.posexplode_outer(F.concat(*parts)).alias("_at", "_win"))
-    pos, size, start = F.col("_at"), F.lit(lens[0]), F.lit(0)
-    for m, following in zip(lens, lens[1:], strict=False):
-        start = start + F.greatest(F.col("n_words") - (m - 1), F.lit(0))
-        pos = F.when(F.col("_at") >= start, F.col("_at") - start).otherwise(pos)
-        size = F.when(F.col("_at") >= start, F.lit(following)).otherwise(size)
-    rows = rows.withColumns({"_len": size, "_pos": pos})
-    rows = rows.join(found, (rows["_win"] == found["window"]) & (rows["_len"] == found["len"]), "left")
-    rows = rows.filter(F.col("items").isNotNull() | F.col("_at").isNull() | (F.col("_at") == 0))
-    hit = F.when(F.col("items").isNotNull(), F.struct(F.col("_pos").alias("pos"), F.col("_len").alias("len"), "items"))
-    return rows.groupBy("_rid").agg(
-        F.first("doc_id").alias("doc_id"), F.first("k1").alias("k1"), F.first("k2").alias("k2"),
-        F.first("n_words").alias("n_words"), F.array_sort(F.collect_list(hit)).alias("hits"),
-    )
+    cut = F.concat(*[_hashes(F.col("_w"), b, b) for b in blocks] or [F.array().cast("array<long>")])
+    rows = rows.select("_rid", "doc_id", "k1", "k2", "n_words", F.posexplode_outer(cut).alias("_at", "_h"))
+    rows = rows.join(_small(known, MAX_WINDOWS * n), "_h", "left").filter("_hit or _at is null or _at = 0")
+    base = rows.groupBy("_rid").agg(*[F.first(c).alias(c) for c in ("doc_id", "k1", "k2", "n_words")], F.bool_or(F.coalesce("_hit", F.lit(False))).alias("_hit"))
+    base = staged(base.drop("_rid"), "sifted")
+    some = base.filter("_hit").select("k1", "k2").distinct()
+    texts = keyed(docs, id_col, text_col).select("k1", "k2", "text").join(_small(some, MAX_KEYS), ["k1", "k2"], "left_semi")
+    texts = texts.select("k1", "k2", words_of(F.col("text")).alias("_w"))
+    win = F.concat(*[_placed(_windows(F.col("_w"), m), m) for m in lens] or [F.array().cast("array<struct<pos:int,len:int,window:string>>")])
+    hits = texts.select("k1", "k2", F.explode(win).alias("_x")).select("k1", "k2", "_x.*")
+    hits = hits.join(_small(found, MAX_WINDOWS, F.octet_length("window")), ["window", "len"], "left_semi").distinct()
+    return base.select("doc_id", "k1", "k2", "n_words"), staged(hits.select("k1", "k2", "pos", "len", "window"), "hits"), items
+
+
+def _spans(hits: DataFrame) -> DataFrame:
+    """k1, k2, hits: each document's hits in order, an array of (pos, len)."""
+    return hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("hits"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     A document word inside any occurrence of a window is hit. Null and empty texts have no words and are clean, as
-    is everything where the benchmark is empty. Repeated rows are reported once each. Other columns are ignored.
+    is everything where the benchmark is empty. Repeated rows are reported once each. An empty table gives an empty
+    result. Other columns are ignored.
     """
-    rows = _hits(docs, benchmark, n, id_col, text_col)
+    rows, hits, items = _scan(docs, benchmark, n, id_col, text_col)
     walk = F.aggregate(
         "hits", F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
         lambda a, h: F.struct(
@@ -90,7 +116,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
             (a["hit"] + h["pos"] + h["len"] - F.least(F.greatest(a["end"], h["pos"]), h["pos"] + h["len"])).alias("hit"),
         ),
     )
-    rows = rows.withColumns({"_n": walk["hit"].cast("long"), "items": F.array_sort(F.array_distinct(F.flatten("hits.items")))})
+    of = hits.select("k1", "k2", "window", "len").distinct().join(items, ["window", "len"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = staged(_spans(hits).select("k1", "k2", walk["hit"].cast("long").alias("_n")).join(of, ["k1", "k2"]), "contaminated")
+    rows = rows.join(_small(found, MAX_KEYS, 16 * F.size("items")), ["k1", "k2"], "left")
+    rows = rows.withColumns({"_n": F.coalesce("_n", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return rows.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("_n").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
@@ -101,12 +130,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without contaminated documents, or (mode "spans") with the hit words and what precedes them cut out.
 
-    The columns of docs are unchanged. Documents without hits stay byte for byte.
+    The columns of docs are unchanged. Documents without hits stay byte for byte. The contaminated documents' keys
+    are broadcast behind a check of their number, so whole texts move only beyond it.
     """
-    hits = _hits(docs, benchmark, n, id_col, text_col).filter(F.size("hits") > 0)
+    hits = _spans(_scan(docs, benchmark, n, id_col, text_col)[1])
+    hits = hits.select(F.col("k1").alias("_h1"), F.col("k2").alias("_h2"), *([F.col("hits").alias("_hits")] if mode == "spans" else []))
+    hits = staged(hits, "hit-documents")
+    hits = _small(hits, MAX_KEYS, 16 * F.size("_hits") if mode == "spans" else None)
     key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
     kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("_k1"), key.alias("_k2"))
-    hits = hits.groupBy(F.col("k1").alias("_h1"), F.col("k2").alias("_h2")).agg(F.first("hits").alias("_hits"))
     same = (kept["_k1"] == hits["_h1"]) & (kept["_k2"] == hits["_h2"])
     if mode == "documents":
         return kept.join(hits, same, "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import string
 
@@ -54,7 +55,8 @@ def test_all_cases(spark, docs_of):
 def test_shuffle_path_gives_the_same(spark, docs_of, monkeypatch):
     rows = corpus()
     a = sorted(map(str, dc.contamination(docs_of(rows), bench(spark)).collect()))
-    monkeypatch.setattr(dc, "MAX_WINDOWS", 0)
+    monkeypatch.setattr(dc, "MAX_WINDOWS", -1)
+    monkeypatch.setattr(dc, "MAX_KEYS", -1)
     assert sorted(map(str, dc.contamination(docs_of(rows), bench(spark)).collect())) == a
 
 
@@ -74,3 +76,14 @@ def test_documents_and_spans_go(spark, docs_of):
     assert clean
     cut = dc.decontaminate(docs_of([(1, "Keep this! " + prose(1, 30) + " and, that."), (2, "clean  text")]), bench(spark), "spans").collect()
     assert {r.doc_id: r.text for r in cut} == {1: "Keep this and, that.", 2: "clean  text"}
+
+
+def test_every_window_at_every_place_and_length(spark, docs_of):
+    r = random.Random(5)
+    items = [(k, " ".join(f"w{r.randrange(6)}" for _ in range(k))) for k in range(1, 15)]
+    rows = [(i, " ".join(f"w{r.randrange(7)}" for _ in range(r.randrange(0, 40)))) for i in range(60)]
+    rows += [(100 + k, prose(k, k) + " " + items[-1][1] + " " + prose(k, 3)) for k in range(12)]
+    for some in (items[8:], items[2:5] + items[-1:]):
+        got = dc.contamination(docs_of(rows), bench(spark, some)).collect()
+        got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got]
+        assert sorted(got, key=key) == sorted(brute(rows, some), key=key)
