@@ -8,8 +8,14 @@ no further comparison. Buckets that still hold several components then compare m
 against block inside tasks, with the same pruning and verification; a block hands on at most one link for each
 component it joins, never its pairs.
 
+A member of a bucket of m meets at most WIDE / BLOCK blocks there. Members of wider buckets that hold several
+components are dealt anew: texts at similarity t share one of their rarest n - ceil(t n) + 1 shingles (the prefix
+filter, rarity being counted among these members), so each goes to the buckets of those of its shingles that another
+member has, and bucket mates without a rare shingle in common, such as pages of one template, never meet. That is
+exact: every pair at the threshold meets, and is compared and verified as above.
+
 Nothing gathers a group in one task: pivots are dealt out with at most one partner share in SHARES, blocks hold
-about BLOCK members, and hot band keys are met by partial aggregation and skew-split joins. Links, components and
+about BLOCK members, and hot band keys, components and copies are split by hot_join. Links, components and
 fingerprints stay in tables. Texts are read once for signatures and shuffled once, for candidates only.
 """
 
@@ -26,14 +32,16 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import Words, keyed, mix64, ngram_hashes, partitions, seeds64, small_batches, staged, text_buffer
 from quern.operators.graph import components
+from quern.operators.skew import hot_join
 
 SHINGLE, PERCENT = 5, 75
 #: 40 bands of 5: a pair at similarity 0.75 shares no band with probability 2.0e-5; with pruning it is missed with 2.4e-5.
 BANDS, ROWS = 40, 5
 #: Posterior probability of similarity >= 0.75 under which a pair is pruned; hashes compared at a time.
 MISS, BATCH = 1e-6, 40
-#: Shares of a pivot's partners; members of a block; pivots that a group's buckets choose among.
-SHARES, BLOCK, PIVOTS = 1024, 256, 4
+#: Shares of a pivot's partners; members of a block and of a bucket that is met block by block; pivots that a group's
+#: buckets choose among.
+SHARES, BLOCK, WIDE, PIVOTS = 1024, 256, 1024, 4
 
 
 def shingle_sets(w: Words, size: int = SHINGLE) -> list[np.ndarray]:
@@ -217,6 +225,26 @@ def _blocks(members: DataFrame, steps: tuple[tuple[int, int], ...]) -> DataFrame
     return rows.mapInArrow(work, "a long, b long")
 
 
+def _rare_keys(texts: DataFrame) -> DataFrame:
+    """key, cid: of each text (cid, text) the shingles of its prefix, rarest first, that another of texts has too."""
+
+    def work(batches):
+        for b in batches:
+            sets = shingle_sets(Words(*text_buffer(b.column("text")), lower=True))
+            size = np.array([x.size for x in sets], np.int64)
+            cid = np.repeat(b.column("cid").to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.repeat(size, size)), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], names=["cid", "n", "key"])
+
+    rows = staged(texts.select("cid", "text").mapInArrow(work, "cid long, n long, key long"), "shingles")
+    shared = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumn("rarity", F.col("k")), "shared")
+    rows = hot_join(rows, shared, ["key"], "k")
+    # Shingles that no other member has come first and need no bucket.
+    by = Window.partitionBy("cid")
+    rows = rows.withColumns({"_own": F.col("n") - F.count(F.lit(1)).over(by), "_at": F.row_number().over(by.orderBy("rarity", "key"))})
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    return rows.filter(F.col("_own") + F.col("_at") <= prefix).select("key", "cid")
+
+
 def _near(x: np.ndarray, y: np.ndarray) -> bool:
     if 100 * min(x.size, y.size) < PERCENT * max(x.size, y.size):
         return False
@@ -237,14 +265,14 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     steps = least_matches(bands * rows)
     table = staged(sketch(docs, bands, rows, id_col, text_col), "sketch")
     head = F.struct("k1", "k2", "n", "bands", "sig")
-    classes = table.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(head).alias("_f"))
-    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "least", "_f.*")
+    classes = table.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(head).alias("_f"), F.count(F.lit(1)).alias("n_rows"))
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "least", "n_rows", "_f.*")
     classes = staged(classes, "classes")
 
     keys = classes.select(F.posexplode("bands").alias("band", "key"), "cid")
     pivot = F.min_by("cid", F.xxhash64("cid", F.col("band") % PIVOTS)).alias("pivot")
-    pivots = keys.groupBy("key").agg(pivot, F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = staged(keys.select("key", "cid").join(pivots, "key"), "members")
+    pivots = keys.groupBy("key").agg(pivot, F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("_w", F.col("size"))
+    members = staged(hot_join(keys.select("key", "cid"), staged(pivots, "pivots"), ["key"], "_w"), "members")
     # Texts of candidates only; one plan at every size. Rows that repeat id and text share a key: any stands for its class.
     candidates = members.select("cid").distinct().join(classes.select("cid", "k1", "k2", "sig"), "cid")
     texts = keyed(docs, id_col, text_col).select("k1", "k2", "text").join(candidates.hint("merge"), ["k1", "k2"])
@@ -270,15 +298,32 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     roots = components(staged(_meet(star, texts, "text", read_text, _near), "links"))
     # Buckets that still hold members of several components.
     left = members.drop("pivot").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = left.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
-    left = left.join(mixed, "key").select("key", "cid", "root", "size").join(texts, "cid")
-    tops = components(staged(_blocks(left, steps), "bridges")).select(F.col("node").alias("root"), F.col("root").alias("top"))
-
-    found = classes.select("cid", "digest", "least").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    found = found.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root"))
-    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = found.join(least, "root").select("digest", "component_id")
-    out = table.select("doc_id", "k1", "k2", "n", "digest").join(found, "digest", "left")
+    left = staged(left, "bucket-members")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        groups = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("_w"))
+        return hot_join(rows, staged(groups.filter("_a <> _b").select("key", "_w"), "mixed"), ["key"], "_w")
+
+    left = staged(mixed(left), "mixed-members")
+    wide = left.filter(F.col("size") > WIDE).select("cid", "root").distinct()
+    left = left.filter(F.col("size") <= WIDE).select("key", "cid", "root", "size")
+    if not wide.isEmpty():
+        again = staged(_rare_keys(wide.join(texts, "cid")), "rare-keys").join(wide, "cid")
+        again = staged(mixed(again), "rare-members")
+        sizes = staged(again.groupBy("key").agg(F.count(F.lit(1)).alias("size")).withColumn("_w", F.col("size")), "rare-sizes")
+        left = left.unionByName(hot_join(again, sizes, ["key"], "_w"))
+    tops = components(staged(_blocks(left.join(texts, "cid"), steps), "bridges")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+
+    found = classes.select("cid", "digest", "least", "n_rows").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    found = staged(found, "found")
+    tops = staged(tops.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("_w")), "root"), "tops")
+    found = hot_join(found, tops, ["root"], "_w", "left").withColumn("root", F.coalesce("top", "root"))
+    found = staged(found, "found-tops")
+    least = staged(found.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_w")), "least")
+    found = staged(hot_join(found, least, ["root"], "_w").select("digest", "component_id", "n_rows"), "components")
+    # Texts without words have no class: without a digest the join spreads them.
+    out = table.select("doc_id", "k1", "k2", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    out = hot_join(out, found, ["digest"], "n_rows", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "k1", "k2")
 
@@ -288,16 +333,17 @@ def drop_near_copies(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_c
 
     Of rows that repeat an id inside their component, one stays.
     """
-    groups = near_groups(docs, bands, rows, id_col, text_col).filter("kept").select("k1", "k2", "component_id", "n_shingles")
+    groups = near_groups(docs, bands, rows, id_col, text_col).filter("kept and n_shingles > 0")
     # A component's row has the least id; equal ids there are told apart by their text hash.
-    one = groups.filter("n_shingles > 0").groupBy("component_id", "k1").agg(F.min("k2").alias("k2")).select("k1", "k2", F.lit(True).alias("_one"))
-    none = groups.filter("n_shingles = 0").select("k1", "k2", F.lit(False).alias("_one")).distinct()
-    key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    one = groups.groupBy("component_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).groupBy("component_id", "k1").agg(F.min(F.struct("k2", "n")).alias("_o"))
+    one = staged(one.select("k1", "_o.k2", "_o.n"), "kept")
+    text = docs[text_col].cast("string")
+    key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(text, F.lit("")))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    rows_ = docs.select(row, F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("k1"), key.alias("k2"))
-    rows_ = rows_.join(one.union(none), ["k1", "k2"])  # leaves the rows dealt out and sorted as the window needs them
-    rows_ = rows_.withColumn("_rn", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0))))
-    return rows_.filter("_rn = 1 or not _one").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    rows_ = docs.select(row, F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("k1"), key.alias("k2"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"))
+    kept = hot_join(rows_.filter("_words").drop("_words"), one, ["k1", "k2"], "n", merge=True).dropDuplicates(["k1", "k2"]).select("_row")
+    kept = kept.union(rows_.filter("not _words").select("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = r"""

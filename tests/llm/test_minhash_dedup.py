@@ -64,6 +64,40 @@ def test_chains_of_edits_split_and_meet(docs_of, monkeypatch):
     assert run(docs_of(rows)) == brute(rows)
 
 
+def test_wide_buckets_meet_by_rare_shingles(docs_of, monkeypatch):
+    monkeypatch.setattr(mh, "BLOCK", 4)
+    monkeypatch.setattr(mh, "WIDE", 6)
+    met = []
+    rare = mh._rare_keys
+    monkeypatch.setattr(mh, "_rare_keys", lambda texts: met.append(1) or rare(texts))
+    page = prose(7, 120)  # pages of one template, below the threshold to each other, some with a near copy
+    rows = [(i, f"{page} {prose(500 + i, 50)}") for i in range(40)]
+    rows += [(100 + i, rows[i][1].replace(" ", "  ", 3) + " and more") for i in range(0, 40, 4)]
+    rows += [(200 + i, t) for i, t in enumerate(variants(1, 60) + variants(3, 30, 200, 20))]
+    assert run(docs_of(rows)) == brute(rows) and met
+
+
+def test_rows_repeated_so_often_that_their_key_is_hot(docs_of):
+    rows = [(i, t) for i, t in enumerate(variants(5, 20, 80, 5))]
+    rows += [rows[3]] * 1500 + [(None, None)] * 1500 + [(30, "only once here")] + [(40 + i, "many ids of one text") for i in range(1500)]
+    d = docs_of(rows)
+    assert run(d) == brute_of_distinct(rows)
+    kept = mh.drop_near_copies(d).collect()
+    least = {c for _, n, c in brute_of_distinct(rows) if n}
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(least) and sum(r.doc_id is None for r in kept) == 1500
+
+
+def brute_of_distinct(rows):
+    """brute over distinct texts, for inputs with many equal rows."""
+    first, texts = {}, {}
+    for i, t in rows:
+        texts.setdefault(t, []).append(i)
+    rep = [(min((i for i in ids if i is not None), default=None), t) for t, ids in texts.items()]
+    for (_, n, c), (_, t) in zip(*(sorted(x, key=str) for x in (brute(rep), rep))):
+        first[t] = (n, c)
+    return sorted(((i, first[t][0], first[t][1] if first[t][0] else i) for i, t in rows), key=str)
+
+
 def test_empty_table_and_no_words(docs_of):
     assert run(docs_of([])) == []
     assert run(docs_of([(1, None), (2, ""), (3, " ")])) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
