@@ -183,6 +183,19 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def reducers(df: DataFrame, each: int = 32 << 20) -> int:
+    """Shuffle partitions for whole texts of df: the session's, or more where df's files are larger than each times that."""
+    p = partitions(df.sparkSession)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return p if size >= 1 << 60 else max(p, -(-size // each))  # unknown sizes are given as huge
+
+
+def heavy(hashes: DataFrame, share: int) -> DataFrame:
+    """key, n of the 64-bit keys with more than one in share of all rows of hashes (key, n, total), summed by task."""
+    total = hashes.agg(F.sum("total")).first()[0] or 0
+    return hashes.groupBy("key").agg(F.sum("n").alias("n")).filter((F.col("n") > total / share) & F.col("key").isNotNull())
+
+
 def trim() -> None:
     """Give freed memory back: Python workers stay alive between tasks."""
     pa.default_memory_pool().release_unused()

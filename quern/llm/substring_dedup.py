@@ -8,7 +8,10 @@ then windows are sorted by hash and neighbours are compared word for word.
 Shuffled rows are whole buckets of one map batch, compressed; they are addressed to partitions directly. Strings
 that repeat inside a map batch are folded before the shuffle: their windows are known to repeat, so they go once,
 marked, without their places. A passage that a third of all documents share therefore costs its bucket one string
-for each map batch. What comes back is one row for each repeated stretch, joined to the texts by (id, text hash).
+for each map batch. Minimisers are taken from frequent grams last: a first pass over all texts counts grams by
+slots of their hash, and grams of slots that hold more than one in 16 * buckets of all of them rank behind all
+others. A common word group therefore draws windows only where nothing rarer is near, and its bucket is spread over
+those of its neighbours. The order decides only where windows meet, never what is counted. What comes back is one row for each repeated stretch, joined to the texts by (id, text hash).
 """
 
 from __future__ import annotations
@@ -22,13 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, hash_words, keyed, mix64, ngram_hashes, partitions, sliding_min, small_batches, text_buffer, trim
+from quern.llm.common import Words, hash_words, heavy, keyed, mix64, ngram_hashes, reducers, sliding_min, small_batches, staged, text_buffer, trim
 
 WINDOW, GRAM = 35, 4
 #: Bytes of distinct strings that a map task folds before it sends them; words looked at together.
 FOLD_BYTES, SEGMENT = 32 << 20, 1 << 18
-#: Buckets for each shuffle partition; a reducer holds one bucket at a time.
-BUCKETS = 4
+#: Buckets for each shuffle partition; a reducer holds one bucket at a time. Bits of a gram's slot.
+BUCKETS, SLOT_BITS = 4, 22
 
 _PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
 _STRETCH = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
@@ -51,11 +54,56 @@ def _unpack(body: bytes) -> list[bytes]:
     return out
 
 
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def ranks(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The order of grams as minimisers: by hash, those of frequent slots (sorted) behind all others."""
+    if not frequent.size:
+        return grams
+    slot = _slots(grams)
+    at = np.minimum(np.searchsorted(frequent, slot), frequent.size - 1)
+    return (grams >> np.uint64(1)) | ((frequent[at] == slot).astype(np.uint64) << np.uint64(63))
+
+
+def frequent_slots(texts: DataFrame, gram: int, share: int) -> np.ndarray:
+    """Slots with more than one in share of all grams of texts (column text): fewer than share, whatever the data.
+
+    Each task counts all its grams and sends the slots that reach half that share of its own.
+    """
+
+    def work(batches):
+        counts, held, size, total = np.zeros(1 << SLOT_BITS, np.int64), [], 0, 0
+
+        def add():
+            slot, n = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
+            counts[slot] += n
+
+        for b in batches:
+            held.append(_slots(ngram_hashes(Words(*text_buffer(b.column("text"))).hashes(), gram)))
+            size += held[-1].size
+            total += held[-1].size
+            if size > 1 << 20:
+                add()
+                held, size = [], 0
+        add()
+        top = np.flatnonzero(counts > max(total / (2 * share), 3))
+        n = counts[top].astype(np.int64)
+        key = pa.concat_arrays([pa.array(top, pa.int64()), pa.nulls(1, pa.int64())])
+        yield pa.RecordBatch.from_arrays([key, pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(n.size, np.int64), total))], names=["key", "n", "total"])
+        trim()
+
+    found = heavy(staged(texts.select("text").mapInArrow(work, "key long, n long, total long"), "grams"), share)
+    return np.array(sorted(r.key for r in found.select("key").collect()), np.int64)
+
+
 class _Folder:
     """Super-k-mers of a map task: distinct strings, and the places of those seen once or more."""
 
-    def __init__(self, window: int, gram: int, parts: int) -> None:
+    def __init__(self, window: int, gram: int, parts: int, frequent: np.ndarray = np.empty(0, np.int64)) -> None:
         self.window, self.gram, self.parts, self.n_buckets = window, gram, parts, parts * BUCKETS
+        self.frequent = frequent
         self.clear()
 
     def clear(self) -> None:
@@ -68,7 +116,7 @@ class _Folder:
         for lo in range(0, max(w.n - n + 1, 0), SEGMENT):
             hi = min(lo + SEGMENT, w.n - n + 1)
             part = h[lo : hi + n - 1]
-            least = sliding_min(ngram_hashes(part, self.gram), n - self.gram + 1)
+            least = sliding_min(ranks(ngram_hashes(part, self.gram), self.frequent), n - self.gram + 1)
             doc = w.doc[lo : hi + n - 1]
             valid = doc[: hi - lo] == doc[n - 1 :]
             edge = np.ones(hi - lo + 1, bool)
@@ -189,10 +237,12 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     """k1, k2 (row key), s, e: word ranges covered by windows that start at more than one place of the corpus."""
     spark = docs.sparkSession
     small_batches(spark)
-    p = partitions(spark)
+    p = reducers(docs)
+    texts = keyed(docs, id_col, text_col).select("k1", "k2", "text")
+    frequent = frequent_slots(texts, gram, 16 * p * BUCKETS)
 
     def fold(batches):
-        f = _Folder(window, gram, p)
+        f = _Folder(window, gram, p, frequent)
         for b in batches:
             w = Words(*text_buffer(b.column("text")))
             yield from f.add(w, b.column("k1").to_numpy(), b.column("k2").to_numpy())
@@ -224,7 +274,7 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
         held = []
         trim()
 
-    rows = keyed(docs, id_col, text_col).select("k1", "k2", "text").mapInArrow(fold, "part int, bucket int, body binary")
+    rows = texts.mapInArrow(fold, "part int, bucket int, body binary")
     rows = rows.repartitionById(p, F.col("part")).sortWithinPartitions("bucket")
     return rows.select("bucket", "body").mapInArrow(count, "k1 long, k2 long, s long, e long")
 

@@ -1,6 +1,9 @@
 import hashlib
+import random
 from collections import Counter
 
+import pyarrow as pa
+
 from llm_helpers import corpus, prose
 
 from quern.llm.substring_dedup import remove_repeats
@@ -47,7 +50,6 @@ def test_segments_and_folds_are_cut_anywhere(docs_of, monkeypatch):
     import numpy as np
 
     from quern.llm.common import Words, text_buffer
-    import pyarrow as pa
 
     rows = [(i, prose(i % 5, 200)) for i in range(30)]
     f = m._Folder(35, 4, 4)
@@ -70,5 +72,29 @@ def test_segments_and_folds_are_cut_anywhere(docs_of, monkeypatch):
     assert {i: len(c) for i, c in cut.items()} == {i: r for i, _, r, _ in brute(rows, 35)}
 
 
+def test_a_common_word_group_draws_few_windows_and_changes_no_result(docs_of):
+    import numpy as np
+
+    from quern.llm import substring_dedup as m
+
+    r = random.Random(3)
+    phrase = "by the terms of"
+    rows = []
+    for i in range(150):
+        w = prose(i, 120).split()
+        for _ in range(4):
+            w[r.randrange(len(w)) : 0] = phrase.split()
+        rows.append((i, " ".join(w)))
+    rows += [(200, rows[7][1]), (201, " ".join(rows[9][1].split()[20:70]))]
+    d = docs_of(rows)
+    found = m.frequent_slots(d.select("text"), 4, 2000)
+    g = m.ngram_hashes(m.Words(*m.text_buffer(pa.array([phrase]))).hashes(), 4)
+    assert 0 < found.size < 2000 and int(m._slots(g)[0]) in found.tolist()
+    other = np.array([1, 2**63 + 5], np.uint64)
+    order = m.ranks(np.concatenate([other, g]), found)
+    assert order.argmax() == 2 and m.ranks(other, found[:0]) is other
+    assert run(d) == sorted(brute(rows, 35), key=key)
+
+
 def test_empty_table(docs_of):
     assert run(docs_of([])) == []
