@@ -8,8 +8,9 @@ continuation and token counts of unigrams. Workers memory-map the shards and loo
 no process holds the model, and its size follows the corpus.
 
 Shards are written under a temporary name and renamed: a task that runs twice leaves the same file. Contexts are
-spread by hash; a context that a third of all tokens have sends each reducer at most its distinct successors per
-map fold.
+spread by hash. A first pass counts tokens: those that make up more than one in BUCKETS * P of all, and the begin of
+a text, are hot contexts, whose pairs are spread by successor as well; the few numbers that their probabilities need
+are summed over the reducers and travel with the model (at most BUCKETS * P rows).
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, local_path, mix64, new_path, ngram_hashes, partitions, small_batches, staged, text_buffer, trim
+from quern.llm.common import Words, heavy, local_path, mix64, new_path, ngram_hashes, reducers, small_batches, staged, text_buffer, trim
 from quern.llm.substring_dedup import _pack, _unpack
 
-#: Tokens that a map task folds at once; shards for each shuffle partition.
-FOLD, BUCKETS = 1_500_000, 4
+#: Tokens that a map task folds at once; shards for each shuffle partition; bytes of text that are scored together.
+FOLD, BUCKETS, SCORED = 1_500_000, 4, 6 << 20
 BOS, END = np.uint64(0x51ED270B0F1C2D3E), np.uint64(0xA24BAED4963EE407)
 _ROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
 _OUT = "kind int, part int, body binary, n1 long, n2 long, n3 long, n4 long, types long, total long"
@@ -58,6 +59,12 @@ def ngram_hashes_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64(a * np.uint64(0xD6E8FEB86659FD93) + mix64(b ^ np.uint64(0x2545F4914F6CDD1D)))
 
 
+def bucket_of(a: np.ndarray, b: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of each pair: by its context, pairs of hot contexts (sorted) by the successor too."""
+    key = np.where(find(hot, a)[1], ngram_hashes_pair(a, b), a)
+    return (mix64(key) % np.uint64(n)).astype(np.int64)
+
+
 def _write(path: str, **arrays: np.ndarray) -> None:
     """One file: name, type and length of each array, then the arrays, 8-byte aligned; complete or absent."""
     head = ";".join(f"{k},{v.dtype.str},{v.size}" for k, v in arrays.items()).encode()
@@ -108,7 +115,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class KneserNey:
     """A trained model: where its shards are, and the few numbers that all lookups need."""
 
-    def __init__(self, path: str, n_buckets: int, n_words: int, d2, d1, types: int, uni: tuple[int, int, int], vocabulary: int, tokens: int) -> None:
+    def __init__(self, path: str, n_buckets: int, n_words: int, d2, d1, types: int, uni: tuple[int, int, int], vocabulary: int, tokens: int, hot: dict[str, np.ndarray]) -> None:
+        self.hot = hot  # key (sorted contexts), total, c1, c2, c3
         self.path, self.n_buckets, self.n_words, self.d2, self.d1, self.types = path, n_buckets, n_words, d2, d1, types
         self.vocabulary, self.tokens = vocabulary, tokens
         self.gamma1 = float(d1[1] * uni[0] + d1[2] * uni[1] + d1[3] * uni[2]) / types if types else 1.0
@@ -137,7 +145,7 @@ class KneserNey:
         """Probability of b after a, given the lower-order probability of b."""
         key = ngram_hashes_pair(a, b)
         c, total, gamma = np.zeros(a.size, np.int64), np.ones(a.size), np.ones(a.size)
-        for g, s in self._by_bucket((mix64(a) % np.uint64(self.n_buckets)).astype(np.int64), "b"):
+        for g, s in self._by_bucket(bucket_of(a, b, self.hot["key"], self.n_buckets), "b"):
             at, there = find(s.key, key[g])
             got = np.where(there, s.count[at], 0).astype(np.int64)
             big = np.flatnonzero(there & (got == 255))
@@ -148,6 +156,12 @@ class KneserNey:
             total[g] = np.where(there, s.total[at], 1)
             mass = self.d2[1] * s.c1[at] + self.d2[2] * s.c2[at] + self.d2[3] * s.c3[at]
             gamma[g] = np.where(there, mass / total[g], 1.0)
+        at, there = find(self.hot["key"], a)
+        if there.any():
+            g, at = np.flatnonzero(there), at[there]
+            total[g] = np.maximum(self.hot["total"][at], 1)
+            mass = sum(self.d2[k] * self.hot[f"c{k}"][at] for k in (1, 2, 3))
+            gamma[g] = np.where(self.hot["total"][at] > 0, mass / total[g], 1.0)
         return np.maximum(c - self.d2[np.minimum(c, 3)], 0) / total + gamma * lower
 
     def score(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,12 +182,46 @@ class KneserNey:
         return w.counts + 1, np.add.reduceat((count > 0).astype(np.int64), cut), np.add.reduceat(base, cut), np.add.reduceat(logp, cut)
 
 
+def hot_contexts(texts: DataFrame, share: int) -> np.ndarray:
+    """BOS and the tokens that make up more than one in share of all tokens of texts (column t), sorted.
+
+    Each task counts all its tokens, keeping those above a quarter of that share of what it has seen, which loses
+    no token that is hot in the task; a token that is hot only in sum may be missed, which costs balance alone.
+    """
+
+    def work(batches):
+        keys, n, total, held, size = np.empty(0, np.uint64), np.empty(0, np.int64), 0, [], 0
+
+        def fold(keys, n, keep):
+            key, inv = np.unique(np.concatenate([keys, *held]), return_inverse=True)
+            n = np.bincount(inv, weights=np.concatenate([n, np.ones(sum(map(len, held)))]), minlength=key.size).astype(np.int64)
+            top = n > keep
+            return key[top], n[top]
+
+        for b in batches:
+            held.append(Words(*text_buffer(b.column(0)), lower=True).hashes())
+            size += held[-1].size
+            total += held[-1].size
+            if size > FOLD:
+                keys, n = fold(keys, n, total // (4 * share))
+                held, size = [], 0
+        keys, n = fold(keys, n, total // (2 * share))
+        key = pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(1, pa.int64())])
+        yield pa.RecordBatch.from_arrays([key, pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(n.size, np.int64), total))], names=["key", "n", "total"])
+        trim()
+
+    found = heavy(staged(texts.mapInArrow(work, "key long, n long, total long"), "kn-tokens"), share)
+    return np.sort(np.array([BOS, *np.array([r.key for r in found.select("key").collect()], np.int64).view(np.uint64)], np.uint64))
+
+
 def train(rows: DataFrame, text_col: str = "text") -> KneserNey:
     """Count the texts of rows and write the model to the shared folder. Null texts count as empty."""
     spark = rows.sparkSession
     small_batches(spark)
-    p = partitions(spark)
+    p = reducers(rows)
     nb = p * BUCKETS
+    texts = rows.select(F.col(text_col).cast("string").alias("t"))
+    hot = hot_contexts(texts, nb)
     where = new_path(spark, "kn")
     path = local_path(where)
     os.makedirs(path, exist_ok=True)
@@ -197,7 +245,7 @@ def train(rows: DataFrame, text_col: str = "text") -> KneserNey:
             _, a, b, c = _fold_pairs(a, b, np.ones(a.size, np.int64))
             order = np.argsort(a)  # equal contexts side by side compress away
             a, b, c = a[order], b[order], c[order].astype(np.uint32)
-            return rows_of((mix64(a) % np.uint64(nb)).astype(np.int64), {"a": a, "b": b, "c": c})
+            return rows_of(bucket_of(a, b, hot, nb), {"a": a, "b": b, "c": c})
 
         for batch in batches:
             w = Words(*text_buffer(batch.column(0)), lower=True)
@@ -256,7 +304,8 @@ def train(rows: DataFrame, text_col: str = "text") -> KneserNey:
             words.append((word, np.bincount(w_inv), np.bincount(w_inv, weights=c)))
             if len(words) > 4:
                 words = [fold_words(words)]
-            yield out([(0, -1, None, *of_counts(c), c.size, int(c.sum()))])
+            shares = np.flatnonzero(find(hot, context)[1])
+            yield out([(0, -1, None, *of_counts(c), c.size, int(c.sum()))] + [(3, -1, context[i].tobytes(), int(k[0][i]), int(k[1][i]), int(k[2][i]), 0, 0, int(total[i])) for i in shares])
         if words:
             word, cont, raw = fold_words(words)
             sent = rows_of((word % np.uint64(p)).astype(np.int64), {"word": word, "cont": cont, "raw": raw})
@@ -270,7 +319,7 @@ def train(rows: DataFrame, text_col: str = "text") -> KneserNey:
             _write(f"{path}/u{b}", key=key, cont=cont.astype(np.uint32), raw=raw.astype(np.int64))
             yield out([(2, -1, None, *of_counts(cont), key.size, int((cont > 2).sum()))])
 
-    counted = rows.select(F.col(text_col).cast("string").alias("t")).mapInArrow(fold, "part int, bucket int, body binary")
+    counted = texts.mapInArrow(fold, "part int, bucket int, body binary")
     counted = counted.repartitionById(p, F.col("part")).sortWithinPartitions("bucket").select("bucket", "body").mapInArrow(bigrams, _OUT)
     counted = staged(counted, "kn-unigrams")
     words = counted.filter("kind = 1").select(F.col("part").alias("bucket"), "body")
@@ -278,7 +327,10 @@ def train(rows: DataFrame, text_col: str = "text") -> KneserNey:
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "types", "total")]
     one = words.agg(*sums).first()  # writes the shards
     two = counted.filter("kind = 0").agg(*sums).first()
-    return KneserNey(path, nb, p, discounts(two.n1, two.n2, two.n3, two.n4), discounts(one.n1, one.n2, one.n3, one.n4), two.types, (one.n1, one.n2, one.total), one.types, two.total)
+    sums = [F.sum(c).alias(c) for c in ("n1", "n2", "n3", "total")]
+    shares = {int.from_bytes(r.body, "little"): r for r in counted.filter("kind = 3").groupBy("body").agg(*sums).collect()}  # one row per hot context
+    hot_rows = {"key": hot} | {name: np.array([getattr(shares.get(k), column, 0) for k in hot.tolist()], np.float64) for name, column in (("total", "total"), ("c1", "n1"), ("c2", "n2"), ("c3", "n3"))}
+    return KneserNey(path, nb, p, discounts(two.n1, two.n2, two.n3, two.n4), discounts(one.n1, one.n2, one.n3, one.n4), two.types, (one.n1, one.n2, one.total), one.types, two.total, hot_rows)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7) -> DataFrame:
@@ -295,11 +347,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     model = train(rows.filter(~F.col("held_out")))
 
     def score(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        def answer(held):
+            b = pa.concat_batches(held)
             n, known, base, s = model.score(Words(*text_buffer(b.column("text")), lower=True))
             columns = [b.column("doc_id"), b.column("held_out"), pa.array(n, pa.int64()), pa.array(known), pa.array(np.full(n.size, model.tokens, np.int64)), pa.array(base), pa.array(s), pa.array(10 ** np.minimum(-s / n, 300))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+        held, size = [], 0  # texts scored together open each shard once
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.column("text").nbytes
+            if size > SCORED:
+                yield answer(held)
+                held, size = [], 0
+        if held:
+            yield answer(held)
 
     return rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
