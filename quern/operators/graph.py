@@ -9,6 +9,10 @@ from quern.operators.skew import hot_join
 from quern.sources.shared import staged
 
 
+#: Labels of one content that a task pairs with all others.
+SHARE = 256
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder."""
     return staged(df, "cut")
@@ -67,8 +71,13 @@ def split_groups(samples: DataFrame) -> DataFrame:
 def label_pairs(samples: DataFrame, word: str = "word", sha: str = "sha256") -> DataFrame:
     """label_a < label_b that share a content, shared_clips, and its share of either label's samples."""
     d = samples.select(F.col(word).alias("w"), F.col(sha).alias("h")).filter("h is not null")
-    labels = d.distinct()
-    pairs = labels.alias("x").join(labels.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.w") < F.col("y.w")))
+    labels = staged(d.distinct(), "labels")
+    # A content of many labels is dealt out: each label is one share's own and meets the shares of all.
+    many = staged(labels.groupBy("h").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").withColumn("n", F.ceil(F.col("_k") / SHARE).cast("int")), "contents")
+    labels = hot_join(labels, many, ["h"], "_k")
+    x = labels.select("h", "w", F.pmod(F.xxhash64("w"), F.col("n")).cast("int").alias("s"))
+    y = labels.select("h", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.w") < F.col("y.w")))
     pairs = pairs.groupBy(F.col("x.w").alias("label_a"), F.col("y.w").alias("label_b")).agg(F.count(F.lit(1)).alias("shared_clips"))
     size = samples.groupBy(word).agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.join(size.select(F.col(word).alias("label_a"), F.col("n").alias("na")), "label_a").join(size.select(F.col(word).alias("label_b"), F.col("n").alias("nb")), "label_b")

@@ -7,11 +7,11 @@ shoulder frame, normalisation, flags. One shuffle by clip serves the whole chain
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.arrays import GROUPS, LEFT_SHOULDER, RIGHT_SHOULDER, distance_2d, finite, pack_flags
-from quern.operators.timeseries import rejections, rest_frames
+from quern.operators.timeseries import brackets, grid, measured_rate, rejections, rest_frames, upto
 
 HANDS = ("left_hand", "right_hand")
 
@@ -22,18 +22,12 @@ def mix(x: Column, y: Column, a: Column) -> Column:
 
 
 def _resampled(df: DataFrame, groups: list[str], target: float) -> DataFrame:
-    """clip, frame, t, width, height, n_raw, fps and each group's array, seen flag (and pose_vis) on the target grid."""
+    """clip, frame, t, n_raw, fps and each group's array, seen flag (and pose_vis) on the target grid."""
     cols = [c for g in groups for c in (g, f"{g}_seen")] + ["pose_vis"]
-    clips = df.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("t", "_n", *cols))).alias("s"), F.first("width").alias("width"), F.first("height").alias("height"))
-    clips = clips.withColumns({"n": F.size("s"), "t0": F.col("s")[0]["t"], "t1": F.element_at("s", -1)["t"]})
-    fps = F.when(F.col("t1") > F.col("t0"), (F.col("n") - 1) / (F.col("t1") - F.col("t0"))).otherwise(F.lit(target))
-    clips = clips.withColumn("fps", fps).withColumn("m", F.greatest(F.lit(1), F.bround(F.col("n") / F.col("fps") * target).cast("int")))
-    grid = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.least(F.col("t0") + k / F.lit(target), F.col("t1")))
-    out = clips.select("clip", "width", "height", "s", "n", "fps", F.posexplode(grid).alias("frame", "t"))
-    hi = F.when(F.col("n") > 1, F.greatest(F.lit(1), F.least(F.col("n") - 1, F.size(F.filter("s", lambda r: r["t"] < F.col("t")))))).otherwise(0)
-    out = out.withColumn("_hi", hi).withColumns({"x": F.element_at("s", F.greatest("_hi", F.lit(1))), "y": F.element_at("s", F.col("_hi") + 1)}).drop("s")
-    span = F.col("y.t") - F.col("x.t")
-    out = out.withColumn("a", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - F.col("x.t")) / F.when(span > 0, span).otherwise(1.0))))
+    clips = df.groupBy("clip").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    clips = clips.withColumn("fps", measured_rate(target))
+    out = brackets(df.select("clip", F.col("t").cast("double").alias("t"), "_n", *cols), grid(clips, F.col("fps"), target), cols, ["_n"])
+    out = out.join(clips.select("clip", "n", "fps"), "clip").withColumnRenamed("k", "frame")
     far, a = F.col("a") >= 0.5, F.col("a")
     made = {}
     for g in groups:
@@ -47,10 +41,10 @@ def _resampled(df: DataFrame, groups: list[str], target: float) -> DataFrame:
 
 def _filled(df: DataFrame, group: str, max_gap: int) -> DataFrame:
     """df with group (and pose_vis) interpolated over short inner gaps, zero elsewhere; <group>_present, <group>_interp."""
-    w = Window.partitionBy("clip").orderBy("frame")
+    back, ahead = upto("clip", "frame")
     seen = F.col(f"{group}_seen")
     row = F.struct(F.col("frame").alias("f"), F.col(group).alias("v"), *([F.col("pose_vis").alias("u")] if group == "pose" else []))
-    df = df.withColumns({"_l": F.last(F.when(seen, row), True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_r": F.first(F.when(seen, row), True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    df = df.withColumns({"_l": F.last(F.when(seen, row), True).over(back), "_r": F.last(F.when(seen, row), True).over(ahead)})
     fill = F.coalesce(~seen & (F.col("_r.f") - F.col("_l.f") - 1 <= max_gap), F.lit(False))
     a = (F.col("frame") - F.col("_l.f")) / (F.col("_r.f") - F.col("_l.f"))
 
@@ -93,9 +87,9 @@ def preprocess(raw: DataFrame, groups: list[str] | None = None, target: float =
     f = f.withColumns({"_scale": scale, "_center": center})
     ok = F.col("pose_present") & (F.col("pose_vis")[left] >= visible) & (F.col("pose_vis")[right] >= visible) & (F.col("_scale") > 1e-6) & finite(F.col("_scale")) & F.forall("_center", finite)
     f = f.withColumn("shoulder_measured", F.coalesce(ok, F.lit(False)))
-    w = Window.partitionBy("clip").orderBy("frame")
+    back, ahead = upto("clip", "frame")
     body = F.when(F.col("shoulder_measured"), F.struct(F.col("_center").alias("center"), F.col("_scale").alias("scale")))
-    f = f.withColumn("_b", F.coalesce(F.last(body, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(body, True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    f = f.withColumn("_b", F.coalesce(F.last(body, True).over(back), F.last(body, True).over(ahead)))
     lost = f.groupBy("clip").agg(F.count_if("shoulder_measured").alias("shoulder_frames_measured"), *[F.count_if(f"{g}_interp").alias(f"{g}_interpolated_frames") for g in groups])
     clips = clips.join(lost, "clip", "left")
     clips = clips.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("shoulder_frames_measured") == 0), "normalization_no_valid_shoulders").otherwise(F.col("reason")))

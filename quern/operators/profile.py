@@ -5,16 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.stats import chi2_p_value, correlation_p_value
+from quern.operators.skew import sums_before
+from quern.sources.shared import partitions, staged
+
 POINTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
+def percentiles(df: DataFrame, value: Column, points: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """by and one column per point: exact percentiles with linear interpolation; nulls do not count.
+
+    Distinct values are counted, their running counts come from range-sorted partitions, and each point is met where
+    its two ranks lie, so no task gathers the values of a group.
+    """
+    by = by or []
+    v = df.select(*by, value.cast("double").alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    r = running_total(v, [*by, "_v"], "_n")
+    total = r.groupBy(*by).agg(F.sum("_n").alias("_t"), F.max("_upto").alias("_end"))
+    r = r.join(total, by) if by else r.crossJoin(F.broadcast(total))  # one row
+    last = F.col("_upto") - (F.col("_end") - F.col("_t")) - 1
+    r = r.withColumns({"_first": last - F.col("_n") + 1, "_last": last})
+    ends = []
+    for name, q in points.items():
+        at = F.lit(q) * (F.col("_t") - 1)
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            ends.append(F.max(F.when(place.between(F.col("_first"), F.col("_last")), F.col("_v"))).alias(f"_{side}_{name}"))
+    out = r.groupBy(*by).agg(F.max("_t").alias("_t"), *ends)
+
+    def lerp(name: str, q: float) -> Column:
+        at = F.lit(q) * (F.col("_t") - 1)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name)
+
+    return out.select(*by, *[lerp(n, q) for n, q in points.items()])
+
+
 def describe(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
     """count, mean, std (sample), min, exact linear percentiles, max; nulls do not count."""
+    by = by or []
     x = F.col(col).cast("double")
-    g = df.filter(x.isNotNull()).groupBy(*(by or []))
-    out = g.agg(F.count(F.lit(1)).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, F.array(*map(F.lit, POINTS))).alias("_q"), F.max(x).alias("max"))
-    names = ["p01", "p05", "p25", "median", "p75", "p95", "p99"]
-    return out.select(*(by or []), "count", "mean", "std", "min", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "max")
+    out = df.filter(x.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    names = dict(zip(("p01", "p05", "p25", "median", "p75", "p95", "p99"), POINTS))
+    q = percentiles(df, x, names, by)
+    out = out.join(q, by) if by else out.join(F.broadcast(q), how="left")  # one row each
+    return out.select(*by, "count", "mean", "std", "min", *names, "max")
 
 
 def weighted_share(test: Column, weight: Column) -> Column:
@@ -25,7 +59,8 @@ def weighted_share(test: Column, weight: Column) -> Column:
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """value, n, fraction."""
     c = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = c.agg(F.sum("n").alias("_t"))  # one row
+    return c.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("_t")).alias("fraction"))
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
@@ -38,7 +73,7 @@ def row_shares(table: DataFrame, key: str, values: list[str]) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """chi2, dof, min_expected of two columns; with one degree of freedom Yates' correction applies.
+    """chi2, dof, p_value, min_expected of two columns; with one degree of freedom Yates' correction applies.
 
     Null values of either column do not count. The result is null where a side has fewer than two values.
     """
@@ -53,11 +88,11 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     dof = (F.col("nr") - 1) * (F.col("nc") - 1)
     gap = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))
     chi2 = F.when(dof == 1, gap * gap * F.col("n") * F.col("inv_r") * F.col("inv_c")).when(dof > 1, F.col("s") - F.col("n"))
-    return got.select(chi2.alias("chi2"), dof.alias("dof"), F.when(dof > 0, F.col("least_r") * F.col("least_c") / F.col("n")).alias("min_expected"))
+    return got.select(chi2.alias("chi2"), dof.alias("dof"), chi2_p_value(chi2, dof).alias("p_value"), F.when(dof > 0, F.col("least_r") * F.col("least_c") / F.col("n")).alias("min_expected"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """rho, n: correlation of average ranks.
+    """rho, n, p_value: correlation of average ranks.
 
     Ranks come from the counts of distinct values, running over range-sorted partitions, so no task holds the rows.
     """
@@ -66,18 +101,16 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         v = d.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
         v = running_total(v, c, "_n").select(c, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"r{c}"))
         d = d.join(v, c)
-    return d.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    got = d.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return got.withColumn("p_value", correlation_p_value(F.col("rho"), F.col("n")))
 
 
-def running_total(df: DataFrame, key: str, value: str) -> DataFrame:
+def running_total(df: DataFrame, key: str | list[str], value: str) -> DataFrame:
     """df with _upto: the sum of value over keys up to each key, from sums of range-sorted partitions."""
-    from quern.operators.graph import cut
-
-    p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = cut(df.repartitionByRange(p, key).withColumn("_pid", F.spark_partition_id()))
-    before = d.groupBy("_pid").agg(F.sum(value).alias("_s"))  # one row per partition
-    before = before.withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.sum(value).over(Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    keys = [key] if isinstance(key, str) else key
+    d = staged(df.repartitionByRange(partitions(df.sparkSession), *keys).withColumn("_pid", F.spark_partition_id()), "ranges")
+    before = sums_before(d.groupBy("_pid").agg(F.sum(value).alias("_s")), "_pid", "_s", "_b")  # one row per partition
+    inside = F.sum(value).over(Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn("_in", inside).join(F.broadcast(before.select("_pid", "_b")), "_pid").withColumn("_upto", F.col("_in") + F.col("_b")).drop("_pid", "_in", "_b")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import label_key, source_proxy, trim_space
+from quern.operators.skew import hot_join
+from quern.sources.shared import staged
 
 # Issue and exclusion codes.
 DUPLICATE_ROW, CONFLICTING_LABEL, FILE_MISSING = "duplicate_csv_row", "conflicting_label_for_file", "file_missing_in_repo"
@@ -75,14 +77,20 @@ def unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_n", ok).filter("_n").drop("_n")
 
 
-def content_groups(df: DataFrame, sha: str = "sha256", label: str = "word", path: str = "path") -> DataFrame:
-    """Contents that several rows have: sha256, n_files, n_labels, labels, paths (sorted, joined by |)."""
-    g = df.filter(F.col(sha).isNotNull()).groupBy(F.col(sha).alias("sha256")).agg(
-        F.count(F.lit(1)).alias("n_files"), F.count_distinct(label).alias("n_labels"),
-        F.array_join(F.array_sort(F.collect_set(label)), "|").alias("labels"),
-        F.array_join(F.array_sort(F.collect_list(F.col(path).cast("string"))), "|").alias("paths"),
+def content_groups(df: DataFrame, sha: str = "sha256", label: str = "word", path: str = "path", piece: int = 10_000) -> DataFrame:
+    """Contents that several rows have: sha256, n_files, n_labels, labels, part, paths (sorted, joined by |).
+
+    A content of more than piece files has several rows, numbered by part from 0: its paths are dealt out by hash,
+    so none is left out and no row or task holds them all. Labels are few and on every row.
+    """
+    d = df.filter(F.col(sha).isNotNull()).select(F.col(sha).alias("sha256"), F.col(label).alias("_label"), F.col(path).cast("string").alias("_path"))
+    g = d.groupBy("sha256", "_label").agg(F.count(F.lit(1)).alias("_n")).groupBy("sha256").agg(
+        F.sum("_n").alias("n_files"), F.count("_label").alias("n_labels"), F.array_join(F.array_sort(F.collect_list("_label")), "|").alias("labels"),
     )
-    return g.filter("n_files > 1")
+    g = staged(g.filter("n_files > 1").withColumn("_k", F.col("n_files")), "contents")
+    d = hot_join(d.select("sha256", "_path"), g, ["sha256"], "_k")
+    part = F.pmod(F.xxhash64("_path"), F.ceil(F.col("n_files") / piece)).cast("int")
+    return d.groupBy("sha256", "n_files", "n_labels", "labels", part.alias("part")).agg(F.array_join(F.array_sort(F.collect_list("_path")), "|").alias("paths"))
 
 
 def annotate_duplicates(df: DataFrame, eligible: Column, sha: str = "sha256", label: str = "word") -> DataFrame:

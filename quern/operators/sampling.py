@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tie_break
+from quern.operators.skew import sums_before
+from quern.sources.shared import staged
 
 
 def rank_bins(n: Column, rank: Column, bins: int = 5) -> Column:
@@ -33,8 +35,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "_rank") -> Data
     p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(df.repartitionByRange(p, *order).sortWithinPartitions(*order).withColumns({"_pid": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()}))
     # One row per partition.
-    counts = dealt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_seq").alias("_first"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = sums_before(dealt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_seq").alias("_first")), "_pid", "_c", "_before")
     out = dealt.join(F.broadcast(counts.select("_pid", "_first", "_before")), "_pid")
     return out.withColumn(name, F.col("_before") + F.col("_seq") - F.col("_first") + 1).drop("_pid", "_seq", "_first", "_before")
 
@@ -57,11 +58,9 @@ def class_quotas(pool: DataFrame, per_class: int, target: int, seed: int, word:
     """
     c = pool.groupBy(word).agg(F.count(F.lit(1)).alias("class_size"))
     c = c.withColumn("_base", F.least(F.lit(per_class), F.col("class_size"))).withColumn("_h", tie_break(F.col(word), seed))
-    everything = Window.partitionBy()
-    extra = F.greatest(F.lit(0), F.lit(target) - F.sum("_base").over(everything))
-    up = F.row_number().over(Window.orderBy("class_size", "_h"))
-    down = F.row_number().over(Window.orderBy(F.desc("class_size"), F.desc("_h")))
-    c = c.withColumns({"_extra": extra, "_up": up, "_down": down})
+    c = global_rank(c, [F.col("class_size"), F.col("_h"), F.col(word)], "_up")
+    facts = c.agg(F.greatest(F.lit(0), F.lit(target) - F.sum("_base")).alias("_extra"), F.count(F.lit(1)).alias("_classes"))  # one row
+    c = c.crossJoin(F.broadcast(facts)).withColumn("_down", F.col("_classes") + 1 - F.col("_up"))
     small = F.col("_up") <= F.floor(F.col("_extra") / 2)
     large = ~small & (F.col("_down") <= F.col("_extra") - F.floor(F.col("_extra") / 2))
     quota = F.least(F.col("class_size"), F.col("_base") + F.when(small | large, 1).otherwise(0))
@@ -126,11 +125,14 @@ def assign_splits(samples: DataFrame, ratios: dict[str, float], seed: int, word:
 
     Units of several files go first, the largest first, each to the split whose labels are furthest under target;
     single files then fill each class. The greedy pass over (unit, label, count) rows of multi-file units is
-    sequential and runs in one task on that small table; single files need no pass: each class's files, in seeded
-    hash order, fill what its targets leave, which is a running count.
+    sequential only among units whose labels are connected, by a chain of shared units: each such group of labels is
+    placed by a task of its own, with the same result as one pass over all. Single files need no pass: each class's
+    files, in seeded hash order, fill what its targets leave, which is a running count.
     """
     import pandas as pd
 
+    from quern.operators.graph import components
+
     names = list(ratios)
     sized = samples.groupBy(unit, word).agg(F.count(F.lit(1)).alias("c"))
     sized = sized.withColumn("_files", F.sum("c").over(Window.partitionBy(unit)))
@@ -151,7 +153,11 @@ def assign_splits(samples: DataFrame, ratios: dict[str, float], seed: int, word:
 
     kind = samples.schema[unit].dataType.simpleString()
     multi = multi.withColumn("_size", -F.col("_files"))
-    placed = multi.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(greedy, f"`{unit}` {kind}, split string")
+    multi = staged(multi, "units")
+    label, of = F.concat(F.lit("w:"), F.col(word).cast("string")), F.concat(F.lit("u:"), F.col(unit).cast("string"))
+    groups = components(multi.select(label.alias("a"), of.alias("b"))).filter("node like 'w:%'").select(F.col("node").alias("_node"), F.col("root").alias("_group"))
+    multi = multi.join(groups, label == F.col("_node")).drop("_node")
+    placed = staged(multi.groupBy("_group").applyInPandas(greedy, f"`{unit}` {kind}, split string"), "placed")
     used = sized.join(placed, unit).groupBy(word).pivot("split", names).agg(F.sum("c")).na.fill(0)
     used = used.select(word, *[F.col(s).alias(f"_u_{s}") for s in names])
     room = targets.join(used, word, "left").na.fill(0)

@@ -56,10 +56,10 @@ def sums_before(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
     Blocks of BLOCK keys are summed first, so the one window over the whole table sees one row per block.
     """
-    d = df.withColumn("_blk", F.floor(F.col(key) / BLOCK))
-    blocks = d.groupBy("_blk").agg(F.sum(value).alias("_s"))
-    upto = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_blk", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_b"))
-    inside = F.sum(value).over(Window.partitionBy("_blk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("_in", F.coalesce(inside, F.lit(0))).join(blocks, "_blk")
-    return d.withColumn(name, F.col("_in") + F.col("_b")).drop("_blk", "_in", "_b")
+    d = df.withColumn("_sb_block", F.floor(F.col(key) / BLOCK))
+    blocks = d.groupBy("_sb_block").agg(F.sum(value).alias("_sb_sum"))
+    upto = Window.orderBy("_sb_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_sb_block", F.coalesce(F.sum("_sb_sum").over(upto), F.lit(0)).alias("_sb_before"))
+    inside = F.sum(value).over(Window.partitionBy("_sb_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_sb_inside", F.coalesce(inside, F.lit(0))).join(blocks, "_sb_block")
+    return d.withColumn(name, F.col("_sb_inside") + F.col("_sb_before")).drop("_sb_block", "_sb_inside", "_sb_before")

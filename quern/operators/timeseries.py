@@ -11,6 +11,13 @@ def _clip(clip: str, frame: str) -> Window:
     return Window.partitionBy(clip).orderBy(frame)
 
 
+def upto(clip: str, frame: str) -> tuple[Window, Window]:
+    """All rows up to this one, and all from this one on: both grow row by row, the latter in descending order."""
+    back = Window.partitionBy(clip).orderBy(frame)
+    ahead = Window.partitionBy(clip).orderBy(F.desc(frame))
+    return back.rowsBetween(Window.unboundedPreceding, 0), ahead.rowsBetween(Window.unboundedPreceding, 0)
+
+
 def runs(df: DataFrame, mask: Column, clip: str = "clip", frame: str = "frame") -> DataFrame:
     """clip, start, len of every run of frames where mask holds (frames count from 0 without gaps)."""
     hit = df.select(clip, frame, mask.alias("_m")).filter("_m")
@@ -37,11 +44,10 @@ def gap_fill(df: DataFrame, value: str, present: str, max_gap: int = 5, clip: st
     Inner gaps of at most max_gap frames are interpolated between the frames beside them; longer gaps and those at
     either end are zero and absent.
     """
-    w = _clip(clip, frame)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = upto(clip, frame)
     at = F.struct(F.col(frame).alias("f"), F.col(value).cast("double").alias("v"))
     seen = F.when(F.col(present), at)
-    out = df.withColumns({"_l": F.last(seen, True).over(back), "_r": F.first(seen, True).over(ahead)})
+    out = df.withColumns({"_l": F.last(seen, True).over(back), "_r": F.last(seen, True).over(ahead)})
     gap = F.col("_r.f") - F.col("_l.f") - 1
     fill = F.coalesce(~F.col(present) & (gap <= max_gap), F.lit(False))
     w_ = (F.col(frame) - F.col("_l.f")) / (F.col("_r.f") - F.col("_l.f"))
@@ -54,11 +60,10 @@ def gap_fill(df: DataFrame, value: str, present: str, max_gap: int = 5, clip: st
 
 def carry(df: DataFrame, values: list[str], valid: Column, clip: str = "clip", frame: str = "frame") -> DataFrame:
     """df with <value>_carried: the last valid frame's, for leading frames the first valid one's; and clip_ok."""
-    w = _clip(clip, frame)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = upto(clip, frame)
     df = df.withColumn("measured", F.coalesce(valid, F.lit(False)))
     row = F.when(F.col("measured"), F.struct(*values))
-    df = df.withColumn("_c", F.coalesce(F.last(row, True).over(back), F.first(row, True).over(ahead)))
+    df = df.withColumn("_c", F.coalesce(F.last(row, True).over(back), F.last(row, True).over(ahead)))
     out = {f"{v}_carried": F.col(f"_c.{v}") for v in values} | {"clip_ok": F.col("_c").isNotNull()}
     return df.withColumns(out).drop("_c")
 
@@ -97,26 +102,50 @@ def rest_frames(n: Column, start: Column, end: Column) -> tuple[Column, Column]:
     return F.coalesce(start, n), F.coalesce(n - 1 - end, n)
 
 
+def grid(clips: DataFrame, rate: Column, target: float, clip: str = "clip") -> DataFrame:
+    """clip, k, t on target frames a second from t0 to t1; clips: clip, n, t0, t1."""
+    m = F.greatest(F.lit(1), F.bround(F.col("n") / rate * F.lit(target)).cast("int"))
+    g = clips.select(clip, "t0", "t1", F.explode(F.sequence(F.lit(0), m - 1)).alias("k"))
+    return g.select(clip, "k", F.least(F.col("t0") + F.col("k") / F.lit(target), F.col("t1")).alias("t"))
+
+
+def measured_rate(target: float) -> Column:
+    """Frames a second by n, t0 and t1; target where the clip has no length."""
+    return F.when(F.col("t1") > F.col("t0"), (F.col("n") - 1) / (F.col("t1") - F.col("t0"))).otherwise(F.lit(target))
+
+
+def brackets(frames: DataFrame, points: DataFrame, row: list[str], ties: list[str], clip: str = "clip") -> DataFrame:
+    """points (clip, k, t) with x, y and a: the frames before and at or after t as structs of t and row, and t's place
+    between them from 0 to 1.
+
+    Frames and points of a clip are one run in order of time, in which the last frame so far is carried forward and,
+    in descending order, backward: each clip is sorted twice, and no row meets all others. ties orders equal times.
+    Points lie between the first and the last frame.
+    """
+    seen = F.struct("t", *row)
+    blank = [F.lit(None).cast(t).alias(c) for c, t in frames.select(*ties).dtypes]
+    f = frames.select(clip, "t", F.lit(None).cast("int").alias("k"), F.lit(1).alias("_kind"), *[F.col(c).alias(f"_tie_{c}") for c in ties], seen.alias("_f"))
+    g = points.select(clip, "t", "k", F.lit(0).alias("_kind"), *[b.alias(f"_tie_{c}") for b, c in zip(blank, ties)], F.lit(None).cast(f.schema["_f"].dataType).alias("_f"))
+    d = f.unionByName(g)
+    order = ["t", "_kind", *[f"_tie_{c}" for c in ties], "k"]
+    back = Window.partitionBy(clip).orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(clip).orderBy(*[F.col(c).desc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({"x": F.last("_f", True).over(back), "y": F.last("_f", True).over(ahead)}).filter("_kind = 0")
+    d = d.withColumn("x", F.coalesce("x", "y"))
+    span = F.col("y.t") - F.col("x.t")
+    a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - F.col("x.t")) / F.when(span > 0, span).otherwise(1.0)))
+    return d.select(clip, "k", "t", "x", "y", a.alias("a"))
+
+
 def resample_uniform(df: DataFrame, value: str, present: str, target: float = 30.0, clip: str = "clip", time: str = "t", fps: Column | None = None) -> DataFrame:
     """clip, k, t, value, present on a grid of target frames a second from each clip's first time.
 
-    Between two present frames values are interpolated, else the nearer frame's value and presence hold. A clip's
-    frames meet its grid inside one row, as sorted arrays, so the bracketing search needs no range join.
+    Between two present frames values are interpolated, else the nearer frame's value and presence hold.
     """
-    row = F.struct(F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.col(present).alias("p"))
-    clips = df.groupBy(clip).agg(F.array_sort(F.collect_list(row)).alias("s"))
-    clips = clips.withColumns({"n": F.size("s"), "t0": F.col("s")[0]["t"], "t1": F.element_at("s", -1)["t"]})
-    rate = F.when(F.col("t1") > F.col("t0"), (F.col("n") - 1) / (F.col("t1") - F.col("t0"))).otherwise(F.lit(target))
-    m = F.greatest(F.lit(1), F.bround(F.col("n") / (fps if fps is not None else rate) * F.lit(target)).cast("int"))
-    grid = F.transform(F.sequence(F.lit(0), m - 1), lambda k: F.least(F.col("t0") + k / F.lit(target), F.col("t1")))
-    out = clips.select(clip, "s", "n", F.posexplode(grid).alias("k", "t"))
-    below = F.size(F.filter("s", lambda x: x["t"] < F.col("t")))
-    hi = F.when(F.col("n") > 1, F.greatest(F.lit(1), F.least(F.col("n") - 1, below))).otherwise(0)
-    out = out.withColumn("_hi", hi)
-    out = out.select(clip, "k", "t", F.element_at("s", F.greatest(F.col("_hi"), F.lit(1))).alias("x"), F.element_at("s", F.col("_hi") + 1).alias("y"))
-    span = F.col("y.t") - F.col("x.t")
-    out = out.withColumn("a", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - F.col("x.t")) / F.when(span > 0, span).otherwise(1.0))))
-    return out.select(clip, "k", "t", *_between())
+    f = df.select(clip, F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.col(present).alias("p"))
+    clips = f.groupBy(clip).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    points = grid(clips, fps if fps is not None else measured_rate(target), target, clip)
+    return brackets(f, points, ["v", "p"], ["v", "p"], clip).select(clip, "k", "t", *_between())
 
 
 def _between() -> list[Column]:

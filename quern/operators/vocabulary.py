@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import after_first_slash, batch_id, tie_break
+from quern.operators.sampling import global_rank
 
 SPLITS = ("train", "val", "test")
-#: Default limits of the rules.
+# Default limits of the rules.
 RULES = {
     "max_cross_label_shared_clips": 0,
     "max_augmented_clips": 0,
@@ -97,8 +98,7 @@ def defer(f: DataFrame, deferred: DataFrame, reason: str = "deferred_pending_ins
 
 def rank_candidates(pool: DataFrame, keys: list[str], seed: int, word: str = "word") -> DataFrame:
     """pool (one row per class) with rank 1..n: keys descending, then the seeded hash."""
-    order = [F.desc(k) for k in keys] + [tie_break(F.col(word), seed)]
-    return pool.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return global_rank(pool, [F.desc(k) for k in keys] + [tie_break(F.col(word), seed), F.col(word)], "rank")
 
 
 def reason_counts(f: DataFrame, reasons: str = "reasons") -> DataFrame:
@@ -119,7 +119,7 @@ def summary_counts(f: DataFrame) -> DataFrame:
 def label_mapping(words: DataFrame, word: str = "word") -> DataFrame:
     """word, label: places of the distinct words in code-point order, from 0."""
     w = words.filter(F.col(word).isNotNull()).select(word).distinct()
-    return w.withColumn("label", F.row_number().over(Window.orderBy(word)) - 1)
+    return global_rank(w, [F.col(word)], "label").withColumn("label", (F.col("label") - 1).cast("int"))
 
 
 def encode(df: DataFrame, mapping: DataFrame, word: str = "word") -> DataFrame:

@@ -12,7 +12,7 @@ from quern.plans.registry import AUG, PROXY, SAMPLES, query, r6, samples, table
 RATIOS = {"train": 0.7, "val": 0.15, "test": 0.15}
 
 
-@query("""SELECT sha256(text) AS sha256, count(*) AS n_files, count(DISTINCT source) AS n_labels, string_agg(DISTINCT source, '|' ORDER BY source) AS labels,
+@query("""SELECT sha256(text) AS sha256, count(*) AS n_files, count(DISTINCT source) AS n_labels, string_agg(DISTINCT source, '|' ORDER BY source) AS labels, 0 AS part,
   string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY CAST(doc_id AS VARCHAR)) AS paths FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def dup_content_groups(spark, sf):
     return reconcile.content_groups(samples(spark, sf), path="sample_id")
@@ -28,13 +28,15 @@ def annotate_duplicates(spark, sf):
 def _rows_and_files(spark, sf):
     """Metadata rows and a file index whose names partly miss, repeat or conflict."""
     s = samples(spark, sf)
-    rows = s.filter("lang <> 'es'").select(F.col("doc_id").alias("csv_row"), F.when(F.col("n_chars") > 9000, " ").otherwise(F.col("word")).alias("word"), "filename")
-    files = s.filter("n_chars > 400").select(F.concat("repo_path", F.lit("#"), "sample_id").alias("repo_path"), F.col("lang").alias("folder"), "filename", F.col("n_chars").alias("size_bytes"), F.when(F.col("word") != "src3", F.col("sha256")).alias("sha256"))
+    gone = F.when(F.col("lang") == "es", F.concat(F.lit("gone-"), "filename")).otherwise(F.col("filename"))
+    rows = s.select(F.col("doc_id").alias("csv_row"), F.when(F.col("n_chars") > 9000, " ").otherwise(F.col("word")).alias("word"), gone.alias("filename"))
+    new = F.when(F.col("n_chars") <= 400, F.concat(F.lit("new-"), "filename")).otherwise(F.col("filename"))
+    files = s.withColumn("filename", new).select(F.concat("repo_path", F.lit("#"), "sample_id").alias("repo_path"), F.col("lang").alias("folder"), "filename", F.col("n_chars").alias("size_bytes"), F.when(F.col("word") != "src3", F.col("sha256")).alias("sha256"))
     return rows, files
 
 
-_MANIFEST = f"""{SAMPLES}, rws AS (SELECT doc_id AS csv_row, CASE WHEN n_chars > 9000 THEN ' ' ELSE word END AS word, filename FROM samples WHERE lang <> 'es'),
-files AS (SELECT repo_path || '#' || sample_id AS repo_path, lang AS folder, filename, n_chars AS size_bytes, CASE WHEN word <> 'src3' THEN sha256 END AS sha256 FROM samples WHERE n_chars > 400),
+_MANIFEST = f"""{SAMPLES}, rws AS (SELECT doc_id AS csv_row, CASE WHEN n_chars > 9000 THEN ' ' ELSE word END AS word, CASE WHEN lang = 'es' THEN 'gone-' ELSE '' END || filename AS filename FROM samples),
+files AS (SELECT repo_path || '#' || sample_id AS repo_path, lang AS folder, CASE WHEN n_chars <= 400 THEN 'new-' ELSE '' END || filename AS filename, n_chars AS size_bytes, CASE WHEN word <> 'src3' THEN sha256 END AS sha256 FROM samples),
 idx AS (SELECT filename, count(*) AS k, min(repo_path) AS repo_path, arg_min(folder, repo_path) AS folder, arg_min(size_bytes, repo_path) AS size_bytes,
   (SELECT f2.sha256 FROM files f2 WHERE f2.filename = f.filename ORDER BY f2.repo_path LIMIT 1) AS sha256 FROM files f GROUP BY filename),
 lab AS (SELECT filename, count(DISTINCT word) AS labels FROM rws GROUP BY filename),

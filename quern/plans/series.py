@@ -117,11 +117,11 @@ def temporal_statistics(spark, sf):
     return s.select("vec_id", F.col("j").cast("long").alias("j"), *cols)
 
 
-@query("""SELECT vec_id, len(embedding[1:6]) + 1 + len(embedding[7:10]) + 1 + 2 AS n_features, round(list_sum(list_concat(embedding[1:6], [CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END]::FLOAT[], embedding[7:10], [1]::FLOAT[], list_transform(embedding[11:12], lambda v: v * 1))::DOUBLE[]), 4) AS total FROM embeddings""")
+@query("""SELECT vec_id, len(embedding) + 2 AS n_features, round(list_sum(list_concat(embedding[1:24], [CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END]::FLOAT[], embedding[25:48], [1]::FLOAT[], list_transform(embedding[49:], lambda v: v * 1))::DOUBLE[]), 4) AS total FROM embeddings""")
 def assemble_features(spark, sf):
     e = table(spark, sf, "embeddings")
-    parts = {"left_hand": F.slice("embedding", 1, 6), "pose": F.slice("embedding", 7, 4)}
-    f = ar.assemble(parts, {"left_hand": F.col("label") % 2 == 0, "pose": F.lit(True)}, F.slice("embedding", 11, 2), ["left_hand", "pose"])
+    parts = {"left_hand": F.slice("embedding", 1, 24), "pose": F.slice("embedding", 25, 24)}
+    f = ar.assemble(parts, {"left_hand": F.col("label") % 2 == 0, "pose": F.lit(True)}, F.slice("embedding", 49, 1 << 20), ["left_hand", "pose"])
     e = e.select("vec_id", F.transform(f, lambda v: v.cast("double")).alias("f"))
     return e.select("vec_id", F.size("f").cast("long").alias("n_features"), F.round(F.aggregate("f", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
