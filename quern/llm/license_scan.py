@@ -9,8 +9,9 @@ whole licence outweighs a phrase inside it) names the file's own license. A file
 named like one or if its matched spans make up most of its words. Files without a license of their own take that of
 the nearest ancestor directory that has a license file.
 
-A span can only reach MATCH if it holds one of the template's anchors, its heaviest words, without which the rest of
-the template is too light; so only spans around anchors are compared, and none that could match is left out.
+A span can only reach MATCH if it holds one of the template's anchors: its rarest and longest words, without which
+the rest of the template is too light. So only spans around anchors are compared, and none that could match is left
+out.
 
 Ancestors are found by path joins: every distinct directory, with each of its ancestors however deep, is looked up
 in the table of licensed directories, which has one row per directory. Both tables are made with map-side partial
@@ -111,7 +112,7 @@ class TemplateIndex:
             self.vectors.append(v)
             total = rest = sum(x * x for x in v.values())
             self.norms.append(math.sqrt(total))
-            for w in sorted(v, key=lambda w: (-v[w], w)):
+            for w in sorted(v, key=lambda w: (frequency[w], -len(w), w)):
                 if rest < match * match * total - 1e-9:
                     break
                 self.anchors.setdefault(w, []).append(i)
@@ -146,10 +147,17 @@ class TemplateIndex:
         Of equal evidence the earlier template counts, then the earlier span.
         """
         words = _WORD.findall((text or "").lower())
+        have = set(words)
+        may = {i for w in have & self.anchors.keys() for i in self.anchors[w]}
+        # Words that the whole text lacks cannot be in a span: what is there must weigh enough.
+        may = {i for i in may if sum(x * x for w, x in self.vectors[i].items() if w in have) >= (self.match * self.norms[i]) ** 2 - 1e-6}
+        if not may:
+            return None, 0.0, 0.0
         anchors, seen = self.anchors, {}
         for p, w in enumerate(words):
             for i in anchors.get(w, ()):
-                seen.setdefault(i, []).append(p)
+                if i in may:
+                    seen.setdefault(i, []).append(p)
         best, name, cosine, covered = 0.0, None, 0.0, []
         for i in sorted(seen):
             size = min(self.sizes[i], len(words))
