@@ -17,9 +17,13 @@ def matrix(models: list[str], configurations: list[str], windows: list[int]) ->
     return [f"{c}_w{w:02d}_{m}" for c in configurations for w in windows for m in models]
 
 
-def preflight(rows: DataFrame, n_classes: int, n_features: int) -> DataFrame:
-    """Checks before training: labels in range, every split there, shapes right, values finite."""
+def preflight(rows: DataFrame, n_classes: int, n_features: int, mapping: DataFrame | None = None) -> DataFrame:
+    """Checks before training: labels in range, every split there, shapes right, values finite; with mapping (word,
+    label), that rows' words have its labels."""
     empty = [check(rows.filter(F.col("split") == s).limit(1), f"{s} is not empty", F.when(F.count(F.lit(1)) == 0, 1), "empty") for s in ("train", "val", "test")]
+    if mapping is not None:
+        m = rows.select("word", "label").join(mapping.select("word", F.col("label").alias("_m")), "word", "left")
+        empty.append(check(m, "labels agree with the mapping", F.count_if(~F.col("label").eqNullSafe(F.col("_m"))), "of another label"))
     bad = ~F.coalesce(F.col("label").between(0, n_classes - 1), F.lit(False))
     return all_of([
         check(rows, "labels in range", F.count_if(bad), "out of range"),
@@ -29,7 +33,7 @@ def preflight(rows: DataFrame, n_classes: int, n_features: int) -> DataFrame:
     ])
 
 
-def run(rows: DataFrame, candidates: dict[str, dict], n_classes: int, seed: int = 42, allow_no_validation: bool = False) -> tuple[object, DataFrame]:
+def run(rows: DataFrame, candidates: dict[str, dict], n_classes: int, seed: int = 42, allow_no_validation: bool = False, mapping: DataFrame | None = None) -> tuple[object, DataFrame]:
     """Train each candidate forest on train, keep the best macro-F1 on val (ties: the earlier), evaluate it.
 
     rows: sample_id, split, label, features. Returns the model and one row per split with the metrics. Without
@@ -38,7 +42,7 @@ def run(rows: DataFrame, candidates: dict[str, dict], n_classes: int, seed: int
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    checks = preflight(rows, n_classes, rows.select(F.size("features")).first()[0]).filter("not passed").collect()
+    checks = preflight(rows, n_classes, rows.select(F.size("features")).first()[0], mapping).filter("not passed").collect()
     failed = [c["check"] for c in checks if c["check"] != "val is not empty" or not allow_no_validation]
     if failed:
         raise ValueError(f"preflight failed: {failed}")

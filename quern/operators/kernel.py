@@ -57,6 +57,33 @@ def _filled(df: DataFrame, group: str, max_gap: int) -> DataFrame:
     return df.withColumns(new).drop("_l", "_r")
 
 
+# Codes of clips that fail before they can be judged.
+DETECTION_ERROR, PREPROCESSING_ERROR = "decode_or_mediapipe_error", "preprocessing_error"
+
+
+def guarded(raw: DataFrame, groups: list[str] | None = None, **rules) -> tuple[DataFrame, DataFrame]:
+    """preprocess with failures as rejections: (frames, clips), clips with error.
+
+    raw may have error (text: the detector failed on the clip). Clips with one are rejected as DETECTION_ERROR; clips
+    whose rows could not be processed (no time or size, arrays of another length or with values that are not finite)
+    as PREPROCESSING_ERROR with the first such row's fault. All other clips are as preprocess gives them.
+    """
+    groups = groups or list(GROUPS)
+    seen = lambda g: F.coalesce(f"{g}_seen", F.lit(False))
+    faults = [F.when(F.col("t").isNull() | F.isnan(F.col("t").cast("double")), "time missing"), F.when(F.coalesce("width", F.lit(0)) <= 0, "width missing"), F.when(F.coalesce("height", F.lit(0)) <= 0, "height missing")]
+    for g in groups:
+        faults += [F.when(F.coalesce(F.size(g), F.lit(-1)) != 3 * GROUPS[g], f"{g} has another length"), F.when(seen(g) & ~F.forall(g, lambda v: finite(v.cast("double"))), f"{g} is not finite")]
+    faults.append(F.when(F.coalesce(F.size("pose_vis"), F.lit(-1)) != GROUPS["pose"], "pose_vis has another length"))
+    found = F.col("error") if "error" in raw.columns else F.lit(None).cast("string")
+    judged = raw.withColumns({"_detector": found, "_fault": F.coalesce(*faults)})
+    bad = judged.groupBy("clip").agg(F.max("_detector").alias("_detector"), F.min_by("_fault", F.when(F.col("_fault").isNotNull(), F.coalesce(F.col("t").cast("double"), F.lit(-1.0)))).alias("_fault"), F.count(F.lit(1)).alias("n_raw"))
+    bad = bad.filter("_detector is not null or _fault is not null")
+    frames, clips = preprocess(raw.drop("error").join(bad.select("clip"), "clip", "left_anti"), groups, **rules)
+    code = F.when(F.col("_detector").isNotNull(), DETECTION_ERROR).otherwise(PREPROCESSING_ERROR)
+    lost = bad.select("clip", "n_raw", code.alias("reason"), F.left(F.coalesce("_detector", "_fault"), F.lit(300)).alias("error"))
+    return frames, clips.withColumn("error", F.lit("")).unionByName(lost, allowMissingColumns=True)
+
+
 def preprocess(raw: DataFrame, groups: list[str] | None = None, target: float = 30.0, min_frames: int = 30, min_run: int = 3, max_frac: float = 0.3, max_run: int = 15, max_gap: int = 5, visible: float = 0.5, short: int = 30) -> tuple[DataFrame, DataFrame]:
     """(frames, clips): packed frames of accepted clips, and one row of statistics and reason for every clip."""
     groups = groups or list(GROUPS)

@@ -92,7 +92,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """rho, n, p_value: correlation of average ranks.
+    """rho, n, p_value: correlation of average ranks; null where a column is constant.
 
     Ranks come from the counts of distinct values, running over range-sorted partitions, so no task holds the rows.
     """
@@ -101,7 +101,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         v = d.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
         v = running_total(v, c, "_n").select(c, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"r{c}"))
         d = d.join(v, c)
-    got = d.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    got = d.agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
     return got.withColumn("p_value", correlation_p_value(F.col("rho"), F.col("n")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.arrays import PRESENT, assemble, has_flag, lerp_presence
 from quern.functions.text import tie_break
 
 # Bins of active frames.
@@ -52,6 +53,32 @@ def index(meta: DataFrame, frozen: DataFrame, mapping: DataFrame, windows: tuple
     return idx.withColumns({f"stretch_{w}": F.lit(float(w)) / F.col("active_frames") for w in windows})
 
 
+def window_features(frames: DataFrame, spans: DataFrame, groups: list[str], window: int, clip: str = "clip") -> DataFrame:
+    """clip, k, features: exactly window rows over each clip's interval (spans: clip, start, end), each assembled from
+    the two frames beside its place. Between two present frames coordinates are interpolated, else the nearer frame's
+    hold."""
+    if window < 2:
+        raise ValueError("window must be >= 2")
+    step = (F.col("end") - F.col("start")).cast("double") / (window - 1)
+    at = spans.select(clip, "start", "end", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("k")).withColumn("_p", F.col("start") + F.col("k") * step)
+    at = at.select(clip, "k", F.floor("_p").alias("_i"), F.least(F.floor("_p") + 1, F.col("end")).alias("_j"), (F.col("_p") - F.floor("_p")).cast("float").cast("double").alias("a"))
+    cols = [c for c in frames.columns if c not in (clip, "frame")]
+    side = frames.select(clip, F.col("frame").cast("long").alias("_f"), F.struct(*cols).alias("_v"))
+    j = at.join(side.select(clip, F.col("_f").alias("_i"), F.col("_v").alias("x")), [clip, "_i"]).join(side.select(clip, F.col("_f").alias("_j"), F.col("_v").alias("y")), [clip, "_j"])
+    coords, present, vis, a = {}, {}, None, F.col("a")
+    for g in groups:
+        has_x, has_y = has_flag(F.col(f"x.{g}_flags"), PRESENT), has_flag(F.col(f"y.{g}_flags"), PRESENT)
+
+        def between(name: str, has_x=has_x, has_y=has_y) -> Column:
+            both = F.zip_with(f"x.{name}", f"y.{name}", lambda p, q: p * (1 - a) + q * a)
+            return F.when(has_x & has_y, both).when(a >= 0.5, F.col(f"y.{name}")).otherwise(F.col(f"x.{name}"))
+
+        coords[g], present[g] = between(g), lerp_presence(has_x, has_y, a)
+        if g == "pose":
+            vis = between("pose_vis")
+    return j.select(clip, "k", assemble(coords, present, vis, groups).alias("features"))
+
+
 def batches(df: DataFrame, key: str, size: int, seed: int | None = None, by: list[str] | None = None) -> DataFrame:
     """df with batch and place; in key order, or shuffled by the seeded hash; numbered within by."""
     from quern.operators.sampling import global_rank

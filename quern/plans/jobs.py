@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import json
+from functools import reduce
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators import experiment, graph, kernel, quality, reconcile, sampling, sequences, vocabulary
-from quern.sources import readers, sinks
+from quern.functions import arrays, text
+from quern.functions.arrays import OBSERVED
+from quern.operators import convert, evalmetrics, experiment, graph, kernel, monitor, profile, quality, reconcile, sampling, sequences, timeseries, vocabulary
+from quern.sources import figures, readers, sinks
+from quern.streaming import resume
 
 JOBS: dict = {}
 
@@ -76,13 +82,19 @@ def plan_shards(spark, a):
     return spark.read.parquet(a.out).groupBy("shard").count()
 
 
-@job("raw", "out")
+@job("raw", "out", "files_per_batch=8")
 def preprocess(spark, a):
-    """Raw detections to packed frames and clip statistics."""
-    frames, clips = kernel.preprocess(spark.read.parquet(a.raw))
-    frames.write.mode("errorifexists").parquet(f"{a.out}/frames")
-    clips.write.mode("errorifexists").parquet(f"{a.out}/clips")
-    return spark.read.parquet(f"{a.out}/clips").groupBy("reason").count()
+    """Raw detections to packed frames and clip statistics, by batches of files: files that an earlier run has handled
+    are skipped, failures become rejected clips. A clip's rows must lie in one file."""
+    schema = spark.read.parquet(a.raw).schema
+
+    def step(batch, number):
+        frames, clips = kernel.guarded(batch)
+        frames.write.mode("overwrite").parquet(f"{a.out}/frames/batch={number:08d}")
+        clips.write.mode("overwrite").parquet(f"{a.out}/clips/batch={number:08d}")
+
+    resume.each_batch(spark, a.raw, schema, f"{a.out}/checkpoint", step, int(a.files_per_batch))
+    return spark.read.option("mergeSchema", "true").parquet(f"{a.out}/clips").groupBy("reason").count()
 
 
 @job("clips", "splits", "out", "version=v1")
@@ -90,7 +102,7 @@ def build_index(spark, a):
     """Sequence index of accepted clips, compared with an earlier one where there is one."""
     frozen = sinks.read_frozen(spark, a.splits, a.version).select("sample_id", "repo_path", "word", "split", "sha256", "split_group", "aug_source")
     mapping = vocabulary.label_mapping(frozen)
-    sinks.save_mapping(mapping, f"{a.out}/label_mapping.json")
+    sinks.save_mapping(mapping, f"{a.out}/label_mapping.json", split_sha256=sinks.read_lock(spark, a.splits, a.version)["sha256"])
     idx = sequences.index(spark.read.parquet(a.clips).select(F.col("clip").alias("sample_id"), "start", "end", "reason"), frozen, mapping)
     sinks.write_once(idx, f"{a.out}/index")
     return quality.index_leaks(spark.read.parquet(f"{a.out}/index"))
@@ -105,7 +117,7 @@ def select_vocabulary(spark, a):
     f = spark.read.parquet(f"{a.out}/features")
     top = vocabulary.rank_candidates(f.filter("reasons = ''"), ["min_eval_units", "source_patterns", "units"], int(a.seed)).filter(F.col("rank") <= int(a.size))
     sinks.write_once(graph.pair_treatment(graph.label_pairs(s)), f"{a.out}/pairs")
-    sinks.write_text(spark, f"{a.out}/vocabulary.json", vocabulary.vocabulary_doc(top, f"top{a.size}").first().document)
+    sinks.write_vocabulary(spark, f"{a.out}/vocabulary.json", vocabulary.vocabulary_doc(top, f"top{a.size}").first().document, sinks.read_lock(spark, a.splits, a.version)["sha256"])
     return vocabulary.summary_counts(top)
 
 
@@ -116,10 +128,246 @@ def run_experiment(spark, a):
     model, result = experiment.run(spark.read.parquet(a.features), tries, int(a.classes))
     sinks.append_widening(result, f"{a.out}/results")
     name = result.first().experiment
-    sinks.save_model(model, f"{a.out}/{name}", {"experiment": name})
+    sinks.save_model(model, f"{a.out}/{name}", {"experiment": name, "selected_on": "val"})
     return sinks.read_widened(spark, f"{a.out}/results")
 
 
+@job("manifest", "out", "per_class=2", "target=500", "seed=42")
+def select_sample(spark, a):
+    """A sample over all classes for a first look, in seeded order, with its class counts."""
+    pool = spark.read.parquet(a.manifest).filter("eligible_pre_probe")
+    s = sampling.class_sample(pool, int(a.per_class), int(a.target), int(a.seed))
+    sinks.write_once(s, f"{a.out}/sample")
+    sinks.write_once(sampling.class_quotas(pool, int(a.per_class), int(a.target), int(a.seed)), f"{a.out}/class_counts")
+    return spark.read.parquet(f"{a.out}/sample").groupBy("selection").count()
+
+
+@job("sample", "manifest", "probe", "out")
+def eda_report(spark, a):
+    """Profile of the sample's probe results and of the whole manifest's labels."""
+    m = spark.read.parquet(a.manifest)
+    probe = readers.read_parts(spark, a.probe, readers.PROBE, "repo_path", "download_ok")
+    s = spark.read.parquet(a.sample).join(probe, "repo_path", "left").withColumn("fps", F.coalesce("decoded_fps", "avg_fps"))
+    ok = s.filter("coalesce(decode_ok, false)").withColumn("seconds", F.col("decoded_frames") / F.col("fps"))
+    size = m.filter("eligible_pre_probe").groupBy("word").agg(F.count(F.lit(1)).alias("class_size"))
+    w = ok.drop("class_size").join(size, "word").join(ok.groupBy("word").agg(F.count(F.lit(1)).alias("sampled")), "word").withColumn("w", F.col("class_size") / F.col("sampled"))
+    shares = w.agg(*[profile.weighted_share(F.col("decoded_frames") < n, F.col("w")).alias(f"below_{n}") for n in (30, 45, 60)])
+    stats = [profile.describe(ok, c).withColumn("column", F.lit(c)) for c in ("decoded_frames", "fps", "seconds", "width", "height")]
+    sinks.write_report(spark, a.out, "Sample", {
+        "issues": m.groupBy("issue").count(), "sources": profile.value_counts(m, "source_proxy"), "numbers": reduce(lambda x, y: x.unionByName(y), stats),
+        "outcomes": profile.value_counts(s.withColumn("outcome", F.when(F.coalesce("decode_ok", F.lit(False)), "decoded").otherwise("not decoded")), "outcome"),
+        "resolutions": profile.value_counts(ok.withColumn("resolution", F.format_string("%sx%s", "width", "height")), "resolution"), "weighted_shares": shares,
+        "shared_labels": graph.label_components(graph.label_pairs(m.filter("eligible_pre_probe"))).withColumn("labels", F.array_join("labels", "|")).limit(50),
+    })
+    return shares
+
+
+@job("splits", "probe", "out", "n=400", "short=50", "copies=20", "seed=42", "which=train", "version=v1")
+def select_benchmark(spark, a):
+    """A fixed benchmark sample: short and copied clips by quota, the rest over quintiles of length."""
+    s = sinks.read_frozen(spark, a.splits, a.version).filter(F.col("split") == a.which)
+    probe = readers.read_parts(spark, a.probe, readers.PROBE, "repo_path", "download_ok").filter("coalesce(decode_ok, false)")
+    pool = s.join(probe.select("repo_path", "decoded_frames", "width", "height"), "repo_path")
+    steps = [("short", F.col("decoded_frames") < 30, int(a.short)), ("copy", F.coalesce("aug_source", F.lit("")) != "", int(a.copies))]
+    sinks.write_once(sampling.coverage_sample(pool, steps, int(a.n), "decoded_frames", "word", int(a.seed)), a.out)
+    return spark.read.parquet(a.out).groupBy("reason").count()
+
+
+@job("store", "timings", "out", "total=108616")
+def benchmark_report(spark, a):
+    """Rejections, missing hands, runs and rates of an extraction run; timings: clip, total_s and its parts."""
+    clips, t = spark.read.parquet(f"{a.store}/clips"), spark.read.parquet(a.timings)
+    f = spark.read.parquet(f"{a.store}/frames")
+    hand = lambda g: F.col(f"{g}_flags").bitwiseAND(F.lit(OBSERVED)) != 0
+    gaps = timeseries.runs(f, ~(hand("left_hand") | hand("right_hand")))
+    runs = gaps.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("len") <= 5).alias("up_to_5"), F.count_if(F.col("len").between(6, 15)).alias("up_to_15"), F.count_if(F.col("len") > 15).alias("longer"))
+    rate = t.agg(F.count(F.lit(1)).alias("clips"), F.sum("total_s").alias("seconds")).withColumn("clips_per_minute", F.col("clips") * 60 / F.col("seconds"))
+    rate = rate.withColumn("hours_for_all", F.lit(float(a.total)) / F.col("clips_per_minute") / 60)
+    sinks.write_report(spark, a.out, "Extraction run", {"reasons": profile.value_counts(clips, "reason"), "seconds": profile.describe(t, "total_s"), "missing_hands": runs, "rate": rate})
+    return rate
+
+
+@job("store", "out", "min_frames=30", "max_frac=0.3", "max_run=15")
+def reevaluate(spark, a):
+    """Judge stored clips again, inside the active interval and over the whole clip, and compare both reasons."""
+    f, clips = spark.read.parquet(f"{a.store}/frames").drop("start", "end"), spark.read.parquet(f"{a.store}/clips")
+    hand = (F.col("left_hand_flags").bitwiseAND(F.lit(OBSERVED)) != 0) | (F.col("right_hand_flags").bitwiseAND(F.lit(OBSERVED)) != 0)
+    v = timeseries.rejections(f, hand, int(a.min_frames), 3, float(a.max_frac), int(a.max_run))
+    v = v.join(clips.select("clip", F.col("reason").alias("stored_reason")), "clip", "left")
+    sinks.write_once(v, f"{a.out}/reevaluated")
+    sizes = [(kind, sinks.serialized_size(f, kind)) for kind in ("none", "zstd")]
+    sinks.write_report(spark, f"{a.out}/report", "Judged again", {"reasons": v.groupBy("stored_reason", "reason", "full_reason").count(), "bytes": spark.createDataFrame(sizes, "compression string, bytes long")})
+    return spark.read.parquet(f"{a.out}/reevaluated").groupBy("reason").count()
+
+
+@job("index", "audit", "out", "window=30")
+def interval_audit(spark, a):
+    """Which clips have short active intervals: rates by word kind, source and split, tests and examples."""
+    i = spark.read.parquet(a.index).join(spark.read.parquet(a.audit).select(F.col("label").alias("word"), "anomaly").dropDuplicates(["word"]), "word", "left")
+    i = i.withColumns({"short": F.col("active_frames") < int(a.window), "label_type": text.label_type(F.col("word")), "has_anomaly": F.col("anomaly").isNotNull()})
+    tables = {f"by_{c}": profile.rate_table(i, c, F.col("short")) for c in ("label_type", "split", "has_anomaly", "active_bin")}
+    tests = [profile.chi_square(i, c, "short").withColumn("column", F.lit(c)) for c in ("label_type", "split", "has_anomaly")]
+    tables["chi_square"] = reduce(lambda x, y: x.unionByName(y), tests)
+    tables["spearman"] = profile.spearman(i.withColumn("length", F.length("word")), "length", "active_frames")
+    sinks.write_report(spark, a.out, "Short intervals", tables)
+    return spark.read.parquet(f"{a.out}/chi_square")
+
+
+@job("store", "out", "expected=")
+def convert_store(spark, a):
+    """A store of the first format to the packed one; judged again and checked against an earlier judgement."""
+    expected = spark.read.parquet(a.expected) if a.expected else None
+    frames, clips = convert.convert(spark.read.parquet(f"{a.store}/frames"), spark.read.parquet(f"{a.store}/clips"), list(arrays.GROUPS), expected)
+    sinks.save_table(clips, f"{a.out}/clips")
+    sinks.save_table(frames, f"{a.out}/frames")
+    return spark.read.parquet(f"{a.out}/clips").groupBy("reason").count()
+
+
+@job("plan", "shard", "raw", "out", "files_per_batch=8", "approved=no", "most=5000")
+def extract_shard(spark, a):
+    """One shard of a plan: its clips' raw detections, processed resumably. Large shards need approval."""
+    mine = spark.read.parquet(a.plan).filter(F.col("shard") == int(a.shard)).select(F.col("sample_id").alias("clip"))
+    n = mine.count()
+    if n > int(a.most) and a.approved != "yes":
+        raise ValueError(f"{n} clips are more than {a.most}: pass --approved yes")
+    schema = spark.read.parquet(a.raw).schema
+
+    def step(batch, number):
+        frames, clips = kernel.guarded(batch.join(mine, "clip", "left_semi"))
+        frames.write.mode("overwrite").parquet(f"{a.out}/frames/batch={number:08d}")
+        clips.write.mode("overwrite").parquet(f"{a.out}/clips/batch={number:08d}")
+
+    with monitor.ResourceMonitor() as m:
+        resume.each_batch(spark, a.raw, schema, f"{a.out}/checkpoint", step, int(a.files_per_batch))
+    sinks.write_text(spark, f"{a.out}/run.json", json.dumps({"shard": int(a.shard), "clips": n, **m.summary()}))
+    return spark.read.option("mergeSchema", "true").parquet(f"{a.out}/clips").groupBy("reason").count()
+
+
+@job("plan", "shards", "splits", "out", "version=v1")
+def merge_store(spark, a):
+    """Union of the shards' stores, checked against the plan and the frozen split, then put into place."""
+    plan, folders = spark.read.parquet(a.plan).select(F.col("sample_id").alias("clip")), a.shards.split(",")
+    clips = sinks.merge_shards(spark, [f"{d}/clips" for d in folders], f"{a.out}/clips", "clip", plan)
+    frames = reduce(lambda x, y: x.unionByName(y), [spark.read.parquet(f"{d}/frames") for d in folders])
+    sinks.save_table(frames.drop("batch"), f"{a.out}/frames")
+    frozen = sinks.read_frozen(spark, a.splits, a.version).select(F.col("sample_id").alias("clip"), "split")
+    stats = clips.join(frozen, "clip", "left").groupBy("split").agg(F.count(F.lit(1)).alias("clips"), F.count_if(F.col("reason").isNull()).alias("accepted"))
+    sinks.write_report(spark, f"{a.out}/report", "Merged store", {"by_split": stats, "reasons": clips.groupBy("reason").count()})
+    return _store_checks(spark, a.out, frozen)
+
+
+def _store_checks(spark, store: str, frozen):
+    """Checks of a packed store: records and frames agree, shapes, finite values, flags, intervals, split."""
+    clips, f = spark.read.parquet(f"{store}/clips"), spark.read.parquet(f"{store}/frames")
+    seen = f.select("clip").distinct()
+    ok = clips.filter("reason is null")
+    groups = [g for g in arrays.GROUPS if g in f.columns]
+    bad_shape = reduce(lambda x, y: x | y, [F.size(g) != 3 * arrays.GROUPS[g] for g in groups])
+    odd = reduce(lambda x, y: x | y, [~F.forall(g, lambda v: arrays.finite(v.cast("double"))) for g in groups])
+    loose = reduce(lambda x, y: x | y, [arrays.has_flag(F.col(f"{g}_flags"), arrays.INTERPOLATED) & arrays.has_flag(F.col(f"{g}_flags"), OBSERVED) for g in groups])
+    return quality.all_of([
+        quality.check(quality.repeated(clips, "clip"), "one record per clip", F.sum("extra"), "repeated"),
+        quality.check(ok.join(seen, "clip", "left_anti"), "accepted clips have frames", F.count(F.lit(1)), "without frames"),
+        quality.check(seen.join(ok, "clip", "left_anti"), "frames belong to accepted clips", F.count(F.lit(1)), "without a record"),
+        quality.check(f, "array shapes", F.count_if(bad_shape), "of another length"),
+        quality.check(f, "values finite", F.count_if(odd), "not finite"),
+        quality.check(f, "observed frames are not interpolated", F.count_if(loose), "both"),
+        quality.check(ok, "intervals inside the clip", F.count_if((F.col("start") < 0) | (F.col("end") < F.col("start"))), "outside"),
+        quality.check(clips.join(frozen, "clip", "left_anti"), "clips are in the frozen split", F.count(F.lit(1)), "unknown"),
+    ])
+
+
+@job("store", "splits", "out", "version=v1")
+def verify_store(spark, a):
+    """Every check of a packed store, its missing hands inside and outside the interval and its size."""
+    frozen = sinks.read_frozen(spark, a.splits, a.version).select(F.col("sample_id").alias("clip"), "split")
+    f = spark.read.parquet(f"{a.store}/frames").withColumn("inside", F.col("frame").between(F.col("start"), F.col("end")))
+    left, right = (arrays.has_flag(F.col(f"{g}_flags"), OBSERVED) for g in ("left_hand", "right_hand"))
+    masks = f.groupBy("inside").agg(F.count(F.lit(1)).alias("frames"), F.count_if(~left & ~right).alias("both_missing"), F.count_if(left & right).alias("both_present"), F.max(F.col("scale")).alias("max_scale"))
+    checks = _store_checks(spark, a.store, frozen)
+    size = spark.createDataFrame([(sinks.stored_bytes(spark, f"{a.store}/frames"), f.count())], "bytes long, frames long")
+    sinks.write_report(spark, a.out, "Store", {"checks": checks, "masks": masks, "storage": size.withColumn("bytes_per_frame", F.col("bytes") / F.col("frames"))})
+    return spark.read.parquet(f"{a.out}/checks")
+
+
+@job("splits", "out", "version=v1")
+def build_mapping(spark, a):
+    """The label mapping of all words of a frozen split, bound to it by digest."""
+    s = sinks.read_frozen(spark, a.splits, a.version)
+    lock = sinks.read_lock(spark, a.splits, a.version)
+    sinks.save_mapping(vocabulary.label_mapping(s), a.out, split_sha256=lock["sha256"])
+    sinks.read_mapping(spark, a.out, lock["sha256"])
+    return s.groupBy("split").agg(F.count_distinct("word").alias("classes"))
+
+
+@job("index", "out", "windows=30,45,60")
+def sequence_report(spark, a):
+    """Bins, stretches and labels of a sequence index, by split."""
+    i, windows = spark.read.parquet(a.index), [int(w) for w in a.windows.split(",")]
+    kinds = [i.withColumn("kind", F.when(F.col("active_frames") < w, "up").when(F.col("active_frames") == w, "identity").otherwise("down")).groupBy("split", "kind").count().withColumn("window", F.lit(w)) for w in windows]
+    labels = i.groupBy("word").agg(F.count(F.lit(1)).alias("clips"))
+    tables = {"bins": i.groupBy("split", "active_bin").count(), "stretch": reduce(lambda x, y: x.unionByName(y), kinds), "frames": profile.describe(i, "active_frames", ["split"]), "clips_by_label": profile.describe(labels, "clips")}
+    sinks.write_report(spark, a.out, "Sequences", tables)
+    rows = spark.read.parquet(f"{a.out}/bins").groupBy("active_bin").agg(F.sum("count").alias("n")).orderBy("active_bin").collect()
+    sinks.write_text(spark, f"{a.out}/bins.svg", figures.bars([(r[0], r[1]) for r in rows], "Active frames"))
+    return spark.read.parquet(f"{a.out}/bins")
+
+
+@job("store", "splits", "out", "vocabulary=", "windows=30,45,60", "version=v1")
+def prepare_store(spark, a):
+    """Mapping (of a vocabulary, where given), index and checked features of a packed store for every window."""
+    lock = sinks.read_lock(spark, a.splits, a.version)
+    frozen = sinks.read_frozen(spark, a.splits, a.version).select("sample_id", "repo_path", "word", "split", "sha256", "split_group", "aug_source")
+    if a.vocabulary:
+        words = [c["class"] for c in sinks.read_vocabulary(spark, a.vocabulary, lock["sha256"])["classes"]]
+        frozen = frozen.filter(F.col("word").isin(words))
+    mapping = vocabulary.label_mapping(frozen)
+    sinks.save_mapping(mapping, f"{a.out}/label_mapping.json", split_sha256=lock["sha256"])
+    clips = spark.read.parquet(f"{a.store}/clips").select(F.col("clip").alias("sample_id"), "start", "end", "reason").join(frozen.select("sample_id"), "sample_id", "left_semi")
+    sinks.write_once(sequences.index(clips, frozen, mapping), f"{a.out}/index")
+    idx = spark.read.parquet(f"{a.out}/index")
+    have = set(spark.read.parquet(f"{a.store}/frames").columns)
+    groups = [g for g in arrays.GROUPS if g in have]
+    spans = idx.select(F.col("sample_id").alias("clip"), "start", "end")
+    for w in map(int, a.windows.split(",")):
+        x = readers.load_sequence(spark, f"{a.store}/frames", groups, w, spans)
+        rows = x.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("k", "features"))).alias("s")).select(F.col("clip").alias("sample_id"), F.flatten("s.features").alias("features"))
+        sinks.write_once(rows.join(idx.select("sample_id", "split", "word", "label"), "sample_id"), f"{a.out}/features_w{w}")
+    return quality.index_leaks(idx)
+
+
+@job("out", "words=3")
+def smoke_test(spark, a):
+    """Synthetic clips through features, training, saving, loading and latency: the same model and metrics twice."""
+    c = readers.synthetic_clips(spark, int(a.words))
+    rows = c.groupBy("clip_id", "word", "split").agg(F.array_sort(F.collect_list(F.struct("frame", F.array("x", "y").alias("v")))).alias("s"))
+    label = F.regexp_extract("word", "([0-9]+)$", 1).cast("int")
+    rows = rows.select(F.col("clip_id").cast("string").alias("sample_id"), "split", "word", label.alias("label"), sequences.temporal_statistics(F.col("s.v"), 2).alias("features"))
+    sinks.save_table(rows, f"{a.out}/features")
+    rows = spark.read.parquet(f"{a.out}/features")
+    found = [experiment.run(rows, {"rf": {"numTrees": 10, "maxDepth": 5}}, int(a.words), mapping=rows.select("word", "label").distinct()) for _ in range(2)]
+    again = found[0][1].drop("train_seconds").exceptAll(found[1][1].drop("train_seconds")).count()
+    sinks.save_model(found[0][0], f"{a.out}/model", {"experiment": "rf", "selected_on": "val"})
+    model, _ = sinks.load_model(spark, f"{a.out}/model")
+    x = rows.select("sample_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("features").cast("array<double>")).alias("x"))
+    differ = experiment.predictions(found[0][0], x).exceptAll(experiment.predictions(model, x)).count()
+    took = monitor.timed(spark, lambda: experiment.predictions(model, x).count(), 3, 1)
+    sinks.save_table(evalmetrics.latency(took, "seconds", rows.count()), f"{a.out}/latency")
+    return spark.createDataFrame([("same metrics again", again == 0, f"{again} rows differ"), ("reloaded model predicts the same", differ == 0, f"{differ} rows differ")], "check string, passed boolean, detail string")
+
+
+@job("results", "out")
+def experiment_report(spark, a):
+    """All results, the best on validation, and the gap between train and test."""
+    r = sinks.read_widened(spark, a.results)
+    wide = r.groupBy("experiment").pivot("split", ["train", "val", "test"]).agg(F.first("accuracy").alias("accuracy"), F.first("macro_f1").alias("macro_f1"))
+    wide = wide.withColumn("train_test_gap", F.col("train_accuracy") - F.col("test_accuracy")).orderBy(F.desc("val_macro_f1"), "experiment")
+    sinks.write_report(spark, a.out, "Experiments", {"results": wide})
+    rows = [(x.experiment, x.test_macro_f1) for x in wide.limit(60).collect()]
+    sinks.write_text(spark, f"{a.out}/macro_f1.svg", figures.bars(rows, "Test macro F1"))
+    return wide.limit(1)
+
+
 def main(argv: list[str] | None = None) -> int:
     """Run a job and print its small result; 1 if a check in it failed."""
     p = argparse.ArgumentParser(prog="quern")

@@ -25,10 +25,27 @@ class Config:
         return p if p.is_absolute() else self.root / p
 
 
+def read_settings(path: str | Path) -> dict:
+    """A JSON or YAML document, by the file's ending; YAML needs its library."""
+    path = Path(path)
+    text = path.read_text(encoding="utf-8")
+    if path.suffix not in (".yaml", ".yml"):
+        return json.loads(text)
+    import yaml
+
+    return yaml.safe_load(text)
+
+
+def coord_dtype(output: dict, group: str) -> str:
+    """The storage type of a group's coordinates: one for all, or by group."""
+    found = output["coord_dtype"]
+    return found if isinstance(found, str) else found[group]
+
+
 def load_config(path: str | Path) -> Config:
     """Read and check: the five sections are there, split ratios add up to 1, the revision is 40 hex digits."""
     path = Path(path)
-    doc = json.loads(path.read_text(encoding="utf-8"))
+    doc = read_settings(path)
     missing = [s for s in SECTIONS if s not in doc]
     if missing:
         raise ValueError(f"{path}: sections missing: {missing}")
@@ -53,6 +70,11 @@ def with_profile(doc: dict, name: str | None) -> dict:
     return out | {"storage_profile": name}
 
 
-def parse_per_split(text: str) -> dict[str, int]:
-    """"train=20,val=5" as a dictionary."""
-    return {k.strip(): int(v) for k, v in (part.split("=") for part in text.split(",") if part.strip())}
+def parse_per_split(text: str | None, splits: tuple[str, ...] = ("train", "val", "test")) -> dict[str, int] | None:
+    """"train=20,val=5" as a dictionary; nothing is no limit, an unknown split an error."""
+    if not text:
+        return None
+    out = {k.strip(): int(v) for k, v in (part.split("=") for part in text.split(",") if part.strip())}
+    if set(out) - set(splits):
+        raise ValueError(f"unknown splits: {sorted(set(out) - set(splits))}")
+    return out

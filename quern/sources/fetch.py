@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +23,38 @@ class TooManyRequests(Exception):
         self.retry_after = retry_after
 
 
+class HostCredential:
+    """A token that goes to one https host only: other hosts, other schemes and redirect targets get none."""
+
+    def __init__(self, host: str, token: str | None) -> None:
+        self.host, self._token = host.lower(), token
+
+    def headers(self, url: str, redirected: bool = False) -> dict[str, str]:
+        parts = urlsplit(url)
+        mine = parts.scheme == "https" and parts.hostname == self.host and parts.port in (None, 443) and parts.username is None
+        return {"Authorization": f"Bearer {self._token}"} if self._token and mine and not redirected else {}
+
+    def __repr__(self) -> str:
+        return f"HostCredential({self.host!r}, {'set' if self._token else 'unset'})"
+
+
+def download(spark, get: Callable[[str], bytes], name: str, out: str, want: str | None = None, retries: int = 4) -> dict:
+    """Fetch one file at the revision that get is bound to, check its hash and put it into place whole."""
+    kept: list[bytes] = []
+
+    def keep(path: str) -> bytes:
+        kept[:] = [get(path)]
+        return kept[0]
+
+    got = fetch_once(keep, name, want, retries)
+    if not got["download_ok"] or got["sha256_match"] is False:
+        raise OSError(f"{name}: {got['error'] or 'the hash differs'}")
+    from quern.sources.sinks import write_bytes
+
+    write_bytes(spark, out, kept[0])
+    return got
+
+
 def wait_seconds(attempt: int, retry_after: float | None = None) -> float:
     """Pause before the next attempt (from 0): doubling up to 30 s, or what the server asks for, up to 300 s."""
     return min(float(2**attempt), MAX_WAIT) if retry_after is None else min(retry_after, MAX_RETRY_AFTER)

@@ -78,6 +78,27 @@ def done_keys(spark: SparkSession, path: str, schema: T.StructType, key: str) ->
     return spark.read.parquet(path).select(key).distinct()
 
 
+def load_frames(spark: SparkSession, path: str, groups: list[str], clip: str = "clip") -> DataFrame:
+    """Frames of a packed store with the columns of groups only, so a scan reads no others: clip, frame, each group's
+    coordinates and flags, pose_vis with pose, and the active interval (start, end)."""
+    wanted = [c for g in groups for c in (g, f"{g}_flags")] + (["pose_vis"] if "pose" in groups else [])
+    return spark.read.parquet(path).select(clip, "frame", *wanted, "start", "end")
+
+
+def load_sequence(spark: SparkSession, path: str, groups: list[str], window: int = 30, spans: DataFrame | None = None, clip: str = "clip") -> DataFrame:
+    """clip, k, features: window rows of assembled features over each clip's interval (spans: clip, start, end, or the
+    store's own). A row of another length or with a value that is not finite fails the query when it is read."""
+    from quern.functions.arrays import feature_dim, finite
+    from quern.operators.sequences import window_features
+
+    f = load_frames(spark, path, groups, clip)
+    if spans is None:
+        spans = f.groupBy(clip).agg(F.first("start").alias("start"), F.first("end").alias("end"))
+    x = window_features(f.drop("start", "end"), spans, groups, window, clip)
+    ok = (F.size("features") == feature_dim(groups)) & F.forall("features", finite)
+    return x.withColumn("features", F.when(ok, F.col("features")).otherwise(F.raise_error(F.lit("features of another length or not finite")).cast("array<float>")))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.quality import digest
 from quern.sources.readers import exists
+from quern.sources.shared import new_path, remove, staged
 
 
 def _path(spark: SparkSession, path: str):
@@ -17,11 +20,15 @@ def _path(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
     """Write a small file under a temporary name, then rename it into place."""
     p, fs = _path(spark, path)
     tmp, _ = _path(spark, path + ".tmp")
     out = fs.create(tmp, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(body))
     out.close()
     fs.delete(p, False)
     if not fs.rename(tmp, p):
@@ -36,25 +43,52 @@ def table_digest(df: DataFrame) -> str:
     return digest(df).first().sha256
 
 
+def split_facts(df: DataFrame, split: str = "split", word: str = "word") -> dict:
+    """Counts, shares, classes and digests of a split table: in all, by split, and of contents and split groups.
+
+    Columns sha256, split_group and aug_source add their facts where df has them. Only single rows are gathered.
+    """
+    parts = df.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(word).alias("classes")).collect()  # one row per split
+    n = sum(r.n for r in parts)
+    cross = df.groupBy(word, split).agg(F.count(F.lit(1)).alias("n"))
+    facts = {
+        "sha256": table_digest(df), "n_samples": n, "n_classes": df.select(word).distinct().count(), "class_counts_sha256": table_digest(cross),
+        "counts": {r[0]: r.n for r in parts}, "fractions": {r[0]: round(r.n / n, 6) for r in parts}, "classes_per_split": {r[0]: r.classes for r in parts},
+        "per_split_sha256": {r[0]: table_digest(df.filter(F.col(split).eqNullSafe(r[0]))) for r in parts},
+    }
+    for key, name in (("sha256", "duplicate_groups"), ("split_group", "split_groups")):
+        if key in df.columns:
+            g = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(word).alias("words"), F.min(split).alias("s"))
+            many = F.col("n") > 1
+            row = g.agg(F.count(F.lit(1)).alias("units"), F.count_if(many).alias("multi_file"), F.sum(F.when(many, F.col("n")).otherwise(0)).alias("files_in_multi_file"), F.count_if(many & (F.col("words") > 1)).alias("cross_label"), F.max("n").alias("largest")).first()
+            facts[name] = row.asDict() | {"per_split": {r[0]: r[1] for r in g.groupBy("s").count().collect()}}
+    if "aug_source" in df.columns:
+        facts["augmented_files"] = df.filter(F.coalesce("aug_source", F.lit("")) != "").count()
+    return facts
+
+
 def write_frozen(df: DataFrame, path: str, version: str, meta: dict | None = None, split: str = "split", word: str = "word") -> dict:
-    """Write df once, partitioned by split, with a lock of its digest and counts; refuses if the version is there."""
+    """Write df once, partitioned by split, with class counts and a lock of its facts; refuses if the version is there."""
     spark, where = df.sparkSession, f"{path}/split_{version}"
-    if exists(spark, where) or exists(spark, where + ".lock.json"):
+    if any(exists(spark, where + end) for end in ("", ".lock.json", "_class_counts")):
         raise FileExistsError(f"{where} is frozen; make a new version instead")
     df.write.mode("errorifexists").partitionBy(split).parquet(where)
     saved = spark.read.schema(df.schema).parquet(where).select(*df.columns)
-    counts = {r[0]: r[1] for r in saved.groupBy(split).count().collect()}  # one row per split
-    lock = {"version": version, "sha256": table_digest(saved), "n_samples": sum(counts.values()), "n_classes": saved.select(word).distinct().count(), "counts": counts} | (meta or {})
+    saved.groupBy(word, split).agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{where}_class_counts")
+    lock = {"version": version} | split_facts(saved, split, word) | (meta or {})
     write_text(spark, where + ".lock.json", json.dumps(lock, indent=2, sort_keys=True))
     return lock
 
 
+def read_lock(spark: SparkSession, path: str, version: str) -> dict:
+    return json.loads(read_text(spark, f"{path}/split_{version}.lock.json"))
+
+
 def read_frozen(spark: SparkSession, path: str, version: str) -> DataFrame:
     """The frozen table; fails if its digest is not the lock's."""
     where = f"{path}/split_{version}"
-    lock = json.loads(read_text(spark, where + ".lock.json"))
     df = spark.read.parquet(where)
-    if table_digest(df) != lock["sha256"]:
+    if table_digest(df) != read_lock(spark, path, version)["sha256"]:
         raise RuntimeError(f"{where} differs from its lock")
     return df
 
@@ -71,35 +105,73 @@ def write_once(df: DataFrame, path: str) -> bool:
     return True
 
 
-def save_mapping(mapping: DataFrame, path: str, word: str = "word") -> bool:
-    """Save a label mapping (one row per class) as JSON; equal is fine, different is refused."""
-    spark = mapping.sparkSession
-    rows = mapping.select(word, "label").orderBy("label").collect()
-    from hashlib import sha256
+def write_document(spark: SparkSession, path: str, doc: dict) -> bool:
+    """Write a JSON document once; True if it was written now, an error if something else is there."""
+    if not exists(spark, path):
+        write_text(spark, path, json.dumps(doc, indent=1, ensure_ascii=False))
+        return True
+    if json.loads(read_text(spark, path)) != doc:
+        raise FileExistsError(f"{path} is another document; it stays as it is")
+    return False
 
-    words = [r[0] for r in rows]
-    doc = {"num_classes": len(words), "vocabulary_sha256": sha256("\n".join(words).encode()).hexdigest(), "word_to_index": {r[0]: r[1] for r in rows}}
-    text = json.dumps(doc, indent=1, ensure_ascii=False)
-    if exists(spark, path):
-        if json.loads(read_text(spark, path)) != doc:
-            raise FileExistsError(f"{path} holds a different mapping")
-        return False
-    write_text(spark, path, text)
-    return True
+
+# The keys of mapping and vocabulary documents.
+def _mapping_document(words: list[str], split_sha256: str | None) -> dict:
+    return {"num_classes": len(words), "vocabulary_sha256": digest_of_words(words), "frozen_split_sha256": split_sha256, "word_to_index": {w: i for i, w in enumerate(words)}}
+
+
+def digest_of_words(words: list[str]) -> str:
+    return hashlib.sha256("\n".join(words).encode()).hexdigest()
+
+
+def _same(path: str, found: dict, meant: dict) -> None:
+    """A document must be the one that its own class list gives."""
+    wrong = sorted(k for k in meant if found.get(k) != meant[k])
+    if wrong:
+        raise ValueError(f"{path} does not agree with its class list in: {', '.join(wrong)}")
+
+
+def save_mapping(mapping: DataFrame, path: str, word: str = "word", split_sha256: str | None = None) -> bool:
+    """Save a label mapping (one row per class) with the digest of the split it is for; see write_document."""
+    rows = mapping.select(word, "label").orderBy("label", word).collect()
+    doc = _mapping_document([r[0] for r in rows], split_sha256)
+    _same("the mapping table", {"word_to_index": {r[0]: r[1] for r in rows}, "num_classes": len({r[0] for r in rows})}, {k: doc[k] for k in ("word_to_index", "num_classes")})
+    return write_document(mapping.sparkSession, path, doc)
+
+
+def read_mapping(spark: SparkSession, path: str, split_sha256: str | None = None) -> dict:
+    """The document, checked against itself and, where given, against the digest of the split."""
+    doc = json.loads(read_text(spark, path))
+    index = doc.get("word_to_index", {})
+    _same(path, doc, _mapping_document(sorted(index, key=lambda w: (index[w], w)), doc.get("frozen_split_sha256")))
+    if split_sha256 and doc["frozen_split_sha256"] != split_sha256:
+        raise ValueError(f"{path} is for another split")
+    return doc
+
+
+def load_mapping(spark: SparkSession, path: str, word: str = "word", split_sha256: str | None = None) -> DataFrame:
+    """word, label of a checked mapping document."""
+    index = read_mapping(spark, path, split_sha256)["word_to_index"]
+    return spark.createDataFrame(sorted(index.items(), key=lambda x: x[1]), f"{word} string, label int")
+
+
+def write_vocabulary(spark: SparkSession, path: str, document: str, split_sha256: str | None = None) -> bool:
+    """Write a vocabulary document (JSON text) once, with the digest of the split it was chosen on."""
+    return write_document(spark, path, json.loads(document) | {"frozen_split": {"sha256": split_sha256}})
 
 
-def load_mapping(spark: SparkSession, path: str, word: str = "word") -> DataFrame:
-    """word, label; fails if hash, count or indices do not fit."""
-    from hashlib import sha256
+def read_vocabulary(spark: SparkSession, path: str, split_sha256: str | None = None) -> dict:
+    """A vocabulary document: classes in order without repeats, their places as index, right count and digest.
 
+    With split_sha256 it must have been chosen on that split.
+    """
     doc = json.loads(read_text(spark, path))
-    index = doc["word_to_index"]
-    words = sorted(index, key=index.get)
-    if sha256("\n".join(words).encode()).hexdigest() != doc["vocabulary_sha256"] or len(words) != doc["num_classes"]:
-        raise ValueError(f"{path}: the mapping fails its integrity check")
-    if [index[w] for w in words] != list(range(len(words))):
-        raise ValueError(f"{path}: indices are not 0..N-1")
-    return spark.createDataFrame([(w, index[w]) for w in words], f"{word} string, label int")
+    words = sorted({c["class"] for c in doc["classes"]})
+    found = {"classes": [(c["index"], c["class"]) for c in doc["classes"]], "num_classes": doc["num_classes"], "vocabulary_sha256": doc["vocabulary_sha256"]}
+    _same(path, found, {"classes": list(enumerate(words)), "num_classes": len(words), "vocabulary_sha256": digest_of_words(words)})
+    if split_sha256 and (doc.get("frozen_split") or {}).get("sha256") != split_sha256:
+        raise ValueError(f"{path} was chosen on another split")
+    return doc
 
 
 def append_widening(df: DataFrame, path: str) -> None:
@@ -133,31 +205,107 @@ def write_evaluation(predictions: DataFrame, path: str, vocabulary_size: int) ->
     """Predictions, confusion counts, per-class table, top confusions and metrics as five tables."""
     from quern.operators import evalmetrics as em
 
-    cm = em.confusion(predictions).cache()
+    cm = staged(em.confusion(predictions), "confusion")
     predictions.write.mode("overwrite").parquet(f"{path}/predictions")
     for name, df in (("confusion", cm), ("per_class", em.per_class(cm)), ("top_confusions", em.top_confusions(cm)), ("metrics", em.metrics(cm, vocabulary_size))):
-        df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
-    cm.unpersist()
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def save_model(model, path: str, meta: dict) -> None:
     """A pyspark.ml model with its metadata; refuses to replace one."""
-    from pyspark.sql import SparkSession as S
-
-    spark = S.active()
+    spark = SparkSession.active()
     if exists(spark, path):
         raise FileExistsError(path)
     model.write().save(f"{path}/model")
     write_text(spark, f"{path}/meta.json", json.dumps(meta, sort_keys=True))
 
 
+def load_model(spark: SparkSession, path: str):
+    """(model, metadata) as save_model or export_model left them; the model's class is read from its own metadata."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark), json.loads(read_text(spark, f"{path}/meta.json"))
+
+
+def export_model(spark: SparkSession, source: str, path: str, mapping: dict) -> dict:
+    """Copy a saved model that was selected on validation, with its class mapping.
+
+    Its metadata must say selected_on "val" and hold the mapping's digest.
+    """
+    model, meta = load_model(spark, source)
+    if meta.get("selected_on") != "val":
+        raise ValueError(f"{source} was not selected on validation")
+    if meta.get("label_mapping_sha256") != mapping["vocabulary_sha256"]:
+        raise ValueError(f"{source} was trained with another label mapping")
+    save_model(model, path, meta | {"source": source})
+    write_text(spark, f"{path}/class_mapping.json", json.dumps(mapping | {"index_to_class": {str(i): w for w, i in mapping["word_to_index"].items()}}, ensure_ascii=False))
+    return meta
+
+
+def save_table(df: DataFrame, path: str, compression: str = "zstd") -> int:
+    """Write df as Parquet, all or nothing, and return the bytes of its files."""
+    df.write.mode("errorifexists").option("compression", compression).parquet(path)
+    return stored_bytes(df.sparkSession, path)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    p, fs = _path(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
+def serialized_size(df: DataFrame, compression: str = "zstd") -> int:
+    """Bytes of df as Parquet, measured on a copy that is removed again."""
+    path = new_path(df.sparkSession, "size")
+    try:
+        return save_table(df, path, compression)
+    finally:
+        remove(df.sparkSession, path)
+
+
+def upsert(df: DataFrame, path: str, key: list[str], deleted: DataFrame | None = None) -> DataFrame:
+    """Put df's rows (one per key) into the keyed table at path, replacing rows of the same key, and drop the keys of
+    deleted. The table is a folder of versions; a pointer moves to the new one when it is complete, so readers never
+    see half of it and a run that fails changes nothing."""
+    spark = df.sparkSession
+    keys = df.select(*key)
+    if deleted is not None:
+        keys = keys.unionByName(deleted.select(*key))
+    new = df if deleted is None else df.join(deleted.select(*key), key, "left_anti")
+    if exists(spark, f"{path}/current"):
+        new = current(spark, path).join(keys.distinct(), key, "left_anti").unionByName(new)
+    version = f"v-{uuid.uuid4().hex}"
+    new.write.parquet(f"{path}/{version}")
+    write_text(spark, f"{path}/current", version)
+    return current(spark, path)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that upsert keeps."""
+    return spark.read.parquet(f"{path}/{read_text(spark, path + '/current')}")
+
+
+def append_messages(df: DataFrame, path: str) -> None:
+    """Insert messages: each call adds whole files, so readers see all of its rows or none."""
+    df.write.mode("append").parquet(path)
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a Markdown table (at most limit rows)."""
-    rows = df.limit(limit).collect()
+    """A small result as a Markdown table; more than limit rows are refused, not cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; write them as a table instead")
     line = lambda cells: "| " + " | ".join(str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
 
 
+def write_report(spark: SparkSession, path: str, title: str, tables: dict[str, DataFrame]) -> None:
+    """Small tables under headings in one Markdown file, and each as Parquet beside it."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    parts = [f"## {name}\n\n{markdown(spark.read.parquet(f'{path}/{name}'))}\n" for name in tables]
+    write_text(spark, f"{path}/report.md", f"# {title}\n\n" + "\n".join(parts))
+
+
 def environment(spark: SparkSession) -> DataFrame:
     """One row of provenance: versions and the settings that change plans."""
     names = ("spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone")

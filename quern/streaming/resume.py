@@ -15,15 +15,25 @@ def ingest(spark: SparkSession, source: str, schema, out: str, checkpoint: str,
 
     Each micro-batch replaces its own part, so a batch that is run again after a failure leaves no second copy.
     """
-    stream = spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", files_per_batch).load(source)
-    done = []
 
     def write(batch: DataFrame, number: int) -> None:
         rows = step(batch) if step else batch
         rows.withColumn("part", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
+
+    return each_batch(spark, source, schema, checkpoint, write, files_per_batch, format)
+
+
+def each_batch(spark: SparkSession, source: str, schema, checkpoint: str, write: Callable[[DataFrame, int], None], files_per_batch: int = 8, format: str = "parquet") -> int:
+    """Call write(rows, number) for each batch of files that no earlier run with this checkpoint has finished; returns
+    the number of batches. write must replace what an unfinished call with the same number left."""
+    stream = spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", files_per_batch).load(source)
+    done = []
+
+    def one(batch: DataFrame, number: int) -> None:
+        write(batch, number)
         done.append(number)
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return len(done)
 
