@@ -8,8 +8,7 @@ no further comparison. Buckets that still hold several components then compare m
 against block inside tasks, with the same pruning and verification; a block hands on at most one link for each
 component it joins, never its pairs.
 
-A member of a bucket of m meets at most WIDE / BLOCK blocks there. Members of wider buckets that hold several
-components are dealt anew: texts at similarity t share one of their rarest n - ceil(t n) + 1 shingles (the prefix
+Where more than WIDE members of a bucket are outside its largest component, its members are dealt anew: texts at similarity t share one of their rarest n - ceil(t n) + 1 shingles (the prefix
 filter, rarity being counted among these members), so each goes to the buckets of those of its shingles that another
 member has, and bucket mates without a rare shingle in common, such as pages of one template, never meet. That is
 exact: every pair at the threshold meets, and is compared and verified as above.
@@ -39,8 +38,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 #: Posterior probability of similarity >= 0.75 under which a pair is pruned; hashes compared at a time.
 MISS, BATCH = 1e-6, 40
-#: Shares of a pivot's partners; members of a block and of a bucket that is met block by block; pivots that a group's
-#: buckets choose among.
+#: Shares of a pivot's partners; members of a block; members outside a bucket's largest component that are met block by
+#: block; pivots that a group's buckets choose among.
 SHARES, BLOCK, WIDE, PIVOTS = 1024, 256, 1024, 4
 
 
@@ -154,17 +153,20 @@ def _meet(pairs: DataFrame, store: DataFrame, payload: str, read, test) -> DataF
 
 
 def _blocks(members: DataFrame, steps: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Links (a, b) between components that share a bucket; members: key, cid, root, size, sig, text.
-
-    A bucket is cut into blocks of about BLOCK members and every two blocks meet in one group, so a task holds two
-    blocks. Pairs of different components are compared by signature, pruned as above, and the rest verified whole
-    in order of likelihood, unless links found before already join them: a group returns fewer links than it has
-    components, and no link that could join two is left out.
+    """Links (a, b) between components that share a bucket; members: key, cid, root, major, others, size, sig, text.
+
+    Most members of a bucket often have one root already, its major one; they need not meet each other. The others
+    are cut into blocks of about BLOCK, and so are the major ones; every block of others meets every block, so a
+    major member is sent once for each block of others, and a task holds two blocks. Pairs of different components
+    are compared by signature, pruned as above, and the rest verified whole in order of likelihood, unless links
+    found before already join them: a group returns fewer links than it has components, and no link that could join
+    two is left out.
     """
     p = partitions(members.sparkSession)
-    n = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rows = members.withColumns({"n": n, "i": F.pmod(F.xxhash64("cid"), n).cast("int")})
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    blocks, rest = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("others")) / BLOCK).cast("int")
+    h, is_major = F.xxhash64("cid"), F.col("root") == F.col("major")
+    rows = members.withColumn("i", F.when(is_major, blocks + F.pmod(h, rest)).otherwise(F.pmod(h, blocks)).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(is_major, blocks - 1).otherwise(blocks + rest - 1))))
     rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "root", "sig", "text")
     rows = rows.repartition(p, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
@@ -301,17 +303,16 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     left = staged(left, "bucket-members")
 
     def mixed(rows: DataFrame) -> DataFrame:
-        groups = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("_w"))
-        return hot_join(rows, staged(groups.filter("_a <> _b").select("key", "_w"), "mixed"), ["key"], "_w")
-
-    left = staged(mixed(left), "mixed-members")
-    wide = left.filter(F.col("size") > WIDE).select("cid", "root").distinct()
-    left = left.filter(F.col("size") <= WIDE).select("key", "cid", "root", "size")
+        """Rows (key, cid, root) of keys with several roots, with the most frequent root and how many have others."""
+        groups = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("_m"), F.sum("n").alias("size"))
+        groups = groups.filter("_m.n < size").select("key", F.col("_m.root").alias("major"), (F.col("size") - F.col("_m.n")).alias("others"), "size", F.col("size").alias("_w"))
+        return staged(hot_join(rows.select("key", "cid", "root"), staged(groups, "mixed"), ["key"], "_w"), "mixed-members")
+
+    left = mixed(left)
+    wide = left.filter(F.col("others") > WIDE).select("cid", "root").distinct()
+    left = left.filter(F.col("others") <= WIDE)
     if not wide.isEmpty():
-        again = staged(_rare_keys(wide.join(texts, "cid")), "rare-keys").join(wide, "cid")
-        again = staged(mixed(again), "rare-members")
-        sizes = staged(again.groupBy("key").agg(F.count(F.lit(1)).alias("size")).withColumn("_w", F.col("size")), "rare-sizes")
-        left = left.unionByName(hot_join(again, sizes, ["key"], "_w"))
+        left = left.unionByName(mixed(staged(_rare_keys(wide.join(texts, "cid")), "rare-keys").join(wide, "cid")))
     tops = components(staged(_blocks(left.join(texts, "cid"), steps), "bridges")).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
     found = classes.select("cid", "digest", "least", "n_rows").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
