@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 SPLITS = ("train", "val", "test")
 
+# Names and details of the split's checks, as reports compare them.
+UNIQUE_ID, ONE_SPLIT, VALID_SPLIT = ("unique sample_id", "duplicated ids"), ("each file in exactly one split", "paths repeated"), ("split values valid", "invalid values")
+ONE_CONTENT, ONE_GROUP = ("no identical content across splits", "hashes span >1 split"), ("no split group across splits", "groups span >1 split")
+NONE_EXTRA, NONE_MISSING = ("only eligible samples in split", "ineligible samples present"), ("all eligible samples assigned", "eligible samples missing")
+CLASSES = ("every expected class present in {}", "expected classes missing")
+
 
 def check(df: DataFrame, name: str, bad: Column, detail: str) -> DataFrame:
     """One row: bad is an aggregate that must be 0; detail follows its value."""
@@ -36,18 +42,20 @@ def split_checks(split: DataFrame, eligible: DataFrame, ratios: dict[str, float]
     """
     names = list(ratios)
     words = split.select("word").distinct() if expected is None else expected.select("word").distinct()
-    out = [
-        check(repeated(split, "sample_id"), "unique sample_id", F.sum("extra"), "duplicated ids"),
-        check(repeated(split, "repo_path"), "each file in exactly one split", F.sum("extra"), "paths repeated"),
-        check(split, "split values valid", F.count_if(~F.coalesce(F.col("split").isin(names), F.lit(False))), "invalid values"),
-        check(crossing(split, "sha256"), "no identical content across splits", F.count_if(F.col("k") > 1), "hashes span >1 split"),
-        check(crossing(split, "split_group"), "no split group across splits", F.count_if(F.col("k") > 1), "groups span >1 split"),
-        check(split.select("sample_id").distinct().join(eligible.select("sample_id"), "sample_id", "left_anti"), "only eligible samples in split", F.count(F.lit(1)), "ineligible samples present"),
-        check(eligible.select("sample_id").distinct().join(split.select("sample_id"), "sample_id", "left_anti"), "all eligible samples assigned", F.count(F.lit(1)), "eligible samples missing"),
-    ]
+    ids = split.select("sample_id").distinct(), eligible.select("sample_id").distinct()
+    rules = [
+        (UNIQUE_ID, repeated(split, "sample_id"), F.sum("extra")),
+        (ONE_SPLIT, repeated(split, "repo_path"), F.sum("extra")),
+        (VALID_SPLIT, split, F.count_if(~F.coalesce(F.col("split").isin(names), F.lit(False)))),
+        (ONE_CONTENT, crossing(split, "sha256"), F.count_if(F.col("k") > 1)),
+        (ONE_GROUP, crossing(split, "split_group"), F.count_if(F.col("k") > 1)),
+        (NONE_EXTRA, ids[0].join(ids[1], "sample_id", "left_anti"), F.count(F.lit(1))),
+        (NONE_MISSING, ids[1].join(ids[0], "sample_id", "left_anti"), F.count(F.lit(1))),
+    ]
     for s in names:
         here = split.filter(F.col("split") == s).select("word").distinct()
-        out.append(check(words.join(here, "word", "left_anti"), f"every expected class present in {s}", F.count(F.lit(1)), "expected classes missing"))
+        rules.append(((CLASSES[0].format(s), CLASSES[1]), words.join(here, "word", "left_anti"), F.count(F.lit(1))))
+    out = [check(rows, title, bad, detail) for (title, detail), rows, bad in rules]
     for s, r in ratios.items():
         got = split.agg(F.avg((F.col("split") == s).cast("double")).alias("f"))
         out.append(got.select(F.lit(f"{s} ratio ~ {r:.2f}").alias("check"), (F.abs(F.col("f") - r) <= tolerance).alias("passed"), F.format_string("%.4f", "f").alias("detail")))

@@ -106,6 +106,10 @@ def annotate_duplicates(df: DataFrame, eligible: Column, sha: str = "sha256", la
     return d.withColumns({"dup_group_size": F.coalesce("_n", F.lit(0)), "dup_cross_label": F.coalesce("_x", F.lit(False))}).drop("_k", "_n", "_x")
 
 
+# The label audit's codes, and details that reports compare.
+WHITESPACE, UPPERCASE, CLASSIFIER = ("whitespace", "leading/trailing/double whitespace"), ("uppercase", "contains uppercase characters"), ("classifier_suffix", "ends with -cl")
+
+
 def audit_labels(df: DataFrame, label: str = "word") -> DataFrame:
     """label, n_samples, anomaly, detail: one row per label and oddity. Labels are never changed."""
     x = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_samples"))
@@ -118,11 +122,11 @@ def audit_labels(df: DataFrame, label: str = "word") -> DataFrame:
         return F.when(test, F.struct(F.lit(kind).alias("anomaly"), detail.alias("detail")))
 
     found = F.array(
-        when((w != trim_space(w)) | w.contains("  "), "whitespace", F.lit("leading/trailing/double whitespace")),
-        when(w != low, "uppercase", F.lit("contains uppercase characters")),
+        when((w != trim_space(w)) | w.contains("  "), WHITESPACE[0], F.lit(WHITESPACE[1])),
+        when(w != low, UPPERCASE[0], F.lit(UPPERCASE[1])),
         when(F.size(odd) > 0, "unusual_characters", F.array_join(odd, "")),
         when(w.rlike(r"(?U)\d"), "contains_digit", F.lit("")),
-        when(low.rlike(r"(?U)-cl$|\bcl\b"), "classifier_suffix", F.lit("ends with -cl")),
+        when(low.rlike(r"(?U)-cl$|\bcl\b"), CLASSIFIER[0], F.lit(CLASSIFIER[1])),
         when((F.length("k") >= 4) & (F.length("k") % 2 == 0) & (F.left("k", half) == F.right("k", half)), "repeated_word", F.left("k", half)),
         when((F.length("k") >= 14) & ~w.rlike(r"[ \-_]"), "long_unseparated", F.length("k").cast("string")),
     )

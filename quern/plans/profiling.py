@@ -130,6 +130,7 @@ def column_subset(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
 
 
+# Fixed values in the SQL below: identifier patterns and error codes, those of functions/text.py.
 @query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, replace(replace(url, 'http://', ''), 'https://', '') AS rest FROM pages), q AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/channel/|^https?://[^/]+/(.*)$', 1) AS tail FROM pages)
 SELECT page_id, regexp_matches(regexp_extract(tail, '^([^/?#]*)', 1), '^[a-zA-Z0-9_-]{1,64}$') AND regexp_matches(lpad(CAST(page_id AS VARCHAR), 36, 'a'), '(?i)^[a-f0-9-]{36}$') AS valid,
   CASE WHEN regexp_matches(regexp_extract(tail, '^([^/?#]*)', 1), '^[a-zA-Z0-9_-]{1,64}$') THEN CASE WHEN page_id % 3 = 0 THEN 'invalid_id' WHEN page_id % 5 = 0 THEN 'invalid_type' WHEN length(url) > 45 THEN NULL END ELSE 'invalid_id' END AS error FROM q""")
