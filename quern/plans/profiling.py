@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import arrays as ar
 from quern.functions import text as tx
+from quern.functions import tokens
 from quern.operators import evalmetrics, profile, quality
 from quern.plans.registry import SAMPLES, query, r6, samples, table
 
@@ -378,6 +379,24 @@ def url_quote(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.url_path(p).alias("quoted"))
 
 
+_SECRET = b"a secret of this query"
+_KEY = _SECRET.ljust(64, b"\0")
+_BLOB = ["".join(f"\\x{b ^ x:02X}" for b in _KEY) for x in (0x36, 0x5C)]
+_URL = "rtrim(translate({0}, '+/', '-_'), '=')"
+_SIGN = "unhex(sha256('" + _BLOB[1] + "'::BLOB || unhex(sha256('" + _BLOB[0] + "'::BLOB || encode(body)))))"
+
+
+@query(f"""WITH p AS (SELECT c_custkey, '{{"id":' || c_custkey || ',"exp":' || (1000 + c_custkey) || '}}' AS p FROM customer), b AS (SELECT *, {_URL.format("to_base64(encode(p))")} AS body FROM p)
+SELECT c_custkey, body || '.' || {_URL.format(f"to_base64({_SIGN})")} AS token, CASE WHEN 1000 + c_custkey > 1500 AND c_custkey % 7 <> 0 THEN p END AS payload FROM b""")
+def session_tokens(spark, sf):
+    """Signed tokens, and what is read back of them at second 1500; every seventh comes back with another signature."""
+    c = table(spark, sf, "customer")
+    p = F.concat(F.lit('{"id":'), F.col("c_custkey").cast("string"), F.lit(',"exp":'), (F.col("c_custkey") + 1000).cast("string"), F.lit("}"))
+    c = c.select("c_custkey", tokens.create_token(p, _SECRET).alias("token"))
+    back = F.when(F.col("c_custkey") % 7 == 0, F.concat("token", F.lit("A"))).otherwise(F.col("token"))
+    return c.select("c_custkey", "token", tokens.verify_token(back, _SECRET, F.lit(1500)).alias("payload"))
+
+
 # ---------------------------------------------------------------- metrics
 def _predictions(spark, sf):
     """Nearest centroid of the hash-train part by squared distance, and the true label of the rest.

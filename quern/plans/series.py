@@ -126,6 +126,22 @@ def assemble_features(spark, sf):
     return e.select("vec_id", F.size("f").cast("long").alias("n_features"), F.round(F.aggregate("f", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
+@query("""WITH f AS (SELECT vec_id // 8 AS clip, row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) - 1 AS frame, label % 3 <> 0 AS p, embedding FROM embeddings), s AS (SELECT clip, max(frame) AS e FROM f GROUP BY clip HAVING count(*) > 1),
+q AS (SELECT clip, k, e, k * (e / 4.0) AS at_ FROM (SELECT *, unnest(range(5)) AS k FROM s)), w AS (SELECT clip, k, CAST(floor(at_) AS BIGINT) AS i, least(CAST(floor(at_) AS BIGINT) + 1, e) AS j, CAST(CAST(at_ - floor(at_) AS FLOAT) AS DOUBLE) AS a FROM q),
+x AS (SELECT w.clip, k, a, l.p AS lp, r.p AS rp, unnest(l.embedding[1:63]) AS lv, unnest(r.embedding[1:63]) AS rv FROM w JOIN f l ON l.clip = w.clip AND l.frame = i JOIN f r ON r.clip = w.clip AND r.frame = j)
+SELECT clip, k, 64 AS n_features, round(sum(CASE WHEN lp AND rp THEN lv * (1 - a) + rv * a WHEN a >= 0.5 THEN rv ELSE lv END) + max(CASE WHEN (lp AND rp) OR CASE WHEN a >= 0.5 THEN rp ELSE lp END THEN 1 ELSE 0 END), 3) AS total FROM x GROUP BY clip, k""")
+def window_features(spark, sf):
+    """Eight vectors a clip as frames of one hand (21 landmarks), assembled on five rows over the whole clip."""
+    e = table(spark, sf, "embeddings").withColumn("clip", F.floor(F.col("vec_id") / 8))
+    at = (F.row_number().over(Window.partitionBy("clip").orderBy("vec_id")) - 1).cast("long")
+    flags = ar.pack_flags(F.col("label") % 3 != 0, F.col("label") % 3 != 0, F.lit(False))
+    f = e.select("clip", at.alias("frame"), F.transform(F.slice("embedding", 1, 63), lambda v: v.cast("double")).alias("left_hand"), flags.alias("left_hand_flags"))
+    spans = f.groupBy("clip").agg(F.lit(0).cast("long").alias("start"), F.max("frame").alias("end")).filter("end > 0")
+    x = sequences.window_features(f, spans, ["left_hand"], 5)
+    total = F.aggregate("features", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return x.select("clip", F.col("k").cast("long").alias("k"), F.size("features").cast("long").alias("n_features"), F.round(total, 3).alias("total"))
+
+
 @query(f"WITH {_CLIPS}, n AS (SELECT clip, count(*) AS active_frames FROM fr WHERE hand GROUP BY clip) SELECT clip, active_frames, CASE WHEN active_frames < 30 THEN '<30' WHEN active_frames < 45 THEN '30-44' WHEN active_frames < 60 THEN '45-59' ELSE '>=60' END AS active_bin, active_frames < 30 AS short_active_interval FROM n")
 def interval_bins(spark, sf):
     n = clips(spark, sf).filter("hand").groupBy("clip").agg(F.count(F.lit(1)).alias("active_frames"))
