@@ -169,7 +169,10 @@ def word_rule(col):
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and the row key (k1, k2): equal for rows with equal id and text, else different."""
+    """doc_id, text and the row key (k1, k2): equal for rows with equal id and text, else different.
+
+    Here as in all operators of this package ids are whole numbers; text that is no number in an id column fails.
+    """
     out = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     return out.withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))})
 

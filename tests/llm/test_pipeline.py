@@ -49,6 +49,35 @@ def test_stages_decide_as_brute_force_does(spark, tmp_path):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
+def write(spark, d, docs, labels, items):
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+
+
+def test_an_empty_folder_gives_an_empty_result(spark, tmp_path):
+    write(spark, tmp_path, [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_ids_repeated_rows_and_blank_texts_in_every_stage(spark, tmp_path):
+    same = prose(1, 60)
+    docs = [(None, prose(2, 60)), (None, prose(2, 60)), (None, None), (None, ""), (1, same), (1, same), (2, same + " more words"), (None, same), (3, None), (4, "  "), (5, prose(5, 3000))]
+    write(spark, tmp_path, docs, [(1, None, None), (None, 1, 1), (2, 1, 0), (5, 0, 0)], [(None, None), (1, prose(9, 12))])
+    rows, sf = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    want = [
+        docs,
+        [(None, prose(2, 60)), (1, same), (2, same + " more words"), (3, None), (4, "  "), (5, prose(5, 3000))],
+        [(None, prose(2, 60)), (1, same), (3, None), (4, "  "), (5, prose(5, 3000))],
+    ]
+    want.append(want[-1])
+    for (name, stage), left in zip(corpus_pipeline.STAGES, want):
+        rows = staged(stage(spark, rows, sf), "t")
+        assert sorted(((r.doc_id, r.text) for r in rows.collect()), key=str) == sorted(left, key=str), name
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    assert sorted({str(p.doc_id) for p in pieces}) == ["1", "3", "4", "5", "None"]
+
+
 def test_registered(spark):
     import __spark_entry__ as e
 
