@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import arrays, text
 from quern.functions.arrays import OBSERVED
-from quern.operators import convert, evalmetrics, experiment, graph, kernel, monitor, profile, quality, reconcile, sampling, sequences, timeseries, vocabulary
+from quern.operators import convert, evalmetrics, experiment, graph, kernel, monitor, profile, quality, reconcile, recurrent, sampling, sequences, timeseries, vocabulary
 from quern.sources import figures, readers, sinks
 from quern.streaming import resume
 
@@ -132,6 +132,18 @@ def run_experiment(spark, a):
     return sinks.read_widened(spark, f"{a.out}/results")
 
 
+@job("features", "out", "classes", "window", "model=lstm", "hidden=128", "epochs=50", "seed=42")
+def train_recurrent(spark, a):
+    """A recurrent model on (sample_id, split, label, features) rows; selected on validation, evaluated and appended."""
+    rows = spark.read.parquet(a.features)
+    fitted, result = recurrent.run(rows, a.model, int(a.classes), int(a.window), {"hidden": int(a.hidden), "epochs": int(a.epochs)}, int(a.seed))
+    recurrent.save(spark, f"{a.out}/{a.model}", fitted, {"experiment": a.model})
+    curves = {"train loss": [(h["epoch"], h["train_loss"]) for h in fitted.history], "val macro F1": [(h["epoch"], h["val_macro_f1"]) for h in fitted.history]}
+    sinks.write_text(spark, f"{a.out}/{a.model}.svg", figures.curves(curves, a.model))
+    sinks.append_widening(result, f"{a.out}/results")
+    return sinks.read_widened(spark, f"{a.out}/results")
+
+
 @job("manifest", "out", "per_class=2", "target=500", "seed=42")
 def select_sample(spark, a):
     """A sample over all classes for a first look, in seeded order, with its class counts."""

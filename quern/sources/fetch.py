@@ -81,12 +81,13 @@ def fetch_once(get: Callable[[str], bytes], path: str, want: str | None, retries
 
 
 def fetch_all(files: DataFrame, get: Callable[[str], bytes], retries: int = 4) -> DataFrame:
-    """One row per file (repo_path, sha256): outcome, size and hash. Files are streamed one at a time in each task."""
+    """One row per file (repo_path, sha256): outcome, size and hash. A task holds one file at a time and one small frame of outcomes per batch."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for path, want in zip(pdf["repo_path"], pdf["sha256"]):
-                yield pd.DataFrame([fetch_once(get, path, want if isinstance(want, str) else None, retries)]).astype({"size_bytes": "Int64", "sha256_match": "boolean"})
+            rows = [fetch_once(get, path, want if isinstance(want, str) else None, retries) for path, want in zip(pdf["repo_path"], pdf["sha256"])]
+            if rows:
+                yield pd.DataFrame(rows).astype({"size_bytes": "Int64", "sha256_match": "boolean"})
 
     return files.select("repo_path", "sha256").mapInPandas(work, _OUT)
 
