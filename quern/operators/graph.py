@@ -21,7 +21,7 @@ def cut(df: DataFrame) -> DataFrame:
 def _to_least(edges: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (u, v) with m, the least of u and its neighbours in edges: hubs of any degree are split by hot_join."""
     least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("_deg"))
-    return hot_join(rows, least, ["u"], "_deg", least=256)
+    return hot_join(rows, least, ["u"], "_deg", least=64)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
