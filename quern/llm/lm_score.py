@@ -211,7 +211,7 @@ def hot_contexts(texts: DataFrame, share: int) -> np.ndarray:
         trim()
 
     found = heavy(staged(texts.mapInArrow(work, "key long, n long, total long"), "kn-tokens"), share)
-    return np.sort(np.array([BOS, *np.array([r.key for r in found.select("key").collect()], np.int64).view(np.uint64)], np.uint64))
+    return np.sort(np.append(found.select("key").toArrow().column("key").to_numpy().view(np.uint64), BOS))
 
 
 def train(rows: DataFrame, text_col: str = "text") -> KneserNey:

@@ -275,10 +275,10 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     pivot = F.min_by("cid", F.xxhash64("cid", F.col("band") % PIVOTS)).alias("pivot")
     pivots = keys.groupBy("key").agg(pivot, F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("_w", F.col("size"))
     members = staged(hot_join(keys.select("key", "cid"), staged(pivots, "pivots"), ["key"], "_w"), "members")
-    # Texts of candidates only; one plan at every size. Rows that repeat id and text share a key: any stands for its class.
-    candidates = members.select("cid").distinct().join(classes.select("cid", "k1", "k2", "sig"), "cid")
-    texts = keyed(docs, id_col, text_col).select("k1", "k2", "text").join(candidates.hint("merge"), ["k1", "k2"])
-    texts = staged(texts.select("cid", "sig", "text"), "candidates")
+    # Texts of candidates only; one plan at every size. Rows that repeat id and text share a key: one stands for its class.
+    candidates = staged(members.select("cid").distinct().join(classes.select("cid", "k1", "k2", "sig", "n_rows"), "cid"), "candidates")
+    texts = hot_join(keyed(docs, id_col, text_col).select("k1", "k2", "text"), candidates, ["k1", "k2"], "n_rows", merge=True)
+    texts = staged(texts.dropDuplicates(["k1", "k2"]).select("cid", "sig", "text"), "texts")
 
     def read_sig(col):
         return [np.frombuffer(x, np.uint16) for x in col.to_pylist()]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import Words, hash_words, heavy, keyed, mix64, ngram_hashes, reducers, sliding_min, small_batches, staged, text_buffer, trim
+from quern.operators.skew import hot_join
 
 WINDOW, GRAM = 35, 4
 #: Bytes of distinct strings that a map task folds before it sends them; words looked at together.
@@ -95,7 +96,7 @@ def frequent_slots(texts: DataFrame, gram: int, share: int) -> np.ndarray:
         trim()
 
     found = heavy(staged(texts.select("text").mapInArrow(work, "key long, n long, total long"), "grams"), share)
-    return np.array(sorted(r.key for r in found.select("key").collect()), np.int64)
+    return np.sort(found.select("key").toArrow().column("key").to_numpy())
 
 
 class _Folder:
@@ -287,8 +288,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     repeat. Other columns are ignored.
     """
     found = repeated_stretches(docs, window, gram, id_col, text_col)
-    found = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("cut"))
-    rows = keyed(docs, id_col, text_col).join(found, ["k1", "k2"], "left").select("doc_id", "text", "cut.s", "cut.e")
+    found = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("cut"), F.count(F.lit(1)).alias("_n"))
+    # A row that is there k times gives each stretch k times.
+    found = staged(found.select("k1", "k2", "cut", F.ceil(F.col("_n") / F.size("cut")).alias("_n")), "stretches")
+    rows = hot_join(keyed(docs, id_col, text_col), found, ["k1", "k2"], "_n", "left", merge=True).select("doc_id", "text", "cut.s", "cut.e")
 
     def keep(batches):
         for b in batches:

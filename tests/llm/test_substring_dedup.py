@@ -96,5 +96,12 @@ def test_a_common_word_group_draws_few_windows_and_changes_no_result(docs_of):
     assert run(d) == sorted(brute(rows, 35), key=key)
 
 
+def test_a_row_repeated_so_often_that_its_key_is_hot(docs_of):
+    rows = [(i, prose(i, 60)) for i in range(20)] + [(3, prose(3, 60))] * 2500 + [(30, prose(4, 60))]
+    want = [(i, n, r, h) for i, n, r, h in brute(rows[:21] + rows[-1:], 35)]
+    by = {i: x for i, *x in want}
+    assert run(docs_of(rows, 5)) == sorted(((i, *by[i]) for i, _ in rows), key=key)
+
+
 def test_empty_table(docs_of):
     assert run(docs_of([])) == []
