@@ -75,3 +75,22 @@ def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(token_count, "CACHE", 5)
     c = UnigramCounter([("▁", -1.0), ("a", -1.0)])
     assert c.text(" ".join("a" * k for k in range(1, 30)))[0] == sum(k + 1 for k in range(1, 30)) and len(c.cache) <= 5
+
+
+def test_a_text_without_spaces_needs_memory_for_the_longest_piece_only():
+    import tracemalloc
+
+    c = sentencepiece_counter(PATH)
+    x = "▁" + "".join(random.Random(4).choice("abcdefgh漢é") for _ in range(60_000))
+    tracemalloc.start()
+    n, _ = c.segment(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 10_000 and peak < 5 << 20
+    assert n == reference(whole_vocabulary(), 0, True)(x[1:]) and not c.cache.get(x[1:])
+
+
+def test_another_vocabulary_may_be_given(docs_of):
+    rows = [(1, "ab ab"), (2, None), (2, None), (3, "é"), (None, "ab")]
+    got = sorted((str(r.doc_id), r.n_tokens) for r in token_counts(docs_of(rows), vocabulary=[("▁", -1.0), ("a", -2.0), ("b", -2.0), ("ab", -1.0)]).collect())
+    assert got == [("1", 4), ("2", 0), ("2", 0), ("3", 3), ("None", 2)]
