@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import after_first_slash, batch_id, tie_break
+from quern.operators.profile import percentiles
 from quern.operators.sampling import global_rank
 
 SPLITS = ("train", "val", "test")
@@ -109,11 +110,11 @@ def reason_counts(f: DataFrame, reasons: str = "reasons") -> DataFrame:
 
 def summary_counts(f: DataFrame) -> DataFrame:
     sums = ["clips", "unique_clips", "units", "cross_label_clips", "augmented_clips", "within_dup_clips"] + [f"{s}_{k}" for s in SPLITS for k in ("clips", "units")]
-    return f.agg(
-        F.count(F.lit(1)).alias("classes"), *[F.sum(c).alias(c) for c in sums],
-        F.min("clips").alias("min_clips"), F.median("clips").alias("median_clips"), F.max("clips").alias("max_clips"),
+    got = f.agg(
+        F.count(F.lit(1)).alias("classes"), *[F.sum(c).alias(c) for c in sums], F.min("clips").alias("min_clips"), F.max("clips").alias("max_clips"),
         (F.max("clips") / F.min("clips")).alias("class_imbalance_ratio"), F.min("val_units").alias("min_val_units"), F.min("test_units").alias("min_test_units"),
     )
+    return got.join(F.broadcast(percentiles(f, F.col("clips"), {"median_clips": 0.5})), how="left")  # one row each
 
 
 def label_mapping(words: DataFrame, word: str = "word") -> DataFrame:

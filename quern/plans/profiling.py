@@ -81,7 +81,8 @@ def spearman(spark, sf):
 @query("SELECT event_type AS value, count(*) AS accepted, count_if(value < 5) AS short, round(100.0 * count_if(value < 5) / count(*), 6) AS short_pct, round(min(value), 6) AS least, round(median(value), 6) AS mid FROM events GROUP BY 1")
 def rate_table(spark, sf):
     e = table(spark, sf, "events")
-    more = e.groupBy(F.col("event_type").alias("value")).agg(r6(F.min("value")).alias("least"), r6(F.median("value")).alias("mid"))
+    mid = profile.percentiles(e, F.col("value"), {"mid": 0.5}, ["event_type"]).select(F.col("event_type").alias("value"), r6("mid").alias("mid"))
+    more = e.groupBy(F.col("event_type").alias("value")).agg(r6(F.min("value")).alias("least")).join(mid, "value")
     return profile.rate_table(e, "event_type", F.col("value") < 5).withColumn("short_pct", r6("short_pct")).join(more, "value")
 
 

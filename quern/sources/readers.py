@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.reconcile import latest
+from quern.operators.skew import sums_before
 
 METADATA = T.StructType([T.StructField("word", T.StringType()), T.StructField("videos", T.StringType())])
 FILES = T.StructType([T.StructField(n, T.LongType() if n == "size_bytes" else T.StringType()) for n in ("repo_path", "folder", "filename", "size_bytes", "sha256")])
@@ -53,7 +54,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     # One row per input split turns the split-wise numbers into one running number.
     pid = F.shiftright("_m", 33)
     base = df.groupBy(pid.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    base = base.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = sums_before(base, "_p", "_n", "_b")
     df = df.withColumn("_p", pid).join(F.broadcast(base.select("_p", "_b")), "_p")
     row = F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     return df.select(row.alias("csv_row"), "word", F.col("videos").alias("filename"))
