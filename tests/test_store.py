@@ -70,6 +70,12 @@ def test_store_jobs(spark, store, tmp_path, capsys):
     assert main(["verify-store", "--store", f"{out}/store", "--splits", f"{d}/splits", "--out", f"{out}/verified"]) == 0
     assert main(["build-mapping", "--splits", f"{d}/splits", "--out", f"{out}/mapping.json"]) == 0
     assert main(["prepare-store", "--store", f"{out}/store", "--splits", f"{d}/splits", "--out", f"{out}/prepared", "--windows", "30"]) == 0
+    assert main(["build-index", "--clips", f"{out}/store/clips", "--splits", f"{d}/splits", "--out", f"{out}/index"]) == 0
+    assert spark.read.parquet(f"{out}/index/index").count() == 12
+    words = json.dumps({"name": "one", "num_classes": 1, "vocabulary_sha256": hashlib.sha256(b"w0").hexdigest(), "classes": [{"index": 0, "class": "w0"}]})
+    sinks.write_vocabulary(spark, f"{out}/one.json", words, sinks.read_lock(spark, f"{d}/splits", "v1")["sha256"])
+    assert main(["prepare-store", "--store", f"{out}/store", "--splits", f"{d}/splits", "--out", f"{out}/one", "--windows", "5", "--vocabulary", f"{out}/one.json"]) == 0
+    assert spark.read.parquet(f"{out}/one/features_w5").agg(F.count(F.lit(1)), F.max("label")).first()[:] == (6, 0)
     x = spark.read.parquet(f"{out}/prepared/features_w30")
     assert x.count() == 12 and x.select(F.min(F.size("features")), F.max(F.size("features"))).first()[:] == (30 * ar.feature_dim(GROUPS),) * 2
     assert main(["sequence-report", "--index", f"{out}/prepared/index", "--out", f"{out}/sequences"]) == 0
