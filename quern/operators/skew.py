@@ -42,7 +42,9 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how:
         left = left.join(F.broadcast(hot), on, "left")
         null = null | F.col("_hot").isNotNull()
     left = left.withColumn("_s", F.when(null, spread).otherwise(F.lit(0)).cast("long"))
-    cold = right.filter(F.col(weight) <= limit).select(*on, F.lit(0).cast("long").alias("_s"), row.alias("_cold"))
+    # Always 0, but no constant to the optimizer, which would take _s out of the keys and leave hot rows together.
+    zero = F.pmod(F.xxhash64(*on), F.lit(1)).cast("long")
+    cold = right.filter(F.col(weight) <= limit).select(*on, zero.alias("_s"), row.alias("_cold"))
     out = left.join(ask(cold), [*on, "_s"], "left")
     got = F.coalesce("_hot", "_cold") if "_hot" in left.columns else F.col("_cold")
     if how == "inner":

@@ -1,6 +1,7 @@
 """Components, joins with hot keys and running sums against plain Python."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -38,6 +39,14 @@ def test_hot_and_null_keys_join_as_a_plain_join_does(spark):
             assert sorted(map(tuple, got.collect()), key=str) == want
 
 
+def test_hot_rows_are_dealt_by_their_share_too(spark):
+    left = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
+    for how in ("inner", "left"):
+        plan = hot_join(left, right, ["k"], "n", how, least=100, merge=True)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(k#\d+L, _s#\d+L", plan), plan
+
+
 def test_running_sums_are_those_of_a_loop(spark):
     total = 0
     for r in sums_before(spark.range(10_000).select(F.col("id").alias("k"), (F.col("id") % 5).alias("x")), "k", "x", "b").orderBy("k").collect():
