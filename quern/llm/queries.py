@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, minhash_dedup, packing, substring_dedup, token_count, toxicity
+from quern.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, minhash_dedup, packing, resample, substring_dedup, token_count, toxicity
 from quern.llm.common import table
 
 
@@ -47,11 +47,16 @@ def op10_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
+def op13_importance_resample(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words", "k2")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_token_count, op3_lm_score, op4_toxicity, op5_packing,
         op6_decontaminate, op7_line_dedup, op8_exact_dedup, op9_license_scan, op10_minhash_dedup,
+        op13_importance_resample,
     )
 }
 ORACLE = {
@@ -60,4 +65,5 @@ ORACLE = {
     "op7_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op10_minhash_dedup": minhash_dedup.SQL,
+    "op13_importance_resample": resample.SQL,
 }
