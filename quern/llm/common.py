@@ -220,3 +220,14 @@ def load_tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: CRC-32 (polynomial 0xEDB88320) of a word in SQL: the byte table by its rule, then one step a byte.
+CRC_TABLE = """tab AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b))"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string; a row of tab (column t) must be in scope."""
+    byte = f"instr('123456789ABCDEF', hex({text})[2 * i - 1]) * 16 + instr('123456789ABCDEF', hex({text})[2 * i])"
+    steps = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ({byte})::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, minhash_dedup, packing, resample, substring_dedup, token_count, toxicity
+from quern.llm import conversation_repair, decontaminate, exact_dedup, license_scan, line_dedup, lm_score, minhash_dedup, packing, resample, substring_dedup, token_count, toxicity
 from quern.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op10_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
 
+def op11_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(rows), rows)
+
+
 def op13_importance_resample(spark, sf_dir):
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words", "k2")
 
@@ -56,7 +61,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup, op2_token_count, op3_lm_score, op4_toxicity, op5_packing,
         op6_decontaminate, op7_line_dedup, op8_exact_dedup, op9_license_scan, op10_minhash_dedup,
-        op13_importance_resample,
+        op11_conversation_repair, op13_importance_resample,
     )
 }
 ORACLE = {
@@ -65,5 +70,6 @@ ORACLE = {
     "op7_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op10_minhash_dedup": minhash_dedup.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
     "op13_importance_resample": resample.SQL,
 }

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import keyed, partitions, small_batches, staged, trim
+from quern.llm.common import CRC_TABLE, crc_sql, keyed, partitions, small_batches, staged, trim
 from quern.operators.skew import hot_join
 
 #: Rows of a sorted run, of a merge range on average, of one repeated entry's piece; words a task remembers.
@@ -277,20 +277,9 @@ def draw_documents(docs: DataFrame, target: DataFrame, percent: int = 10, min_wo
     return hot_join(rows, d, ["_k1", "_k2"], "_n", merge=True).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
-#: CRC-32 (polynomial 0xEDB88320) of a word in SQL: the byte table by its rule, then one step a byte.
-_CRC = """tab AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b))"""
-
-
-def crc_sql(text: str) -> str:
-    """SQL for the unsigned CRC-32 of a string; a row of tab (column t) must be in scope."""
-    byte = f"instr('123456789ABCDEF', hex({text})[2 * i - 1]) * 16 + instr('123456789ABCDEF', hex({text})[2 * i])"
-    steps = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ({byte})::BIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
-
-
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = f"""
-WITH {_CRC},
+WITH {CRC_TABLE},
 d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
 dw AS (SELECT rid, unnest(ws) AS w FROM d), bw AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
 b AS (SELECT w, {crc_sql("w")} % 10000 AS b FROM (SELECT w FROM dw UNION SELECT w FROM bw), tab),
