@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import conversation_repair, decontaminate, exact_dedup, license_scan, line_dedup, lm_score, minhash_dedup, packing, resample, substring_dedup, token_count, toxicity
+from quern.llm import conversation_repair, decontaminate, exact_dedup, license_scan, line_dedup, lm_score, minhash_dedup, packing, resample, substring_dedup, token_count, toxicity, vector_search
 from quern.llm.common import table
 
 
@@ -52,6 +52,11 @@ def op11_conversation_repair(spark, sf_dir):
     return conversation_repair.report(conversation_repair.damage(rows), rows)
 
 
+def op12_nearest_neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return vector_search.search(vector_search.build_index(rows), rows.filter("vec_id % 100 = 0"))
+
+
 def op13_importance_resample(spark, sf_dir):
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words", "k2")
 
@@ -61,7 +66,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup, op2_token_count, op3_lm_score, op4_toxicity, op5_packing,
         op6_decontaminate, op7_line_dedup, op8_exact_dedup, op9_license_scan, op10_minhash_dedup,
-        op11_conversation_repair, op13_importance_resample,
+        op11_conversation_repair, op12_nearest_neighbours, op13_importance_resample,
     )
 }
 ORACLE = {
