@@ -110,7 +110,7 @@ class _Folder:
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.strings: list[bytes] = []
-        self.bytes, self.mins, self.where = 0, [], []
+        self.bytes, self.places, self.mins, self.where = 0, 0, [], []
 
     def add(self, w: Words, k1: np.ndarray, k2: np.ndarray) -> Iterator[pa.RecordBatch]:
         n, h = self.window, w.hashes()
@@ -144,7 +144,9 @@ class _Folder:
             d = doc[first]
             word = lo + first - w.first[d]
             self.where.append((at, k1[d], k2[d], word, word + last - first + n))
-            if self.bytes > FOLD_BYTES:
+            self.places += at.size
+            # Places grow for strings already held too: 40 bytes each.
+            if self.bytes > FOLD_BYTES or self.places * 40 > FOLD_BYTES:
                 yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:

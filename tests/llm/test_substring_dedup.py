@@ -105,3 +105,21 @@ def test_a_row_repeated_so_often_that_its_key_is_hot(docs_of):
 
 def test_empty_table(docs_of):
     assert run(docs_of([])) == []
+
+
+def test_places_of_a_repeated_text_stay_bounded(monkeypatch):
+    """A task full of copies holds few strings but many places: it flushes by either."""
+    import numpy as np
+
+    from quern.llm import substring_dedup as m
+    from quern.llm.common import Words
+
+    monkeypatch.setattr(m, "FOLD_BYTES", 200_000)
+    data = " ".join(f"w{i}" for i in range(1000)).encode()
+    folder = m._Folder(35, 12, 4)
+    most = flushes = 0
+    for i in range(300):
+        w = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        flushes += len(list(folder.add(w, np.array([i]), np.array([i]))))
+        most = max(most, sum(sum(x.nbytes for x in part) for part in folder.where))
+    assert flushes > 5 and most <= 400_000
