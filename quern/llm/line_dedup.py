@@ -69,11 +69,12 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     # Places and constant tokens name the template; sums of fixed size, so equal lines fold before the shuffle.
     seen = F.bit_xor(F.when(F.col("_k").isNotNull(), F.xxhash64("p", "t")).otherwise(F.xxhash64("p")))
     parsed = tokens.groupBy("leaf", "mh").agg(seen.alias("_t"), (F.count("_k") / F.count(F.lit(1))).alias("_share"), F.max("n").alias("n"))
-    parsed = staged(parsed.filter(F.col("_share") >= constant).select("leaf", "mh", F.xxhash64("leaf", "_t").alias("tpl"), "n"), "parsed")
-    per_doc = hot_join(once, parsed, ["leaf", "mh"], "n", merge=True).groupBy("tpl", "k1", "k2").agg(F.array_sort(F.collect_list("at")).alias("ats"), F.max("n_rows").alias("n_rows"))
+    parsed = staged(parsed.filter(F.col("_share") >= constant).select("leaf", "mh", "_t", "n"), "parsed")
+    per_doc = hot_join(once, parsed, ["leaf", "mh"], "n", merge=True).groupBy("leaf", "_t", "k1", "k2").agg(F.array_sort(F.collect_list("at")).alias("ats"), F.max("n_rows").alias("n_rows"))
     per_doc = staged(per_doc, "templates")
-    count = per_doc.groupBy("tpl").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("k1", "k2")).alias("_first")).filter(F.col("_n") >= min_docs)
-    out = hot_join(per_doc, staged(count, "recurring"), ["tpl"], "_n", merge=True)
+    # A template is (leaf, hash of its places and constants): 128 bits.
+    count = per_doc.groupBy("leaf", "_t").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("k1", "k2")).alias("_first")).filter(F.col("_n") >= min_docs)
+    out = hot_join(per_doc, staged(count, "recurring"), ["leaf", "_t"], "_n", merge=True)
     first = (F.col("k1") == F.col("_first.k1")) & (F.col("k2") == F.col("_first.k2"))
     ats = F.when(first, F.slice("ats", 2, F.greatest(F.size("ats") - 1, F.lit(0)))).otherwise(F.col("ats"))
     out = out.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list(ats))).alias("drop"), F.max("n_rows").alias("n_rows"))
@@ -92,9 +93,12 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MI
     rows = keyed(docs, id_col, text_col)
     drop = staged(recurring_lines(docs, depth, min_docs, constant, id_col, text_col), "drop")
     rows = hot_join(rows, drop, ["k1", "k2"], "n_rows", "left", merge=True)
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drop", i)), "\n")
+    # Which lines stay, in time linear in the lines: a run of them before each dropped place and after the last.
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    cuts = F.zip_with(F.concat(F.array(F.lit(-1)), "drop"), F.concat("drop", F.array(n_lines)), lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a - 1), F.array(F.lit(False))))
+    kept = F.array_join(F.zip_with(F.split("text", "\n"), F.flatten(cuts), lambda line, stays: F.when(stays, line)), "\n")
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
-    rows = rows.select("doc_id", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"), text.alias("text"))
+    rows = rows.select("doc_id", F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"), text.alias("text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")
 
 

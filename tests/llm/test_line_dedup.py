@@ -125,3 +125,23 @@ def test_sql_gives_the_same_rows(spark, docs_of):
     documents = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})  # noqa: F841
     want = sorted(duckdb.sql(SQL).fetchall(), key=str)
     assert sorted(map(tuple, drop_recurring_lines(docs_of(rows)).drop("text").collect()), key=str) == want
+
+
+def test_the_shuffle_of_many_leaves_gives_the_same(docs_of, monkeypatch):
+    from quern.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "MAX_LEAVES", -1)
+    rows = boilerplate() + corpus()
+    assert check(rows, docs_of(rows)) >= 2
+
+
+def test_a_text_of_very_many_lines_takes_linear_time(docs_of):
+    """One text repeats its line 400,000 times; removing lines by a search for each would take hours."""
+    import time
+
+    line = "the same long line of this one text again"
+    rows = [(i, f"{prose(i, 9)}\n{line}") for i in range(5)] + [(50, "\n".join([line] * 400_000))]
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, len(r.text)) for r in drop_recurring_lines(docs_of(rows)).collect()}
+    assert got[50] == (400_000, 400_000, 0) and got[3][1] == 1 and got[0][1] == 0
+    assert time.time() - began < 120
