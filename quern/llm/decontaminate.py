@@ -4,8 +4,11 @@ The normalised n-grams of the test items form a hash set. Training texts are fir
 holds a whole block of b = ceil(m / 2) words that starts at a multiple of b, so each text's aligned blocks (one for
 each b words) are looked up, as 64-bit hashes, in the broadcast set of all blocks of the items' windows. Only texts
 with such a block are split into windows, which are looked up as whole strings: a hit is verified by the join
-itself and no hash can mislead. Both sets are broadcast behind checks of their rows and bytes; beyond them the same
-joins shuffle. What is shuffled of texts without hits is one narrow row.
+itself and no hash can mislead. Both sets are broadcast behind checks of their rows and bytes; beyond them hot_join
+shuffles, with hot and null keys spread. What is shuffled of texts without hits is one narrow row.
+
+Items that share a window are folded to one set per window before texts meet them, and texts that hit the same sets
+share one answer, so a passage that many texts and many items hold makes rows for texts plus items, not their product.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import keyed, staged
+from quern.operators.skew import hot_join
 
 #: Everything but digits, letters and non-ASCII characters separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: A larger set of windows, blocks or keys is joined by a shuffle instead of a broadcast.
 MAX_WINDOWS, MAX_BYTES, MAX_KEYS = 1_000_000, 100 << 20, 2_000_000
+#: Bytes counted for a row of hashes or keys.
+NARROW = 32
 
 
 def lower_ascii(text: Column) -> Column:
@@ -66,16 +72,24 @@ def item_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id", tex
     return items.select("item", F.least(F.size("w"), F.lit(n)).alias("len"), F.explode(cut).alias("window")).distinct()
 
 
-def _small(df: DataFrame, rows: int, size: Column | None = None) -> DataFrame:
-    """df, broadcast if it has at most rows rows (and MAX_BYTES bytes)."""
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0)).alias("b")).first()
-    return F.broadcast(df) if got.n <= rows and got.b <= MAX_BYTES else df
+def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, size: Column | None = None) -> DataFrame:
+    """left joined (inner or left) with right, one row per key: broadcast if right has at most rows rows and MAX_BYTES
+    bytes, else by hot_join, for which left's rows of each key of right are counted."""
+    got = right.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size if size is not None else F.lit(NARROW)), F.lit(0)).alias("b")).first()
+    if got.n <= rows and got.b <= MAX_BYTES:
+        return left.join(F.broadcast(right), on, how)
+    count = left.select(*on).groupBy(*on).agg(F.count(F.lit(1)).alias("_weight"))
+    return hot_join(left, staged(right.join(count, on), "weighted"), on, "_weight", how)
 
 
 def _scan(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of docs (doc_id, k1, k2, n_words), hits (k1, k2, pos from 0, len, window) and the items' windows."""
+    """Rows of docs (doc_id, k1, k2, n_words), hits (k1, k2, pos from 0, len, set) and the sets of items (set, item)."""
     items = staged(item_windows(benchmark, n), "windows")
-    found = items.select("window", "len").distinct()
+    found = items.groupBy("window", "len").agg(F.array_sort(F.collect_set("item")).alias("_items"))
+    of = F.struct(F.xxhash64("_items").alias("a"), F.xxhash64(F.lit(6), "_items").alias("b"), F.size("_items").alias("n"))
+    found = staged(found.withColumn("set", of), "window-sets")
+    sets = found.groupBy("set").agg(F.first("_items").alias("_items")).select("set", F.explode("_items").alias("item"))
+    found = found.select("window", "len", "set")
     lens = sorted(r["len"] for r in found.select("len").distinct().collect())  # at most n
     blocks = sorted({_block(m) for m in lens})
     set_of = F.concat(*[F.when(F.col("len") == m, _hashes(F.split("window", " "), _block(m), 1)).otherwise(F.array().cast("array<long>")) for m in lens] or [F.array().cast("array<long>")])
@@ -84,16 +98,16 @@ def _scan(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col:
     rows = rows.withColumns({"_rid": F.monotonically_increasing_id(), "n_words": F.size("_w")})
     cut = F.concat(*[_hashes(F.col("_w"), b, b) for b in blocks] or [F.array().cast("array<long>")])
     rows = rows.select("_rid", "doc_id", "k1", "k2", "n_words", F.posexplode_outer(cut).alias("_at", "_h"))
-    rows = rows.join(_small(known, MAX_WINDOWS * n), "_h", "left").filter("_hit or _at is null or _at = 0")
+    rows = _meet(rows, known, ["_h"], "left", MAX_KEYS).filter("_hit or _at is null or _at = 0")
     base = rows.groupBy("_rid").agg(*[F.first(c).alias(c) for c in ("doc_id", "k1", "k2", "n_words")], F.bool_or(F.coalesce("_hit", F.lit(False))).alias("_hit"))
     base = staged(base.drop("_rid"), "sifted")
     some = base.filter("_hit").select("k1", "k2").distinct()
-    texts = keyed(docs, id_col, text_col).select("k1", "k2", "text").join(_small(some, MAX_KEYS), ["k1", "k2"], "left_semi")
+    texts = _meet(keyed(docs, id_col, text_col).select("k1", "k2", "text"), some, ["k1", "k2"], "inner", MAX_KEYS)
     texts = texts.select("k1", "k2", words_of(F.col("text")).alias("_w"))
     win = F.concat(*[_placed(_windows(F.col("_w"), m), m) for m in lens] or [F.array().cast("array<struct<pos:int,len:int,window:string>>")])
     hits = texts.select("k1", "k2", F.explode(win).alias("_x")).select("k1", "k2", "_x.*")
-    hits = hits.join(_small(found, MAX_WINDOWS, F.octet_length("window")), ["window", "len"], "left_semi").distinct()
-    return base.select("doc_id", "k1", "k2", "n_words"), staged(hits.select("k1", "k2", "pos", "len", "window"), "hits"), items
+    hits = _meet(hits, found, ["window", "len"], "inner", MAX_WINDOWS, NARROW + F.octet_length("window"))
+    return base.select("doc_id", "k1", "k2", "n_words"), staged(hits.select("k1", "k2", "pos", "len", "set").distinct(), "hits"), sets
 
 
 def _spans(hits: DataFrame) -> DataFrame:
@@ -108,7 +122,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     is everything where the benchmark is empty. Repeated rows are reported once each. An empty table gives an empty
     result. Other columns are ignored.
     """
-    rows, hits, items = _scan(docs, benchmark, n, id_col, text_col)
+    rows, hits, sets = _scan(docs, benchmark, n, id_col, text_col)
     walk = F.aggregate(
         "hits", F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
         lambda a, h: F.struct(
@@ -116,9 +130,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
             (a["hit"] + h["pos"] + h["len"] - F.least(F.greatest(a["end"], h["pos"]), h["pos"] + h["len"])).alias("hit"),
         ),
     )
-    of = hits.select("k1", "k2", "window", "len").distinct().join(items, ["window", "len"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    of = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("set")).alias("sets"))
     found = staged(_spans(hits).select("k1", "k2", walk["hit"].cast("long").alias("_n")).join(of, ["k1", "k2"]), "contaminated")
-    rows = rows.join(_small(found, MAX_KEYS, 16 * F.size("items")), ["k1", "k2"], "left")
+    # One answer for all texts with the same sets; their items are listed once.
+    answers = found.groupBy("sets").agg(F.count(F.lit(1)).alias("_texts"))
+    listed = answers.select("sets", F.explode("sets").alias("set")).join(sets, "set").groupBy("sets").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    answers = staged(answers.join(listed, "sets"), "answers")
+    found = hot_join(found, answers, ["sets"], "_texts").drop("sets")
+    rows = _meet(rows, found, ["k1", "k2"], "left", MAX_KEYS, NARROW + 16 * F.size("items"))
     rows = rows.withColumns({"_n": F.coalesce("_n", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return rows.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("_n").alias("n_hit"),
@@ -136,15 +155,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     hits = _spans(_scan(docs, benchmark, n, id_col, text_col)[1])
     hits = hits.select(F.col("k1").alias("_h1"), F.col("k2").alias("_h2"), *([F.col("hits").alias("_hits")] if mode == "spans" else []))
     hits = staged(hits, "hit-documents")
-    hits = _small(hits, MAX_KEYS, 16 * F.size("_hits") if mode == "spans" else None)
     key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
     kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("_k1"), key.alias("_k2"))
-    same = (kept["_k1"] == hits["_h1"]) & (kept["_k2"] == hits["_h2"])
-    if mode == "documents":
-        return kept.join(hits, same, "left_anti").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
-    if mode != "spans":
+    hits = hits.withColumnsRenamed({"_h1": "_k1", "_h2": "_k2"})
+    if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode}")
-    kept = kept.join(hits, same, "left")
+    if mode == "documents":
+        hits = hits.withColumn("_hits", F.lit(True))
+    kept = _meet(kept, hits, ["_k1", "_k2"], "left", MAX_KEYS, NARROW + 16 * F.size("_hits") if mode == "spans" else None)
+    if mode == "documents":
+        return kept.filter(F.col("_hits").isNull()).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
     text = F.col(f"_row.`{text_col}`")
     word = SEPARATORS.replace("[", "[^", 1) + "+"
     pieces = F.regexp_extract_all(text, F.lit(f"{SEPARATORS}*{word}"), F.lit(0))

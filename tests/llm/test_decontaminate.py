@@ -87,3 +87,20 @@ def test_every_window_at_every_place_and_length(spark, docs_of):
         got = dc.contamination(docs_of(rows), bench(spark, some)).collect()
         got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got]
         assert sorted(got, key=key) == sorted(brute(rows, some), key=key)
+
+
+def test_passages_that_many_texts_and_many_items_share(spark, docs_of, monkeypatch):
+    """Rows after the join follow texts plus items: each text has one set, each set its items once."""
+    passage = prose(50, 14)
+    items = [(k, f"{passage} {prose(k, 3)}") for k in range(200)] + [(500, prose(51, 12)), (501, prose(51, 12)), (None, prose(52, 11))]
+    rows = [(1000 + i, f"{prose(i, 20)} {passage} {prose(i + 7, 5)}") for i in range(300)] + [(1, prose(51, 12)), (2, prose(53, 30)), (3, None)] + [(4, prose(52, 11))] * 50
+    want = sorted(brute(rows, items), key=key)
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted(map(tuple, dc.contamination(docs_of(rows), bench(spark, items)).select(*columns).collect()), key=key) == want
+    _, hits, sets = dc._scan(docs_of(rows), bench(spark, items), 10, "doc_id", "text")
+    assert hits.count() < 20 * len(rows) and sets.count() < 3 * len(items) and hits.select("set").distinct().count() < 2 * len(items)
+    monkeypatch.setattr(dc, "MAX_WINDOWS", -1)
+    monkeypatch.setattr(dc, "MAX_KEYS", -1)
+    assert sorted(map(tuple, dc.contamination(docs_of(rows), bench(spark, items)).select(*columns).collect()), key=key) == want
+    left = dc.decontaminate(docs_of(rows), bench(spark, items))
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3]
