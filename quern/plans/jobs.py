@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import arrays, text
 from quern.functions.arrays import OBSERVED
 from quern.operators import convert, evalmetrics, experiment, graph, kernel, monitor, profile, quality, reconcile, recurrent, sampling, sequences, timeseries, vocabulary
-from quern.sources import figures, readers, sinks
+from quern.sources import commits, figures, readers, sinks
 from quern.streaming import resume
 
 JOBS: dict = {}
@@ -188,8 +188,8 @@ def select_benchmark(spark, a):
 @job("store", "timings", "out", "total=108616")
 def benchmark_report(spark, a):
     """Rejections, missing hands, runs and rates of an extraction run; timings: clip, total_s and its parts."""
-    clips, t = spark.read.parquet(f"{a.store}/clips"), spark.read.parquet(a.timings)
-    f = spark.read.parquet(f"{a.store}/frames")
+    clips, t = commits.table(spark, a.store, "clips"), spark.read.parquet(a.timings)
+    f = commits.table(spark, a.store, "frames")
     hand = lambda g: F.col(f"{g}_flags").bitwiseAND(F.lit(OBSERVED)) != 0
     gaps = timeseries.runs(f, ~(hand("left_hand") | hand("right_hand")))
     runs = gaps.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("len") <= 5).alias("up_to_5"), F.count_if(F.col("len").between(6, 15)).alias("up_to_15"), F.count_if(F.col("len") > 15).alias("longer"))
@@ -202,7 +202,7 @@ def benchmark_report(spark, a):
 @job("store", "out", "min_frames=30", "max_frac=0.3", "max_run=15")
 def reevaluate(spark, a):
     """Judge stored clips again, inside the active interval and over the whole clip, and compare both reasons."""
-    f, clips = spark.read.parquet(f"{a.store}/frames").drop("start", "end"), spark.read.parquet(f"{a.store}/clips")
+    f, clips = commits.table(spark, a.store, "frames").drop("start", "end"), commits.table(spark, a.store, "clips")
     hand = (F.col("left_hand_flags").bitwiseAND(F.lit(OBSERVED)) != 0) | (F.col("right_hand_flags").bitwiseAND(F.lit(OBSERVED)) != 0)
     v = timeseries.rejections(f, hand, int(a.min_frames), 3, float(a.max_frac), int(a.max_run))
     v = v.join(clips.select("clip", F.col("reason").alias("stored_reason")), "clip", "left")
@@ -229,7 +229,7 @@ def interval_audit(spark, a):
 def convert_store(spark, a):
     """A store of the first format to the packed one; judged again and checked against an earlier judgement."""
     expected = spark.read.parquet(a.expected) if a.expected else None
-    frames, clips = convert.convert(spark.read.parquet(f"{a.store}/frames"), spark.read.parquet(f"{a.store}/clips"), list(arrays.GROUPS), expected)
+    frames, clips = convert.convert(commits.table(spark, a.store, "frames"), commits.table(spark, a.store, "clips"), list(arrays.GROUPS), expected)
     sinks.save_table(clips, f"{a.out}/clips")
     sinks.save_table(frames, f"{a.out}/frames")
     return spark.read.parquet(f"{a.out}/clips").groupBy("reason").count()
@@ -258,10 +258,8 @@ def extract_shard(spark, a):
 @job("plan", "shards", "splits", "out", "version=v1")
 def merge_store(spark, a):
     """Union of the shards' stores, checked against the plan and the frozen split, then put into place."""
-    plan, folders = spark.read.parquet(a.plan).select(F.col("sample_id").alias("clip")), a.shards.split(",")
-    clips = sinks.merge_shards(spark, [f"{d}/clips" for d in folders], f"{a.out}/clips", "clip", plan)
-    frames = reduce(lambda x, y: x.unionByName(y), [spark.read.parquet(f"{d}/frames") for d in folders])
-    sinks.save_table(frames.drop("batch"), f"{a.out}/frames")
+    plan = spark.read.parquet(a.plan).select(F.col("sample_id").alias("clip"))
+    clips = sinks.merge_stores(spark, a.shards.split(","), a.out, plan)["clips"]
     frozen = sinks.read_frozen(spark, a.splits, a.version).select(F.col("sample_id").alias("clip"), "split")
     stats = clips.join(frozen, "clip", "left").groupBy("split").agg(F.count(F.lit(1)).alias("clips"), F.count_if(F.col("reason").isNull()).alias("accepted"))
     sinks.write_report(spark, f"{a.out}/report", "Merged store", {"by_split": stats, "reasons": clips.groupBy("reason").count()})
@@ -270,7 +268,7 @@ def merge_store(spark, a):
 
 def _store_checks(spark, store: str, frozen):
     """Checks of a packed store: records and frames agree, shapes, finite values, flags, intervals, split."""
-    clips, f = spark.read.parquet(f"{store}/clips"), spark.read.parquet(f"{store}/frames")
+    clips, f = commits.table(spark, store, "clips"), commits.table(spark, store, "frames")
     seen = f.select("clip").distinct()
     ok = clips.filter("reason is null")
     groups = [g for g in arrays.GROUPS if g in f.columns]
@@ -293,11 +291,11 @@ def _store_checks(spark, store: str, frozen):
 def verify_store(spark, a):
     """Every check of a packed store, its missing hands inside and outside the interval and its size."""
     frozen = sinks.read_frozen(spark, a.splits, a.version).select(F.col("sample_id").alias("clip"), "split")
-    f = spark.read.parquet(f"{a.store}/frames").withColumn("inside", F.col("frame").between(F.col("start"), F.col("end")))
+    f = commits.table(spark, a.store, "frames").withColumn("inside", F.col("frame").between(F.col("start"), F.col("end")))
     left, right = (arrays.has_flag(F.col(f"{g}_flags"), OBSERVED) for g in ("left_hand", "right_hand"))
     masks = f.groupBy("inside").agg(F.count(F.lit(1)).alias("frames"), F.count_if(~left & ~right).alias("both_missing"), F.count_if(left & right).alias("both_present"), F.max(F.col("scale")).alias("max_scale"))
     checks = _store_checks(spark, a.store, frozen)
-    size = spark.createDataFrame([(sinks.stored_bytes(spark, f"{a.store}/frames"), f.count())], "bytes long, frames long")
+    size = spark.createDataFrame([(sinks.stored_bytes(spark, commits.folder(spark, a.store, "frames")), f.count())], "bytes long, frames long")
     sinks.write_report(spark, a.out, "Store", {"checks": checks, "masks": masks, "storage": size.withColumn("bytes_per_frame", F.col("bytes") / F.col("frames"))})
     return spark.read.parquet(f"{a.out}/checks")
 
@@ -335,14 +333,14 @@ def prepare_store(spark, a):
         frozen = frozen.filter(F.col("word").isin(words))
     mapping = vocabulary.label_mapping(frozen)
     sinks.save_mapping(mapping, f"{a.out}/label_mapping.json", split_sha256=lock["sha256"])
-    clips = spark.read.parquet(f"{a.store}/clips").select(F.col("clip").alias("sample_id"), "start", "end", "reason").join(frozen.select("sample_id"), "sample_id", "left_semi")
+    clips = commits.table(spark, a.store, "clips").select(F.col("clip").alias("sample_id"), "start", "end", "reason").join(frozen.select("sample_id"), "sample_id", "left_semi")
     sinks.write_once(sequences.index(clips, frozen, mapping), f"{a.out}/index")
     idx = spark.read.parquet(f"{a.out}/index")
-    have = set(spark.read.parquet(f"{a.store}/frames").columns)
+    have = set(commits.table(spark, a.store, "frames").columns)
     groups = [g for g in arrays.GROUPS if g in have]
     spans = idx.select(F.col("sample_id").alias("clip"), "start", "end")
     for w in map(int, a.windows.split(",")):
-        x = readers.load_sequence(spark, f"{a.store}/frames", groups, w, spans)
+        x = readers.load_sequence(spark, commits.folder(spark, a.store, "frames"), groups, w, spans)
         rows = x.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("k", "features"))).alias("s")).select(F.col("clip").alias("sample_id"), F.flatten("s.features").alias("features"))
         sinks.write_once(rows.join(idx.select("sample_id", "split", "word", "label"), "sample_id"), f"{a.out}/features_w{w}")
     return quality.index_leaks(idx)

@@ -4,35 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.quality import digest
+from quern.sources import commits
 from quern.sources.readers import exists
 from quern.sources.shared import new_path, remove, staged
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     write_bytes(spark, path, text.encode())
 
 
 def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
-    """Write a small file under a temporary name, then rename it into place."""
-    p, fs = _path(spark, path)
-    tmp, _ = _path(spark, path + ".tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(body))
-    out.close()
-    fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"cannot rename to {path}")
+    """Put a small file into place at once, over an older one."""
+    commits.replace_file(spark, path, body)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -183,22 +172,59 @@ def read_widened(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
-def merge_shards(spark: SparkSession, shards: list[str], out: str, key: str, expected: DataFrame) -> DataFrame:
-    """Union of shard tables, checked against the expected keys (none missing, extra or twice), then put into place."""
-    from functools import reduce
-
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(s) for s in shards])
-    staging = out.rstrip("/") + ".staging"
-    df.write.mode("overwrite").parquet(staging)
-    got = spark.read.parquet(staging)
-    bad = got.groupBy(key).count().join(expected.select(key, F.lit(1).alias("_e")), key, "full").filter("count is null or count > 1 or _e is null").limit(5).collect()
+def _adds_up(got: DataFrame, key: str, expected: DataFrame) -> None:
+    counts = got.groupBy(key).count().join(expected.select(key, F.lit(1).alias("_e")), key, "full")
+    bad = counts.filter("count is null or count > 1 or _e is null").limit(5).collect()  # for the message
     if bad:
         raise ValueError(f"shards do not add up: {[r[0] for r in bad]}")
-    p, fs = _path(spark, out)
-    tmp, _ = _path(spark, staging)
-    if fs.exists(p) or not fs.rename(tmp, p):
-        raise FileExistsError(f"{out} is there already")
-    return spark.read.parquet(out)
+
+
+def merge_shards(spark: SparkSession, shards: list[str], out: str, key: str, expected: DataFrame) -> DataFrame:
+    """Union of shard tables, checked against the expected keys (none missing, extra or twice), then committed once."""
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(s) for s in shards])
+    return publish(spark, out, {"rows": union}, lambda t: _adds_up(t["rows"], key, expected))["rows"]
+
+
+def merge_stores(spark: SparkSession, shards: list[str], out: str, expected: DataFrame, key: str = "clip") -> dict[str, DataFrame]:
+    """One store (tables clips and frames) of shard stores, checked, then made visible by one commit.
+
+    Clips must be the expected keys, each once; frames must belong to accepted clips, have their length once each, and
+    every accepted clip must have frames. Nothing is visible after a failure, and a later run starts afresh.
+    """
+    def union(name: str) -> DataFrame:
+        parts = [spark.read.option("mergeSchema", "true").parquet(f"{s}/{name}") for s in shards]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).drop("batch")
+
+    def check(t: dict[str, DataFrame]) -> None:
+        _adds_up(t["clips"], key, expected)
+        ok = t["clips"].filter("reason is null").select(key)
+        places = t["frames"].groupBy(key, "frame").count()
+        for what, bad in (
+            ("frames twice", places.filter("count > 1")),
+            ("frames of no accepted clip", places.join(ok, key, "left_anti")),
+            ("accepted clips without frames", ok.join(places.select(key), key, "left_anti")),
+        ):
+            some = [r[0] for r in bad.limit(5).collect()]
+            if some:
+                raise ValueError(f"{what}: {some}")
+
+    return publish(spark, out, {"clips": union("clips"), "frames": union("frames")}, check)
+
+
+def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], check=None) -> dict[str, DataFrame]:
+    """Write tables, check them as written, and make them visible together, once: a second publication is refused."""
+
+    def build(now: dict[str, str], folder: str) -> dict[str, str]:
+        if now:
+            raise FileExistsError(f"{path} is there already")
+        for name, df in tables.items():
+            df.write.parquet(f"{path}/{folder}/{name}")
+        if check is not None:
+            check({name: spark.read.parquet(f"{path}/{folder}/{name}") for name in tables})
+        return {name: f"{folder}/{name}" for name in tables}
+
+    commits.commit(spark, path, build)
+    return {name: commits.table(spark, path, name) for name in tables}
 
 
 def write_evaluation(predictions: DataFrame, path: str, vocabulary_size: int) -> None:
@@ -249,7 +275,7 @@ def save_table(df: DataFrame, path: str, compression: str = "zstd") -> int:
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
-    p, fs = _path(spark, path)
+    p, fs = commits.hadoop_path(spark, path)
     return fs.getContentSummary(p).getLength()
 
 
@@ -264,24 +290,28 @@ def serialized_size(df: DataFrame, compression: str = "zstd") -> int:
 
 def upsert(df: DataFrame, path: str, key: list[str], deleted: DataFrame | None = None) -> DataFrame:
     """Put df's rows (one per key) into the keyed table at path, replacing rows of the same key, and drop the keys of
-    deleted. The table is a folder of versions; a pointer moves to the new one when it is complete, so readers never
-    see half of it and a run that fails changes nothing."""
+    deleted. Each call is a commit (see commits): a run that fails at any step changes nothing, and of writers at
+    once each works on the result of the other."""
     spark = df.sparkSession
     keys = df.select(*key)
     if deleted is not None:
         keys = keys.unionByName(deleted.select(*key))
-    new = df if deleted is None else df.join(deleted.select(*key), key, "left_anti")
-    if exists(spark, f"{path}/current"):
-        new = current(spark, path).join(keys.distinct(), key, "left_anti").unionByName(new)
-    version = f"v-{uuid.uuid4().hex}"
-    new.write.parquet(f"{path}/{version}")
-    write_text(spark, f"{path}/current", version)
+    put = df if deleted is None else df.join(deleted.select(*key), key, "left_anti")
+
+    def build(now: dict[str, str], folder: str) -> dict[str, str]:
+        new = put
+        if now:
+            new = spark.read.parquet(f"{path}/{now['rows']}").join(keys.distinct(), key, "left_anti").unionByName(put)
+        new.write.parquet(f"{path}/{folder}/rows")
+        return {"rows": f"{folder}/rows"}
+
+    commits.commit(spark, path, build)
     return current(spark, path)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a table that upsert keeps."""
-    return spark.read.parquet(f"{path}/{read_text(spark, path + '/current')}")
+    return commits.table(spark, path, "rows")
 
 
 def append_messages(df: DataFrame, path: str) -> None:

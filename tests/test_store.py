@@ -12,7 +12,7 @@ from quern.functions import arrays as ar
 from quern.functions import stats, tokens
 from quern.operators import convert, experiment, kernel, monitor
 from quern.plans.jobs import main
-from quern.sources import config, fetch, figures, readers, sinks
+from quern.sources import commits, config, fetch, figures, readers, sinks
 
 GROUPS = list(ar.GROUPS)
 RAW = "clip string, t double, width int, height int, " + ", ".join(f"{g} array<float>, {g}_seen boolean" for g in GROUPS) + ", pose_vis array<float>, error string"
@@ -64,13 +64,13 @@ def test_store_jobs(spark, store, tmp_path, capsys):
     assert "peak_rss_mb" in json.loads(sinks.read_text(spark, f"{out}/shard0/run.json"))
     merged = ["merge-store", "--plan", f"{d}/plan", "--shards", f"{out}/shard0,{out}/shard1", "--splits", f"{d}/splits", "--out", f"{out}/store"]
     assert main(merged) == 0
-    assert spark.read.parquet(f"{out}/store/clips").count() == 12
+    assert commits.table(spark, f"{out}/store", "clips").count() == 12
     with pytest.raises(ValueError, match="add up"):
         main([*merged[:4], f"{out}/shard0", *merged[5:-1], f"{out}/half"])
     assert main(["verify-store", "--store", f"{out}/store", "--splits", f"{d}/splits", "--out", f"{out}/verified"]) == 0
     assert main(["build-mapping", "--splits", f"{d}/splits", "--out", f"{out}/mapping.json"]) == 0
     assert main(["prepare-store", "--store", f"{out}/store", "--splits", f"{d}/splits", "--out", f"{out}/prepared", "--windows", "30"]) == 0
-    assert main(["build-index", "--clips", f"{out}/store/clips", "--splits", f"{d}/splits", "--out", f"{out}/index"]) == 0
+    assert main(["build-index", "--clips", commits.folder(spark, f"{out}/store", "clips"), "--splits", f"{d}/splits", "--out", f"{out}/index"]) == 0
     assert spark.read.parquet(f"{out}/index/index").count() == 12
     words = json.dumps({"name": "one", "num_classes": 1, "vocabulary_sha256": hashlib.sha256(b"w0").hexdigest(), "classes": [{"index": 0, "class": "w0"}]})
     sinks.write_vocabulary(spark, f"{out}/one.json", words, sinks.read_lock(spark, f"{d}/splits", "v1")["sha256"])
@@ -88,7 +88,7 @@ def test_store_jobs(spark, store, tmp_path, capsys):
     spark.createDataFrame([(f"c{i:02d}", 5.0 + i) for i in range(12)], "clip string, total_s double").write.parquet(f"{out}/timings")
     assert main(["benchmark-report", "--store", f"{out}/store", "--timings", f"{out}/timings", "--out", f"{out}/bench"]) == 0
     assert "clips_per_minute" in capsys.readouterr().out
-    one = readers.load_sequence(spark, f"{out}/store/frames", ["left_hand"], 5)
+    one = readers.load_sequence(spark, commits.folder(spark, f"{out}/store", "frames"), ["left_hand"], 5)
     assert one.count() == 60 and one.select(F.size("features")).first()[0] == 64
 
 
