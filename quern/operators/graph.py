@@ -65,7 +65,7 @@ def split_groups(samples: DataFrame) -> DataFrame:
     s = s.join(roots.withColumnRenamed("node", "_n"), F.concat(F.lit("sample:"), F.col("sample_id")) == F.col("_n"), "left")
     s = s.withColumn("_root", F.coalesce("root", "sample_id"))
     named = s.groupBy("_root").agg(F.min("sample_id").alias("split_group"), F.count(F.lit(1)).cast("int").alias("split_group_size"), F.bool_or(F.col("aug_source").isNotNull()).alias("aug_linked"))
-    return s.join(named, "_root").drop("_root", "_n", "root")
+    return hot_join(s, named.withColumn("_files", F.col("split_group_size")), ["_root"], "_files").drop("_root", "_n", "root")
 
 
 def label_pairs(samples: DataFrame, word: str = "word", sha: str = "sha256") -> DataFrame:

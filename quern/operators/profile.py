@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.stats import chi2_p_value, correlation_p_value
-from quern.operators.skew import sums_before
+from quern.operators.skew import hot_join, sums_before
 from quern.sources.shared import partitions, staged
 
 POINTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -94,13 +94,14 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """rho, n, p_value: correlation of average ranks; null where a column is constant.
 
-    Ranks come from the counts of distinct values, running over range-sorted partitions, so no task holds the rows.
+    Ranks come from the counts of distinct values, running over range-sorted partitions, and meet the rows by hot_join:
+    values that many rows hold are broadcast, so a column of few values keeps all tasks busy.
     """
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
     for c in ("x", "y"):
         v = d.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        v = running_total(v, c, "_n").select(c, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"r{c}"))
-        d = d.join(v, c)
+        v = running_total(v, c, "_n").select(c, "_n", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"r{c}"))
+        d = hot_join(d, staged(v.withColumn("_k", F.col("_n")).drop("_n"), "ranks"), [c], "_k")
     rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
     got = d.agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
     return got.withColumn("p_value", correlation_p_value(F.col("rho"), F.col("n")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import label_key, source_proxy, trim_space
-from quern.operators.skew import hot_join
+from quern.operators.skew import hot_join, with_group
 from quern.sources.shared import staged
 
 # Issue and exclusion codes.
@@ -96,14 +96,13 @@ def content_groups(df: DataFrame, sha: str = "sha256", label: str = "word", path
 def annotate_duplicates(df: DataFrame, eligible: Column, sha: str = "sha256", label: str = "word") -> DataFrame:
     """df with dup_group_size and dup_cross_label; 0 and false for rows that are not eligible.
 
-    Groups are counted with map-side aggregation and joined back, so a content that many rows share is split by the
-    join instead of gathered by a window.
+    Groups are counted with partial sums and joined by hot_join: a content that many rows share stays spread, and so
+    do the rows that are not eligible.
     """
     ok = F.coalesce(eligible, F.lit(False)) & F.col(sha).isNotNull()
     d = df.withColumn("_k", F.when(ok, F.col(sha)))
-    g = d.filter("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), (F.min(label) != F.max(label)).alias("_x"))
-    d = d.join(g, "_k", "left")
-    return d.withColumns({"dup_group_size": F.coalesce("_n", F.lit(0)), "dup_cross_label": F.coalesce("_x", F.lit(False))}).drop("_k", "_n", "_x")
+    d = with_group(d, ["_k"], F.count(F.lit(1)).alias("_n"), (F.min(label) != F.max(label)).alias("_cross"))
+    return d.withColumns({"dup_group_size": F.coalesce("_n", F.lit(0)), "dup_cross_label": F.coalesce("_cross", F.lit(False))}).drop("_k", "_n", "_cross")
 
 
 # The label audit's codes, and details that reports compare.

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.sources.shared import partitions
+from quern.sources.shared import partitions, staged
 
 #: Shares that the left rows of hot or null keys are spread over; rows of one block of a running sum.
 SPREAD, BLOCK = 4096, 4096
@@ -25,6 +25,8 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how:
     partitions, whatever the data. All other keys are shuffled; left's rows of hot and of null keys are spread, so
     no task gets more than its share. Where nothing is hot this is a plain join. total is the sum of the weights,
     if known. weight is not in the result. With merge the shuffle is asked for, so the plan is one at every size.
+    Rows are spread by monotonically_increasing_id, so left must come back in the same order when a task is run again,
+    as scans and staged tables do.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how is inner or left, not {how}")
@@ -53,6 +55,18 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how:
     return out.select(*keep, *[got[c].alias(c) for c in cols])
 
 
+def with_group(df: DataFrame, key: list[str], *facts: Column) -> DataFrame:
+    """df with facts (named aggregates) of each row's group by key; null where a key is null.
+
+    Groups are counted with partial sums and joined by hot_join, so a group of any size stays spread, which a window
+    over the group would gather in one task. df is read twice and must give the same rows both times.
+    """
+    null = reduce(Column.__or__, [F.col(k).isNull() for k in key])
+    groups = df.filter(~null).groupBy(*key).agg(F.count(F.lit(1)).alias("_gw"), *facts)
+    out = hot_join(df, staged(groups, "groups"), key, "_gw", "left")
+    return out.select(*[F.col(f"`{c}`") for c in [*df.columns, *[c for c in groups.columns if c not in (*key, "_gw")]]])
+
+
 def sums_before(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """df (one row per key, keys whole numbers from 0) with name: the sum of value over all smaller keys.
 

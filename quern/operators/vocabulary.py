@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import after_first_slash, batch_id, tie_break
 from quern.operators.profile import percentiles
 from quern.operators.sampling import global_rank
+from quern.operators.skew import with_group
 
 SPLITS = ("train", "val", "test")
 # Default limits of the rules.
@@ -28,12 +29,10 @@ RULES = {
 def file_evidence(split: DataFrame) -> DataFrame:
     """split (repo_path, word, sha256, source_proxy, aug_source) with batch, cross_label, within_dup, augmented."""
     s = split.withColumn("batch", batch_id(after_first_slash(F.col("repo_path")), F.col("source_proxy")))
-    by_sha = Window.partitionBy("sha256")
-    return s.withColumns({
-        "cross_label": F.coalesce((F.min("word").over(by_sha) != F.max("word").over(by_sha)) & F.col("sha256").isNotNull(), F.lit(False)),
-        "within_dup": (F.count(F.lit(1)).over(Window.partitionBy("sha256", "word")) > 1) & F.col("sha256").isNotNull(),
-        "augmented": F.coalesce("aug_source", F.lit("")) != "",
-    })
+    s = with_group(s, ["sha256"], (F.min("word") != F.max("word")).alias("_labels"))
+    s = with_group(s, ["sha256", "word"], (F.count(F.lit(1)) > 1).alias("_again"))
+    flags = {"cross_label": F.coalesce("_labels", F.lit(False)), "within_dup": F.coalesce("_again", F.lit(False)), "augmented": F.coalesce("aug_source", F.lit("")) != ""}
+    return s.withColumns(flags).drop("_labels", "_again")
 
 
 def class_features(s: DataFrame, audit: DataFrame | None = None, word: str = "word") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.operators import graph, quality, reconcile, sampling, vocabulary
+from quern.operators.skew import with_group
 from quern.plans.registry import AUG, PROXY, SAMPLES, query, r6, samples, table
 
 RATIOS = {"train": 0.7, "val": 0.15, "test": 0.15}
@@ -156,8 +156,8 @@ ev AS (SELECT *, CASE WHEN source_proxy = 'word_timestamp_n' AND regexp_matches(
 
 def _evidence(spark, sf):
     s = samples(spark, sf)
-    s = s.withColumns({"source_proxy": tx.source_proxy(F.col("filename")), "aug_source": tx.augmentation_source(F.col("filename"), F.col("word")), "split_group": F.min("sample_id").over(Window.partitionBy("sha256"))})
-    return vocabulary.file_evidence(s)
+    s = s.withColumns({"source_proxy": tx.source_proxy(F.col("filename")), "aug_source": tx.augmentation_source(F.col("filename"), F.col("word")), })
+    return vocabulary.file_evidence(with_group(s, ["sha256"], F.min("sample_id").alias("split_group")))
 
 
 @query(f"WITH {_EVIDENCE} SELECT sample_id, source_proxy, aug_source, batch, cross_label, within_dup, augmented, a.sample_id IS NOT NULL AS source_present FROM ev LEFT JOIN (SELECT DISTINCT filename AS fn, 1 AS sample_id FROM samples) a ON a.fn = aug_source".replace("SELECT sample_id, source_proxy", "SELECT ev.sample_id, source_proxy"))
@@ -261,7 +261,7 @@ UNION ALL SELECT 'only eligible samples in split', true, '0 ineligible samples p
 UNION ALL SELECT 'every expected class present in ' || split, empty = 0, empty || ' expected classes missing' FROM q
 UNION ALL SELECT split || ' ratio ~ ' || CASE split WHEN 'train' THEN '0.70' ELSE '0.15' END, abs(f - CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END) <= 0.02, printf('%.4f', f) FROM q""")
 def assign_splits(spark, sf):
-    s = samples(spark, sf).drop("split").withColumn("split_group", F.min("sample_id").over(Window.partitionBy("sha256")))
+    s = with_group(samples(spark, sf).drop("split"), ["sha256"], F.min("sample_id").alias("split_group"))
     out = sampling.assign_splits(s, RATIOS, 42)
     return quality.split_checks(out, s.select("sample_id"), RATIOS, 0.02)
 
@@ -317,8 +317,7 @@ def expected_classes(spark, sf):
 @query(f"""WITH {SAMPLES}, x AS (SELECT sha256 FROM samples GROUP BY sha256 HAVING count(DISTINCT word) > 1)
 SELECT word, count(*) AS n_samples, count_if(sha256 IN (SELECT sha256 FROM x)) AS n_shared, round(count_if(sha256 IN (SELECT sha256 FROM x)) / count(*), 6) AS shared_fraction FROM samples GROUP BY word""")
 def class_overlap(spark, sf):
-    w = Window.partitionBy("sha256")
-    s = samples(spark, sf).withColumn("x", F.min("word").over(w) != F.max("word").over(w))
+    s = with_group(samples(spark, sf), ["sha256"], (F.min("word") != F.max("word")).alias("x"))
     return s.groupBy("word").agg(F.count(F.lit(1)).alias("n_samples"), F.count_if("x").alias("n_shared"), r6(F.count_if("x") / F.count(F.lit(1))).alias("shared_fraction"))
 
 
@@ -420,7 +419,7 @@ def content_digest(spark, sf):
 @query("""WITH c AS (SELECT c_custkey, sha256('7:' || c_custkey) AS h, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('7:' || c_custkey)) > 1 AS again FROM customer) SELECT c_custkey, again, row_number() OVER (ORDER BY again, h) AS place FROM c""")
 def distinct_class_first(spark, sf):
     c = table(spark, sf, "customer").withColumn("h", tx.tie_break(F.col("c_custkey"), 7))
-    c = c.withColumn("again", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("h")) > 1)
+    c = with_group(c, ["c_nationkey"], F.min("h").alias("first")).withColumn("again", F.col("h") > F.col("first"))
     return sampling.global_rank(c, [F.col("again"), F.col("h")], "place").select("c_custkey", "again", "place")
 
 

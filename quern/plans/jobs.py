@@ -7,12 +7,13 @@ import json
 from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import arrays, text
 from quern.functions.arrays import OBSERVED
 from quern.operators import convert, evalmetrics, experiment, graph, kernel, monitor, profile, quality, reconcile, recurrent, sampling, sequences, timeseries, vocabulary
+from quern.operators.skew import with_group
 from quern.sources import commits, figures, readers, sinks
 from quern.streaming import resume
 
@@ -56,7 +57,7 @@ def make_split(spark, a):
     s = graph.cut(graph.split_groups(s))
     val, test = float(a.val), float(a.test)
     out = sampling.assign_splits(s, {"train": 1 - val - test, "val": val, "test": test}, int(a.seed))
-    out = out.withColumn("dup_group_size", F.count(F.lit(1)).over(Window.partitionBy("sha256")))
+    out = with_group(graph.cut(out), ["sha256"], F.count(F.lit(1)).alias("dup_group_size"))
     lock = sinks.write_frozen(out, a.out, a.version, {"seed": int(a.seed)})
     return spark.createDataFrame([(k, v) for k, v in lock["counts"].items()], "split string, n long")
 
@@ -169,7 +170,7 @@ def eda_report(spark, a):
         "issues": m.groupBy("issue").count(), "sources": profile.value_counts(m, "source_proxy"), "numbers": reduce(lambda x, y: x.unionByName(y), stats),
         "outcomes": profile.value_counts(s.withColumn("outcome", F.when(F.coalesce("decode_ok", F.lit(False)), "decoded").otherwise("not decoded")), "outcome"),
         "resolutions": profile.value_counts(ok.withColumn("resolution", F.format_string("%sx%s", "width", "height")), "resolution"), "weighted_shares": shares,
-        "shared_labels": graph.label_components(graph.label_pairs(m.filter("eligible_pre_probe"))).withColumn("labels", F.array_join("labels", "|")).limit(50),
+        "shared_labels": graph.label_components(graph.label_pairs(m.filter("eligible_pre_probe"))).withColumn("labels", F.array_join("labels", "|")),
     })
     return shares
 
@@ -373,7 +374,7 @@ def experiment_report(spark, a):
     wide = r.groupBy("experiment").pivot("split", ["train", "val", "test"]).agg(F.first("accuracy").alias("accuracy"), F.first("macro_f1").alias("macro_f1"))
     wide = wide.withColumn("train_test_gap", F.col("train_accuracy") - F.col("test_accuracy")).orderBy(F.desc("val_macro_f1"), "experiment")
     sinks.write_report(spark, a.out, "Experiments", {"results": wide})
-    rows = [(x.experiment, x.test_macro_f1) for x in wide.limit(60).collect()]
+    rows = [(x.experiment, x.test_macro_f1) for x in wide.collect()]  # one row per experiment
     sinks.write_text(spark, f"{a.out}/macro_f1.svg", figures.bars(rows, "Test macro F1"))
     return wide.limit(1)
 

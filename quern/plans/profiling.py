@@ -21,8 +21,9 @@ def describe_stats(spark, sf):
 
 @query("""WITH w AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1) SELECT round(sum(CASE WHEN l_quantity < 10 THEN 1.0 / n ELSE 0 END) / sum(1.0 / n), 6) AS small_share, round(sum(l_tax / n) / sum(1.0 / n), 6) AS mean_tax FROM lineitem JOIN w USING (l_returnflag)""")
 def weighted_prop(spark, sf):
-    x = table(spark, sf, "lineitem").withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("l_returnflag")))
-    return x.agg(r6(profile.weighted_share(F.col("l_quantity") < 10, F.col("w"))).alias("small_share"), r6(F.sum(F.col("l_tax") * F.col("w")) / F.sum("w")).alias("mean_tax"))
+    # Rows of a flag weigh 1 / n each, so a flag's rows are summed first and no row moves.
+    x = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_quantity") < 10).alias("small"), F.sum("l_tax").alias("tax"))
+    return x.agg(r6(F.sum(F.col("small") / F.col("n")) / F.count(F.lit(1))).alias("small_share"), r6(F.sum(F.col("tax") / F.col("n")) / F.count(F.lit(1))).alias("mean_tax"))
 
 
 @query("SELECT o_orderpriority AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM orders GROUP BY 1")
@@ -324,13 +325,15 @@ def config_matrix(spark, sf):
     return table(spark, sf, "part").select("p_type").distinct().crossJoin(w).crossJoin(m).select(F.format_string("%s_w%02d_%s", "p_type", "w", "m").alias("experiment_id"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding AS x, label FROM embeddings), f AS (SELECT vec_id, label % 3 <> 0 AS p, label % 4 <> 1 AS q, x[1] AS a, x[2] AS b, (vec_id % 10) / 10 AS t FROM e)
-SELECT vec_id, round(CASE WHEN p AND q THEN CAST(a AS DOUBLE) * (1 - t) + CAST(b AS DOUBLE) * t WHEN t >= 0.5 THEN b ELSE a END, 5) AS v, (p AND q) OR CASE WHEN t >= 0.5 THEN q ELSE p END AS present FROM f""")
+@query("""WITH e AS (SELECT vec_id, embedding AS x, label, unnest(range(len(embedding) // 2)) AS pair FROM embeddings),
+f AS (SELECT vec_id, pair, label % 3 <> 0 AS p, label % 4 <> 1 AS q, x[2 * pair + 1] AS a, x[2 * pair + 2] AS b, (vec_id % 10) / 10 AS t FROM e)
+SELECT vec_id, pair, round(CASE WHEN p AND q THEN CAST(a AS DOUBLE) * (1 - t) + CAST(b AS DOUBLE) * t WHEN t >= 0.5 THEN b ELSE a END, 5) AS v, (p AND q) OR CASE WHEN t >= 0.5 THEN q ELSE p END AS present FROM f""")
 def lerp_or_nearest(spark, sf):
-    x = table(spark, sf, "embeddings")
+    pairs = F.floor(F.size("embedding") / 2) - 1
+    x = table(spark, sf, "embeddings").select("*", F.explode(F.sequence(F.lit(0).cast("long"), pairs)).alias("pair"))
     p, q, t = F.col("label") % 3 != 0, F.col("label") % 4 != 1, (F.col("vec_id") % 10) / 10
-    a, b = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
-    return x.select("vec_id", F.round(ar.lerp_or_nearest(a, b, p, q, t), 5).alias("v"), ar.lerp_presence(p, q, t).alias("present"))
+    a, b = (F.col("embedding")[(2 * F.col("pair") + k).cast("int")].cast("double") for k in (0, 1))
+    return x.select("vec_id", "pair", F.round(ar.lerp_or_nearest(a, b, p, q, t), 5).alias("v"), ar.lerp_presence(p, q, t).alias("present"))
 
 
 def _points(spark, sf, size: int):

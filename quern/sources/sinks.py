@@ -329,10 +329,16 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
 
 
 def write_report(spark: SparkSession, path: str, title: str, tables: dict[str, DataFrame]) -> None:
-    """Small tables under headings in one Markdown file, and each as Parquet beside it."""
+    """Tables under headings in one Markdown file, and each whole as Parquet beside it; of tables too long for Markdown
+    the report gives the number of rows and the folder."""
+
+    def shown(df: DataFrame, folder: str) -> str:
+        n = df.count()
+        return markdown(df) if n <= 1000 else f"{n} rows, in {folder}"
+
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    parts = [f"## {name}\n\n{markdown(spark.read.parquet(f'{path}/{name}'))}\n" for name in tables]
+    parts = [f"## {name}\n\n{shown(spark.read.parquet(f'{path}/{name}'), f'{path}/{name}')}\n" for name in tables]
     write_text(spark, f"{path}/report.md", f"# {title}\n\n" + "\n".join(parts))
 
 
