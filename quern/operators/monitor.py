@@ -1,4 +1,4 @@
-"""What a run costs: sampled memory and processor load of the driver, and timings of repeated calls."""
+"""What a run costs: rows, tasks and bytes of the executors, sampled memory of the driver, timings of repeated calls."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def _memory() -> int:
@@ -63,6 +64,107 @@ class ResourceMonitor:
         return {"peak_rss_mb": max(mb), "mean_rss_mb": sum(mb) / len(mb), "peak_load_pct": max(self.load), "mean_load_pct": sum(self.load) / len(self.load), "logical_cpus": os.cpu_count()}
 
 
+#: Totals of an executor that Spark keeps: our name, Spark's.
+_TOTALS = {"tasks": "totalTasks", "failed_tasks": "failedTasks", "task_ms": "totalDuration", "gc_ms": "totalGCTime", "input_bytes": "totalInputBytes", "shuffle_read_bytes": "totalShuffleRead", "shuffle_write_bytes": "totalShuffleWrite"}
+_FIGURES = "executor string, active boolean, cores int, peak_heap_bytes long, " + ", ".join(f"{c} long" for c in _TOTALS)
+
+
+def executors(spark: SparkSession) -> DataFrame:
+    """One row per executor that the application has or had, lost ones too: cores, peak heap (null where none has been
+    reported yet) and totals of its tasks. The driver's row is an executor's on a local master only."""
+    return spark.createDataFrame(_executors(spark), _FIGURES)
+
+
+def _executors(spark: SparkSession) -> list[tuple]:
+    """Read from the store behind Spark's status page, which is kept with the page turned off too."""
+    found = spark._jsc.sc().statusStore().executorList(False)
+    local = spark.sparkContext.master.startswith("local")
+    rows = []
+    for e in (found.apply(i) for i in range(found.size())):
+        if e.id() == "driver" and not local:
+            continue
+        peak = e.peakMemoryMetrics()
+        heap = peak.get().getMetricValue("JVMHeapMemory") or None if peak.isDefined() else None
+        rows.append((e.id(), e.isActive(), e.totalCores(), heap, *[getattr(e, name)() for name in _TOTALS.values()]))
+    return rows
+
+
+class _Streams(StreamingQueryListener):
+    """Running sums over the progress of all queries of the session: batches, input rows, milliseconds."""
+
+    def __init__(self) -> None:
+        self.batches = self.rows = self.millis = self.open = 0
+        self.changed = threading.Condition()
+
+    def _add(self, batches: int, rows: int, millis: int, open: int) -> None:
+        with self.changed:
+            self.batches, self.rows, self.millis, self.open = self.batches + batches, self.rows + rows, self.millis + millis, self.open + open
+            self.changed.notify_all()
+
+    def onQueryStarted(self, event) -> None:
+        self._add(0, 0, 0, 1)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.numInputRows:
+            self._add(1, p.numInputRows, p.batchDuration, 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._add(0, 0, 0, -1)
+
+    def wait(self, seconds: float) -> None:
+        """Until all queries that were seen to start were seen to end; events come in order, a moment late."""
+        with self.changed:
+            self.changed.wait_for(lambda: self.open <= 0, seconds)
+
+
+class RunFigures:
+    """What the executors do while a with block runs: rows and bytes of the tables put down by write; batches, input rows
+    and rates of streams; tasks, their time, garbage collection, bytes and failures.
+
+    Jobs of other threads of the session are counted too. A stream's input rows are counted once for each time that
+    its batch is read; rows of write are those in the files, whatever tasks ran twice. (An Observation would count them
+    on the way, but a session that has made one can no longer run a forest it has fitted: the forest's summary holds
+    the session, and its observations cannot be sent to tasks.)
+    """
+
+    def __init__(self, spark: SparkSession, wait: float = 10.0) -> None:
+        self.spark, self._wait = spark, wait
+        self._rows: dict[str, int] = {}
+
+    def write(self, df: DataFrame, path: str, name: str) -> None:
+        """Write df as Parquet over what is at path and add its rows to the figure called name."""
+        df.write.mode("overwrite").parquet(path)
+        self._rows[name] = self._rows.get(name, 0) + self.spark.read.schema(df.schema).parquet(path).count()
+
+    def __enter__(self) -> RunFigures:
+        self._before = {r[0]: r for r in _executors(self.spark)}
+        self._streams = _Streams()
+        self.spark.streams.addListener(self._streams)
+        self._began = time.perf_counter()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.seconds = time.perf_counter() - self._began
+        self._streams.wait(self._wait)
+        self.spark.streams.removeListener(self._streams)
+        self._after = _executors(self.spark)
+
+    def summary(self) -> dict:
+        """Figures of the block; rows_<name> of each name that write was given."""
+        out: dict = {"seconds": self.seconds, "executors": len(self._after), "cores": sum(r[2] for r in self._after if r[1])}
+        heaps = [r[3] for r in self._after if r[3] is not None]
+        out["peak_executor_heap_mb"] = max(heaps) / 2**20 if heaps else None
+        for i, name in enumerate(_TOTALS, 4):
+            out[name] = sum(r[i] - (self._before[r[0]][i] if r[0] in self._before else 0) for r in self._after)
+        s = self._streams
+        out |= {"stream_batches": s.batches, "stream_rows": s.rows, "stream_rows_per_second": s.rows * 1000 / s.millis if s.millis else None}
+        return out | {f"rows_{name}": n for name, n in self._rows.items()}
+
+
 def timed(spark: SparkSession, call: Callable[[], object], runs: int = 10, warmup: int = 2) -> DataFrame:
     """run, seconds of each call after the warm-up, for evalmetrics.latency."""
     for _ in range(warmup):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.arrays import PRESENT, finite, half_precision, has_flag
+from quern.operators.profile import percentiles
+
 SPLITS = ("train", "val", "test")
 
 # Names and details of the split's checks, as reports compare them.
@@ -100,6 +104,41 @@ def parity(a: DataFrame, b: DataFrame, key: list[str], values: list[str], tolera
     return out.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0) & (F.coalesce("max_diff", F.lit(0.0)) <= tolerance))
 
 
+def rounding(frames: DataFrame, groups: list[str], rounded: Callable[[Column], Column] = half_precision) -> DataFrame:
+    """What storing the groups' numbers rounded would lose: by group, and over all groups (group is null), the numbers of
+    present frames, the largest of them, exact quantiles and the largest error in shoulder widths (su) and in pixels (px,
+    times the frame's scale), values that are not finite, and values of absent frames that are not zero."""
+    parts = []
+    for g in groups:
+        on = has_flag(F.col(f"{g}_flags"), PRESENT)
+        parts.append(frames.select(F.lit(g).alias("group"), on.alias("on"), F.col("scale").cast("double").alias("scale"), F.explode(g).alias("v")))
+    v = reduce(DataFrame.unionByName, parts).withColumn("x", F.col("v").cast("double")).withColumn("y", rounded(F.col("x")))
+    v = v.withColumn("su", F.when(F.col("on"), F.abs(F.col("y") - F.col("x")))).withColumn("px", F.col("su") * F.col("scale"))
+    facts = [
+        F.count_if("on").alias("numbers"), F.max(F.when(F.col("on"), F.abs("x"))).alias("max_abs"), F.max("su").alias("max_su"), F.max("px").alias("max_px"),
+        F.count_if(F.col("on") & ~finite(F.col("y"))).alias("not_finite"), F.count_if(~F.col("on") & (F.col("y") != 0)).alias("absent_not_zero"),
+    ]
+    out = []
+    for by, rows in ((["group"], v), ([], v)):
+        got = rows.groupBy(*by).agg(*facts)
+        for c in ("su", "px"):
+            q = percentiles(rows, F.col(c), {f"p99_{c}": 0.99, f"p999_{c}": 0.999}, by)
+            got = got.join(q, by, "left") if by else got.join(F.broadcast(q), how="left")  # one row each
+        out.append(got if by else got.withColumn("group", F.lit(None).cast("string")))
+    return out[0].unionByName(out[1])
+
+
+def rounding_checks(lost: DataFrame, px_p999: float, px_max: float) -> DataFrame:
+    """Whether rounding's losses stay within limits, in pixels, over all groups."""
+    whole = lost.filter("group is null")
+    return all_of([
+        check(whole, "error at 0.999", F.count_if(~(F.coalesce("p999_px", F.lit(0.0)) <= px_p999)), "beyond the limit"),
+        check(whole, "largest error", F.count_if(~(F.coalesce("max_px", F.lit(0.0)) <= px_max)), "beyond the limit"),
+        check(whole, "rounded values finite", F.sum("not_finite"), "not finite"),
+        check(whole, "absent frames stay zero", F.sum("absent_not_zero"), "not zero"),
+    ])
+
+
 def map_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Keys whose value differs or that one side lacks: key, left_value, right_value."""
     x, y = a.select(key, F.col(value).alias("left_value")), b.select(key, F.col(value).alias("right_value"))

@@ -7,14 +7,15 @@ import json
 from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import arrays, text
 from quern.functions.arrays import OBSERVED
 from quern.operators import convert, evalmetrics, experiment, graph, kernel, monitor, profile, quality, reconcile, recurrent, sampling, sequences, timeseries, vocabulary
 from quern.operators.skew import with_group
-from quern.sources import commits, figures, readers, sinks
+from quern.sources import arrayfiles, commits, config, fetch, figures, listing, readers, sinks
+from quern.sources.shared import partitions, staged
 from quern.streaming import resume
 
 JOBS: dict = {}
@@ -28,6 +29,48 @@ def job(*options: str):
     return add
 
 
+@job("path", "out", "pattern=*", "folders=", "revision=", "hashes=yes")
+def list_files(spark, a):
+    """The index of all files under a path, with their hashes; of a revision's folder and some folders of it only, where given."""
+    folders = a.folders.split(",") if a.folders else None
+    files = listing.list_files(spark, a.path, a.pattern, a.hashes == "yes", folders, a.revision or None)
+    sinks.write_once(files, a.out)
+    return spark.read.parquet(a.out).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("size_bytes") == 0).alias("empty"))
+
+
+@job("sample", "source", "out", "frames=", "adopt=", "reprobe=no", "batches=8", "retries=4")
+def probe_files(spark, a):
+    """Fetch and hash the files of a sample from a source folder, in batches that an interrupted run keeps.
+
+    Files that were fetched are not fetched again; failures are. With adopt, whole and matching rows of an earlier
+    probe are taken over; with frames (repo_path, t), decoded frames and their rate are recorded, and files without
+    any are decode failures, which reprobe=yes probes again.
+    """
+    sample, parts = spark.read.parquet(a.sample), f"{a.out}/parts"
+    known = readers.read_parts(spark, parts, readers.PROBE, "repo_path", "download_ok")
+    number = 1 + (known.agg(F.max("part")).first()[0] if "part" in known.columns else -1)
+    if a.adopt and number == 0:
+        old = readers.read_parts(spark, a.adopt, readers.PROBE, "repo_path", "download_ok").filter("download_ok and sha256_match")
+        fetch.adopt(old, sample, "repo_path", "adopted").withColumn("part", F.lit(number)).write.mode("append").parquet(parts)
+        known, number = readers.read_parts(spark, parts, readers.PROBE, "repo_path", "download_ok"), number + 1
+    keep = F.col("download_ok") & (F.coalesce("decode_ok", F.lit(True)) if a.reprobe == "yes" else F.lit(True))
+    done = staged(known.filter(keep).select("repo_path"), "probed")
+    todo = sample.select("repo_path", "sha256").dropDuplicates(["repo_path"]).join(done, "repo_path", "left_anti")
+    for k in range(int(a.batches)):
+        some = todo.filter(F.pmod(F.xxhash64("repo_path"), F.lit(int(a.batches))) == k).repartition(partitions(spark), "repo_path")
+        got = fetch.fetch_all(some, listing.opener(a.source), int(a.retries))
+        if a.frames:
+            rate = fetch.decoded_rate(spark.read.parquet(a.frames))
+            got = got.join(rate, "repo_path", "left").withColumn("decode_ok", F.when(F.col("download_ok"), F.col("decoded_frames").isNotNull()))
+        got.withColumns({"probe_origin": F.lit("probe"), "part": F.lit(number + k)}).write.mode("append").parquet(parts)
+    rows = readers.read_parts(spark, parts, readers.PROBE, "repo_path", "download_ok")
+    rows.write.mode("overwrite").parquet(f"{a.out}/results")
+    rows = spark.read.parquet(f"{a.out}/results")
+    lost = sample.select("repo_path").distinct().join(rows, "repo_path", "left_anti").agg(F.count(F.lit(1)).alias("without_record"))
+    ok = rows.agg(F.count(F.lit(1)).alias("files"), F.count_if("download_ok").alias("fetched"), F.count_if(~F.col("sha256_match")).alias("other_content"), F.count_if(~F.col("decode_ok")).alias("not_decoded"))
+    return ok.crossJoin(F.broadcast(lost))  # one row each
+
+
 @job("csv", "files", "out")
 def build_manifest(spark, a):
     """Reconcile the metadata CSV with the file index; manifest, duplicate groups, label audit."""
@@ -38,6 +81,8 @@ def build_manifest(spark, a):
     ok = m.filter("eligible_pre_probe")
     sinks.write_once(reconcile.content_groups(ok, path="repo_path"), f"{a.out}/duplicate_groups")
     sinks.write_once(reconcile.audit_labels(ok), f"{a.out}/label_audit")
+    sizes = m.groupBy("issue", "folder", text.extension(F.col("filename")).alias("extension"))
+    sinks.write_once(sizes.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")), f"{a.out}/summary")
     return m.groupBy("issue").count()
 
 
@@ -62,22 +107,55 @@ def make_split(spark, a):
     return spark.createDataFrame([(k, v) for k, v in lock["counts"].items()], "split string, n long")
 
 
-@job("manifest", "splits", "version=v1", "val=0.15", "test=0.15", "tolerance=0.01")
+@job("manifest", "splits", "version=v1", "val=0.15", "test=0.15", "tolerance=0.01", "out=")
 def verify_split(spark, a):
-    """Every integrity check of a frozen split."""
+    """Every integrity check of a frozen split: its own, and that labels, contents and groups are those that the manifest
+    gives now. With out, the checks and each class's shares of the splits as a report."""
     m = spark.read.parquet(a.manifest).filter("eligible_pre_probe")
     val, test = float(a.val), float(a.test)
     s = sinks.read_frozen(spark, a.splits, a.version)
     can = s.groupBy("word").agg(F.count_distinct("split_group").alias("k")).filter("k >= 3")
-    return quality.split_checks(s, m.select("sample_id"), {"train": 1 - val - test, "val": val, "test": test}, float(a.tolerance), can)
-
-
-@job("splits", "out", "splits_wanted=train,val,test", "shards=4", "limit=", "version=v1")
+    checks = quality.split_checks(s, m.select("sample_id"), {"train": 1 - val - test, "val": val, "test": test}, float(a.tolerance), can)
+    now = graph.cut(graph.split_groups(m.select("sample_id", "filename", "word", "sha256")))
+    j = s.select("sample_id", "word", "sha256", "split_group").join(now.select("sample_id", *[F.col(c).alias(f"_{c}") for c in ("word", "sha256", "split_group")]), "sample_id")
+    checks = quality.all_of([checks, *[quality.check(j, f"{c} is the manifest's", F.count_if(~F.col(c).eqNullSafe(F.col(f"_{c}"))), "differ") for c in ("word", "sha256", "split_group")]])
+    if a.out:
+        names = ["train", "val", "test"]
+        shares = profile.row_shares(profile.crosstab(s, "word", "split", names), "word", names)
+        spread = reduce(lambda x, y: x.unionByName(y), [profile.describe(shares, c).withColumn("split", F.lit(c)) for c in names])
+        sinks.write_report(spark, a.out, "Split", {"checks": checks, "shares": shares, "spread": spread})
+        return spark.read.parquet(f"{a.out}/checks")
+    return checks
+
+
+@job("splits", "out", "splits_wanted=train,val,test", "shards=4", "limit=", "version=v1", "vocabulary=", "classes=", "per_split=", "seed=42", "done=", "manifest=", "per_minute=60", "default_bytes=1000000", "estimate_only=no")
 def plan_shards(spark, a):
-    """Extraction list dealt round robin."""
-    s = sinks.read_frozen(spark, a.splits, a.version).filter(F.col("split").isin(a.splits_wanted.split(",")))
+    """Extraction list dealt round robin.
+
+    Of a vocabulary's words only, where one is given, and of these the first classes and the first clips per class and
+    split (train=20,val=5) in seeded order; without the clips that an earlier run has finished (done). With a manifest
+    (sample_id, size_bytes) the bytes and minutes are estimated; estimate_only=yes writes no plan.
+    """
+    s = sinks.read_frozen(spark, a.splits, a.version)
+    if a.vocabulary:
+        lock = sinks.read_lock(spark, a.splits, a.version)
+        words = [c["class"] for c in sinks.read_vocabulary(spark, a.vocabulary, lock["sha256"])["classes"]]
+        s = sampling.select_samples(s, words, config.parse_per_split(a.per_split), int(a.classes) if a.classes else None, int(a.seed))
+    elif a.classes or a.per_split:
+        raise ValueError("classes and per_split choose from a vocabulary: pass one")
+    s = s.filter(F.col("split").isin(a.splits_wanted.split(",")))
+    if a.done:
+        s = s.join(spark.read.option("mergeSchema", "true").parquet(a.done).select(F.col("clip").alias("sample_id")), "sample_id", "left_anti")
     if a.limit:
         s = sampling.top_per_group(s, ["split"], [F.col("sample_id")], int(a.limit))
+    if a.manifest:
+        sizes = spark.read.parquet(a.manifest).filter("sample_id is not null").select("sample_id", "size_bytes").dropDuplicates(["sample_id"])
+        cost = fetch.estimate(s, s.join(sizes, "sample_id"), "size_bytes", float(a.default_bytes), float(a.per_minute))
+        if a.estimate_only == "yes":
+            return cost
+        print(sinks.markdown(cost))
+    elif a.estimate_only == "yes":
+        raise ValueError("an estimate needs a manifest")
     s = sampling.round_robin(s, "sample_id", int(a.shards))
     s.write.mode("errorifexists").partitionBy("shard").parquet(a.out)
     return spark.read.parquet(a.out).groupBy("shard").count()
@@ -109,27 +187,46 @@ def build_index(spark, a):
     return quality.index_leaks(spark.read.parquet(f"{a.out}/index"))
 
 
-@job("splits", "audit", "out", "size=100", "seed=42", "version=v1")
+@job("splits", "audit", "out", "size=100", "seed=42", "version=v1", "deferred=")
 def select_vocabulary(spark, a):
-    """Rules, ranking and the first size classes; features, pairs and the document."""
+    """Rules, ranking and the first size classes; features, pairs, the document, and a report of reasons, batches and
+    sizes. deferred (word) names classes that are set aside for inspection whatever the rules say."""
     s = vocabulary.file_evidence(sinks.read_frozen(spark, a.splits, a.version))
     f = vocabulary.class_features(s, spark.read.parquet(a.audit)).withColumn("reasons", vocabulary.exclusion_reasons())
+    if a.deferred:
+        f = vocabulary.defer(f, spark.read.parquet(a.deferred))
     sinks.write_once(f, f"{a.out}/features")
     f = spark.read.parquet(f"{a.out}/features")
+    batch = s.filter("batch is not null").groupBy("batch").agg(F.count_distinct("split").alias("splits"), F.count(F.lit(1)).alias("clips"))
+    batches = batch.agg(F.count(F.lit(1)).alias("batches"), F.count_if(F.col("splits") > 1).alias("in_several_splits"), F.max("clips").alias("largest"))
+    sinks.write_report(spark, f"{a.out}/report", "Vocabulary", {"reasons": vocabulary.reason_counts(f), "primary": profile.value_counts(f.withColumn("reason", vocabulary.primary_reason(F.col("reasons"))), "reason"), "batches": batches, "eligible": vocabulary.summary_counts(f.filter("reasons = ''"))})
     top = vocabulary.rank_candidates(f.filter("reasons = ''"), ["min_eval_units", "source_patterns", "units"], int(a.seed)).filter(F.col("rank") <= int(a.size))
     sinks.write_once(graph.pair_treatment(graph.label_pairs(s)), f"{a.out}/pairs")
     sinks.write_vocabulary(spark, f"{a.out}/vocabulary.json", vocabulary.vocabulary_doc(top, f"top{a.size}").first().document, sinks.read_lock(spark, a.splits, a.version)["sha256"])
     return vocabulary.summary_counts(top)
 
 
-@job("features", "out", "classes", "trees=50,100", "depth=10")
+@job("features", "out", "classes", "trees=50,100", "depth=10", "tag=", "mapping=", "export=")
 def run_experiment(spark, a):
-    """Forests on (sample_id, split, label, features) rows; the best on validation, evaluated and appended."""
-    tries = {f"rf{t}": {"numTrees": int(t), "maxDepth": int(a.depth)} for t in a.trees.split(",")}
-    model, result = experiment.run(spark.read.parquet(a.features), tries, int(a.classes))
+    """Forests on (sample_id, split, label, features) rows; the best on validation, evaluated and appended.
+
+    A tag makes a variant's names its own. With a mapping document the labels must be its, and export writes the model
+    with its classes.
+    """
+    if a.export and not a.mapping:
+        raise ValueError("an export needs the mapping")
+    tries = {f"rf{t}{'-' + a.tag if a.tag else ''}": {"numTrees": int(t), "maxDepth": int(a.depth)} for t in a.trees.split(",")}
+    mapping = sinks.read_mapping(spark, a.mapping) if a.mapping else None
+    words = sinks.load_mapping(spark, a.mapping) if a.mapping else None
+    run = monitor.RunFigures(spark)
+    with run:
+        model, result = experiment.run(spark.read.parquet(a.features), tries, int(a.classes), mapping=words)
     sinks.append_widening(result, f"{a.out}/results")
     name = result.first().experiment
-    sinks.save_model(model, f"{a.out}/{name}", {"experiment": name, "selected_on": "val"})
+    bound = {"label_mapping_sha256": mapping["vocabulary_sha256"]} if mapping else {}
+    sinks.save_model(model, f"{a.out}/{name}", {"experiment": name, "selected_on": "val", "resources": run.summary()} | bound)
+    if a.export:
+        sinks.export_model(spark, f"{a.out}/{name}", a.export, mapping)
     return sinks.read_widened(spark, f"{a.out}/results")
 
 
@@ -200,16 +297,21 @@ def benchmark_report(spark, a):
     return rate
 
 
-@job("store", "out", "min_frames=30", "max_frac=0.3", "max_run=15")
+@job("store", "out", "min_frames=30", "max_frac=0.3", "max_run=15", "px_p999=0.5", "px_max=1.0")
 def reevaluate(spark, a):
-    """Judge stored clips again, inside the active interval and over the whole clip, and compare both reasons."""
+    """Judge stored clips again, inside the active interval and over the whole clip, and compare both reasons; and tell
+    what storing half-precision numbers would cost, in bytes and in pixels of error, against the limits given."""
     f, clips = commits.table(spark, a.store, "frames").drop("start", "end"), commits.table(spark, a.store, "clips")
     hand = (F.col("left_hand_flags").bitwiseAND(F.lit(OBSERVED)) != 0) | (F.col("right_hand_flags").bitwiseAND(F.lit(OBSERVED)) != 0)
     v = timeseries.rejections(f, hand, int(a.min_frames), 3, float(a.max_frac), int(a.max_run))
     v = v.join(clips.select("clip", F.col("reason").alias("stored_reason")), "clip", "left")
     sinks.write_once(v, f"{a.out}/reevaluated")
     sizes = [(kind, sinks.serialized_size(f, kind)) for kind in ("none", "zstd")]
-    sinks.write_report(spark, f"{a.out}/report", "Judged again", {"reasons": v.groupBy("stored_reason", "reason", "full_reason").count(), "bytes": spark.createDataFrame(sizes, "compression string, bytes long")})
+    groups = [g for g in arrays.GROUPS if g in f.columns]
+    lost = staged(quality.rounding(f, groups), "rounding")
+    checks = quality.rounding_checks(lost, float(a.px_p999), float(a.px_max))
+    frame = spark.createDataFrame([(kind, arrays.bytes_per_frame(groups, kind)) for kind in ("float16", "float32")], "numbers string, bytes_per_frame int")
+    sinks.write_report(spark, f"{a.out}/report", "Judged again", {"reasons": v.groupBy("stored_reason", "reason", "full_reason").count(), "bytes": spark.createDataFrame(sizes, "compression string, bytes long"), "precision": lost, "precision_checks": checks, "frames": frame})
     return spark.read.parquet(f"{a.out}/reevaluated").groupBy("reason").count()
 
 
@@ -226,6 +328,22 @@ def interval_audit(spark, a):
     return spark.read.parquet(f"{a.out}/chi_square")
 
 
+@job("store", "out", "compress=yes", "numbers=float32")
+def export_arrays(spark, a):
+    """The frames of a packed store as one array file per clip, with the table of files."""
+    files = arrayfiles.save_arrays(commits.table(spark, a.store, "frames"), f"{a.out}/arrays", a.compress == "yes", a.numbers)
+    sinks.save_table(files, f"{a.out}/files")
+    return spark.read.parquet(f"{a.out}/files").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+
+
+@job("arrays_dir", "out", "groups=")
+def import_arrays(spark, a):
+    """Array files as a packed store's frames, of all groups or of some."""
+    groups = a.groups.split(",") if a.groups else None
+    sinks.save_table(arrayfiles.load_arrays(spark, a.arrays_dir, groups), f"{a.out}/frames")
+    return spark.read.parquet(f"{a.out}/frames").agg(F.count_distinct("clip").alias("clips"), F.count(F.lit(1)).alias("frames"))
+
+
 @job("store", "out", "expected=")
 def convert_store(spark, a):
     """A store of the first format to the packed one; judged again and checked against an earlier judgement."""
@@ -247,24 +365,35 @@ def extract_shard(spark, a):
 
     def step(batch, number):
         frames, clips = kernel.guarded(batch.join(mine, "clip", "left_semi"))
-        frames.write.mode("overwrite").parquet(f"{a.out}/frames/batch={number:08d}")
-        clips.write.mode("overwrite").parquet(f"{a.out}/clips/batch={number:08d}")
+        run.write(frames, f"{a.out}/frames/batch={number:08d}", "frames")
+        run.write(clips, f"{a.out}/clips/batch={number:08d}", "clips")
 
-    with monitor.ResourceMonitor() as m:
+    run = monitor.RunFigures(spark)
+    with monitor.ResourceMonitor() as m, run:
         resume.each_batch(spark, a.raw, schema, f"{a.out}/checkpoint", step, int(a.files_per_batch))
-    sinks.write_text(spark, f"{a.out}/run.json", json.dumps({"shard": int(a.shard), "clips": n, **m.summary()}))
+    facts = {"shard": int(a.shard), "planned": n, **m.summary(), **run.summary()}
+    sinks.append_widening(spark.createDataFrame([Row(**{k: v for k, v in facts.items() if v is not None})]), f"{a.out}/runs")
+    sinks.write_text(spark, f"{a.out}/run.json", json.dumps(facts))
     return spark.read.option("mergeSchema", "true").parquet(f"{a.out}/clips").groupBy("reason").count()
 
 
-@job("plan", "shards", "splits", "out", "version=v1")
+@job("plan", "shards", "splits", "out", "version=v1", "earlier=")
 def merge_store(spark, a):
-    """Union of the shards' stores, checked against the plan and the frozen split, then put into place."""
+    """Union of the shards' stores, checked against the plan and the frozen split, then put into place; clips that an
+    earlier store has too must have the same interval and lengths in both."""
     plan = spark.read.parquet(a.plan).select(F.col("sample_id").alias("clip"))
     clips = sinks.merge_stores(spark, a.shards.split(","), a.out, plan)["clips"]
     frozen = sinks.read_frozen(spark, a.splits, a.version).select(F.col("sample_id").alias("clip"), "split")
     stats = clips.join(frozen, "clip", "left").groupBy("split").agg(F.count(F.lit(1)).alias("clips"), F.count_if(F.col("reason").isNull()).alias("accepted"))
     sinks.write_report(spark, f"{a.out}/report", "Merged store", {"by_split": stats, "reasons": clips.groupBy("reason").count()})
-    return _store_checks(spark, a.out, frozen)
+    checks = _store_checks(spark, a.out, frozen)
+    if a.earlier:
+        old = commits.table(spark, a.earlier, "clips")
+        both = quality.parity(old.join(clips.select("clip"), "clip", "left_semi"), clips.join(old.select("clip"), "clip", "left_semi"), ["clip"], ["n_raw", "n_frames", "start", "end"])
+        sinks.save_table(both, f"{a.out}/parity")
+        same = F.count_if(~F.col("equal") | (F.col("unequal") > 0))
+        checks = quality.all_of([checks, quality.check(spark.read.parquet(f"{a.out}/parity"), "clips equal those of the earlier store", same, "columns differ")])
+    return checks
 
 
 def _store_checks(spark, store: str, frozen):
@@ -288,14 +417,29 @@ def _store_checks(spark, store: str, frozen):
     ])
 
 
-@job("store", "splits", "out", "version=v1")
+@job("store", "splits", "out", "version=v1", "index=", "arrays_dir=")
 def verify_store(spark, a):
-    """Every check of a packed store, its missing hands inside and outside the interval and its size."""
+    """Every check of a packed store, its missing hands inside and outside the interval and its size; of a sequence index,
+    that it has the split's rows and no leaks; of array files, that they hold the store's frames and no others."""
     frozen = sinks.read_frozen(spark, a.splits, a.version).select(F.col("sample_id").alias("clip"), "split")
     f = commits.table(spark, a.store, "frames").withColumn("inside", F.col("frame").between(F.col("start"), F.col("end")))
     left, right = (arrays.has_flag(F.col(f"{g}_flags"), OBSERVED) for g in ("left_hand", "right_hand"))
     masks = f.groupBy("inside").agg(F.count(F.lit(1)).alias("frames"), F.count_if(~left & ~right).alias("both_missing"), F.count_if(left & right).alias("both_present"), F.max(F.col("scale")).alias("max_scale"))
     checks = _store_checks(spark, a.store, frozen)
+    if a.index:
+        idx = spark.read.parquet(a.index)
+        cols = [c for c in ("word", "split", "sha256", "split_group") if c in idx.columns]
+        full = sinks.read_frozen(spark, a.splits, a.version).select("sample_id", *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_known"))
+        j = idx.join(full, "sample_id", "left")
+        usable = commits.table(spark, a.store, "clips").filter("reason is null and start is not null").select(F.col("clip").alias("sample_id"))
+        checks = quality.all_of([
+            checks, quality.check(j, "index rows are in the frozen split", F.count_if(F.col("_known").isNull()), "unknown"),
+            *[quality.check(j, f"index has the split's {c}", F.count_if(F.col("_known") & ~F.col(c).eqNullSafe(F.col(f"_{c}"))), "differ") for c in cols],
+            quality.check(idx.join(usable, "sample_id", "left_anti"), "index rows are accepted clips", F.count(F.lit(1)), "not accepted"),
+            quality.index_leaks(idx),
+        ])
+    if a.arrays_dir:
+        checks = quality.all_of([checks, arrayfiles.file_checks(spark, a.arrays_dir, commits.table(spark, a.store, "frames"))])
     size = spark.createDataFrame([(sinks.stored_bytes(spark, commits.folder(spark, a.store, "frames")), f.count())], "bytes long, frames long")
     sinks.write_report(spark, a.out, "Store", {"checks": checks, "masks": masks, "storage": size.withColumn("bytes_per_frame", F.col("bytes") / F.col("frames"))})
     return spark.read.parquet(f"{a.out}/checks")

@@ -26,21 +26,6 @@ FRAMES = T.StructType([
 ])
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*", hashes: bool = True) -> DataFrame:
-    """repo_path, folder, filename, size_bytes, sha256 of every file under path; without hashes contents are not read.
-
-    Empty files hold nothing to read and are not listed.
-    """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    root = F.lit(path.rstrip("/").removeprefix("file://") + "/")
-    rel = F.regexp_replace(F.col("path"), "^[a-z]+:/*(?=/)", "")
-    rel = F.substring(rel, F.length(root) + 1, F.length(rel))
-    name = F.substring_index(rel, "/", -1)
-    folder = F.when(rel.contains("/"), F.left(rel, F.length(rel) - F.length(name) - 1)).otherwise("")
-    sha = F.sha2("content", 256) if hashes else F.lit(None).cast("string")
-    return df.select(rel.alias("repo_path"), folder.alias("folder"), name.alias("filename"), F.col("length").alias("size_bytes"), sha.alias("sha256"))
-
-
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """csv_row, word, filename exactly as stored: "null" and "nan" are words, blanks are "", the header must fit.
 
@@ -61,14 +46,15 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parts(spark: SparkSession, path: str, schema: T.StructType, key: str, success: str) -> DataFrame:
-    """Rows of all Parquet parts under path, one per key: a success beats failures, then the newest part, then the
-    last row of a part. No parts give a typed empty frame."""
+    """Rows of all Parquet parts under path, one per key: a success beats failures, then the newest part (by its column
+    part where there is one, then by file name), then the last row of a part. No parts give a typed empty frame."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     df = spark.read.option("mergeSchema", "true").parquet(path).withColumns({"_f": F.col("_metadata.file_name"), "_i": F.monotonically_increasing_id()})
     have = set(df.columns)
     df = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in have})
-    got = latest(df, [key], F.coalesce(F.col(success).cast("boolean"), F.lit(False)), [F.col("_f"), F.col("_i")])
+    newest = ([F.coalesce("part", F.lit(-1))] if "part" in have else []) + [F.col("_f"), F.col("_i")]
+    got = latest(df, [key], F.coalesce(F.col(success).cast("boolean"), F.lit(False)), newest)
     return got.select(*schema.names, *[c for c in df.columns if c not in schema.names and not c.startswith("_")])
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import vocabulary
-from quern.sources import readers, sinks
+from quern.sources import listing, readers, sinks
 from quern.streaming import resume, signals
 
 
@@ -21,7 +21,7 @@ def test_list_files(spark, tmp_path):
     (tmp_path / "v1" / "a.mp4").write_bytes(b"abc")
     (tmp_path / "v1" / "deep" / "b.mp4").write_bytes(b"b")
     (tmp_path / "v1" / "c.txt").write_bytes(b"x")
-    got = {r.repo_path: r for r in readers.list_files(spark, str(tmp_path), "*.mp4").collect()}
+    got = {r.repo_path: r for r in listing.list_files(spark, str(tmp_path), "*.mp4").collect()}
     assert set(got) == {"v1/a.mp4", "v1/deep/b.mp4"} and got["v1/a.mp4"].size_bytes == 3 and got["v1/deep/b.mp4"].folder == "v1/deep"
     assert got["v1/a.mp4"].sha256 == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
 

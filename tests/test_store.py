@@ -62,6 +62,8 @@ def test_store_jobs(spark, store, tmp_path, capsys):
     with pytest.raises(ValueError, match="approved"):
         main(["extract-shard", "--plan", f"{d}/plan", "--shard", "0", "--raw", f"{d}/raw", "--out", f"{out}/x", "--most", "2"])
     assert "peak_rss_mb" in json.loads(sinks.read_text(spark, f"{out}/shard0/run.json"))
+    runs = sinks.read_widened(spark, f"{out}/shard0/runs")
+    assert runs.count() == 2 and runs.agg(F.sum("rows_clips")).first()[0] == spark.read.parquet(f"{out}/shard0/clips").count()
     merged = ["merge-store", "--plan", f"{d}/plan", "--shards", f"{out}/shard0,{out}/shard1", "--splits", f"{d}/splits", "--out", f"{out}/store"]
     assert main(merged) == 0
     assert commits.table(spark, f"{out}/store", "clips").count() == 12
