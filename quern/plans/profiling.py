@@ -499,6 +499,19 @@ def precision_quantiles(spark, sf):
     return got.select(F.round("p99", 7).alias("p99"), F.round("p999", 7).alias("p999"), F.round("m", 7).alias("max_error"), "n", (F.col("m") < 0.01).alias("passes"))
 
 
+@query("""WITH v AS (SELECT vec_id % 5 = 0 AS absent, CAST(label + 1 AS DOUBLE) AS scale, unnest(embedding) AS v FROM embeddings), x AS (SELECT absent, scale, CAST(v AS DOUBLE) AS x FROM v),
+h AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE pow(2.0, greatest(floor(log2(abs(x))), -14) - 10) END AS step FROM x), y AS (SELECT *, CASE WHEN x = 0 THEN x ELSE round_even(x / step, 0) * step END AS y FROM h),
+e AS (SELECT *, CASE WHEN NOT absent THEN abs(y - x) END AS su FROM y)
+SELECT count_if(NOT absent) AS numbers, round(max(CASE WHEN NOT absent THEN abs(x) END), 9) AS max_abs, round(max(su), 9) AS max_su, round(quantile_cont(su, 0.99), 9) AS p99_su, round(quantile_cont(su, 0.999), 9) AS p999_su,
+  round(max(su * scale), 9) AS max_px, round(quantile_cont(su * scale, 0.99), 9) AS p99_px, round(quantile_cont(su * scale, 0.999), 9) AS p999_px, count_if(NOT absent AND NOT isfinite(y)) AS not_finite, count_if(absent AND y <> 0) AS absent_not_zero FROM e""")
+def rounding_loss(spark, sf):
+    e = table(spark, sf, "embeddings")
+    flags = F.when(F.col("vec_id") % 5 == 0, 0).otherwise(ar.PRESENT)
+    f = e.select(F.col("embedding").alias("vector"), flags.alias("vector_flags"), (F.col("label") + 1).alias("scale"))
+    got = quality.rounding(f, ["vector"]).filter("group is null")
+    return got.select("numbers", *[F.round(c, 9).alias(c) for c in ("max_abs", "max_su", "p99_su", "p999_su", "max_px", "p99_px", "p999_px")], "not_finite", "absent_not_zero")
+
+
 @query("SELECT count(*) AS rows, round(count(*) / 3600.0, 6) AS per_hour, round(108616 / (count(*) / 3600.0), 6) AS hours, round(sum(l_quantity) / 3600.0, 6) AS frames_per_s FROM lineitem")
 def rate_extrapolation(spark, sf):
     n = F.count(F.lit(1))
