@@ -56,11 +56,11 @@ def probe_files(spark, a):
     keep = F.col("download_ok") & (F.coalesce("decode_ok", F.lit(True)) if a.reprobe == "yes" else F.lit(True))
     done = staged(known.filter(keep).select("repo_path"), "probed")
     todo = sample.select("repo_path", "sha256").dropDuplicates(["repo_path"]).join(done, "repo_path", "left_anti")
+    rate = staged(fetch.decoded_rate(spark.read.parquet(a.frames)), "rates") if a.frames else None
     for k in range(int(a.batches)):
         some = todo.filter(F.pmod(F.xxhash64("repo_path"), F.lit(int(a.batches))) == k).repartition(partitions(spark), "repo_path")
         got = fetch.fetch_all(some, listing.opener(a.source), int(a.retries))
-        if a.frames:
-            rate = fetch.decoded_rate(spark.read.parquet(a.frames))
+        if rate is not None:
             got = got.join(rate, "repo_path", "left").withColumn("decode_ok", F.when(F.col("download_ok"), F.col("decoded_frames").isNotNull()))
         got.withColumns({"probe_origin": F.lit("probe"), "part": F.lit(number + k)}).write.mode("append").parquet(parts)
     rows = readers.read_parts(spark, parts, readers.PROBE, "repo_path", "download_ok")
